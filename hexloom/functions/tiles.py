@@ -84,18 +84,18 @@ def lat_to_tile(lat: Column, across: Column) -> Column:
     return (0.5 - 0.25 * F.ln((1.0 + s) / (1.0 - s)) / F.pi()) * across
 
 
-def ring_to_tile_space(ring: Column, across: Column) -> Column:
-    """Ring of (lon, lat) to (x, y) tile fractions; a ring over the antimeridian is unwrapped."""
-    lons = F.transform(ring, lambda p: p["lon"])
+def unwrap_longitudes(lons: Column) -> Column:
+    """Longitudes of a ring, moved to 0..360 where the ring crosses the antimeridian."""
     wraps = F.array_max(lons) - F.array_min(lons) > 180.0
-    return F.transform(
-        ring,
-        lambda p: F.struct(
-            lon_to_tile(
-                F.when(wraps & (p["lon"] < 0.0), p["lon"] + 360.0).otherwise(p["lon"]), across
-            ).alias("x"),
-            lat_to_tile(p["lat"], across).alias("y"),
-        ),
+    return F.when(wraps, F.transform(lons, lambda v: F.when(v < 0.0, v + 360.0).otherwise(v))).otherwise(lons)
+
+
+def to_tile_space(lons: Column, lats: Column, across: Column) -> Column:
+    """Ring points as (x, y) tile fractions."""
+    return F.zip_with(
+        lons,
+        lats,
+        lambda lon, lat: F.struct(lon_to_tile(lon, across).alias("x"), lat_to_tile(lat, across).alias("y")),
     )
 
 

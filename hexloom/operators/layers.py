@@ -71,44 +71,47 @@ def build_cell_pyramid(ids: DataFrame, cell_geometry: DataFrame | None = None) -
 def tile_cover(polygons: DataFrame) -> DataFrame:
     """Tiles touched by convex rings: input ``(id, resolution, zoom, ring)``, one output row per tile.
 
-    A hexagon inside one tile, nearly all of them, skips the exact test.
+    The tile range comes from the ring's box in plain generated code.  A hexagon inside one tile,
+    nearly all of them, is done then; only the others build edges for the exact test.
     """
-    zoom = F.col("zoom")
+    keep = ["id", "resolution", "zoom"]
+    across, lons, lats = F.col("across"), F.col("lons"), F.col("lats")
     points = polygons.select(
-        "id",
-        "resolution",
-        "zoom",
-        tiles.tiles_across(zoom).alias("across"),
-        tiles.ring_to_tile_space(F.col("ring"), tiles.tiles_across(zoom)).alias("points"),
+        *keep,
+        tiles.tiles_across(F.col("zoom")).alias("across"),
+        tiles.unwrap_longitudes(F.col("ring.lon")).alias("lons"),
+        F.col("ring.lat").alias("lats"),
     )
 
-    def whole(value, name):
-        return F.floor(value).cast("long").alias(name)
+    def row(lat):
+        inside = F.greatest(F.lit(0.0), F.least(across - 1, tiles.lat_to_tile(lat, across)))
+        return F.floor(inside).cast("long")
 
-    xs = F.transform(F.col("points"), lambda p: p["x"])
-    ys = F.transform(F.col("points"), lambda p: p["y"])
-    last = F.col("across") - 1
     boxes = points.select(
-        "id",
-        "resolution",
-        "zoom",
+        *keep,
         "across",
-        tiles.ring_edges(F.col("points")).alias("edges"),
-        whole(F.array_min(xs), "x0"),
-        whole(F.array_max(xs), "x1"),
-        whole(F.greatest(F.lit(0.0), F.least(last, F.array_min(ys))), "y0"),
-        whole(F.greatest(F.lit(0.0), F.least(last, F.array_max(ys))), "y1"),
+        "lons",
+        "lats",
+        F.floor(tiles.lon_to_tile(F.array_min(lons), across)).cast("long").alias("x0"),
+        F.floor(tiles.lon_to_tile(F.array_max(lons), across)).cast("long").alias("x1"),
+        row(F.array_max(lats)).alias("y0"),
+        row(F.array_min(lats)).alias("y1"),
     )
-    candidates = boxes.select("*", F.explode(F.sequence("x0", "x1")).alias("x")).select(
+    alone = (F.col("x0") == F.col("x1")) & (F.col("y0") == F.col("y1"))
+    in_tiles = F.when(~alone, tiles.to_tile_space(lons, lats, across)).alias("points")
+    box = ["x0", "x1", "y0", "y1"]
+    edged = boxes.select(*keep, "across", *box, in_tiles).select(
+        *keep, "across", *box, tiles.ring_edges(F.col("points")).alias("edges")
+    )
+    turned = edged.select("*", tiles.ring_turn(F.col("edges")).alias("turn"))
+    candidates = turned.select("*", F.explode(F.sequence("x0", "x1")).alias("x")).select(
         "*", F.explode(F.sequence("y0", "y1")).alias("y")
     )
-    alone = (F.col("x0") == F.col("x1")) & (F.col("y0") == F.col("y1"))
-    edges = F.col("edges")
     touched = candidates.where(
-        alone | tiles.touches_tile(edges, tiles.ring_turn(edges), F.col("x"), F.col("y"))
+        F.col("edges").isNull() | tiles.touches_tile(F.col("edges"), F.col("turn"), F.col("x"), F.col("y"))
     )
-    x = F.pmod(F.col("x"), F.col("across").cast("long"))
-    return touched.select(tiles.quadkey(x, F.col("y"), zoom).alias("geohash"), "id", "resolution", "zoom")
+    x = F.pmod(F.col("x"), across.cast("long"))
+    return touched.select(tiles.quadkey(x, F.col("y"), F.col("zoom")).alias("geohash"), *keep)
 
 
 def build_tile_index(cells: DataFrame, cell_geometry: DataFrame) -> DataFrame:
