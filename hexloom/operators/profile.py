@@ -3,13 +3,15 @@
 Numeric columns take two scans.  The first is one aggregate without a data shuffle (count, min, max,
 avg, deviations of every column); its single row fixes the bin edges.  The second unpivots the
 columns and groups by ``(attribute, value)``, which is what an exact distinct count needs anyway, and
-the histogram falls out of the same groups.  Text and boolean columns take one scan.
+the histogram falls out of the same groups.  Text and boolean columns are grouped by
+``(attribute, value)`` once; only columns with few values are read again to list them in one map.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,9 @@ SKIPPED_NAME_PATTERNS = [r"^r.*.id$", r"^Hex.", r"^Shape.", r"^id_1$"]
 LISTED_VALUES = {"number": 10, "string": 50, "boolean": 50}
 
 BUCKET_TYPE = "array<struct<break:double,count:long>>"
+DOCUMENT_COLUMNS = (
+    "position", "key", "attribute", "type", "count", "countDistinct", "min", "max", "values", "stats"
+)
 EMPTY_BREAKS = ("equalInterval", "naturalBreaks", "quantiles", "geometricInterval", "standardDeviations")
 
 
@@ -241,26 +246,32 @@ def _fixed_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def numeric_summary(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> DataFrame:
     """Moments, exact distinct count and histogram of numeric columns, one row per column."""
     moments = _fixed_moments(df, columns)
-    binned = _binned_groups(_value_groups(df, columns), moments, bins)
-    distinct = binned.groupBy("attribute").agg(F.sum("distinct").alias("countDistinct"))
-    bounds = moments.select("attribute", F.col("min").alias("low"), F.col("max").alias("high"))
-    filled = _fill_bins(bounds, binned.select("attribute", "bin", "count"), bins)
-    encoded = filled.groupBy("attribute").agg(_encode_histogram(bins).alias("histogram"))
-    return (
-        moments.join(F.broadcast(distinct), "attribute", "left")
-        .join(F.broadcast(encoded), "attribute")
-        .withColumn("countDistinct", F.coalesce("countDistinct", F.lit(0).cast("long")))
-    )
+    return _summarised(moments, _value_groups(df, columns), bins)
 
 
-def _encode_histogram(bins: int) -> Column:
-    """``[bin start, count]`` in bin order and a last ``[bin end, NULL]``."""
-    ordered = F.array_sort(F.collect_list(F.struct("bin", "bin_start", "bin_end", "count")))
-    starts = F.transform(ordered, lambda b: F.struct(b["bin_start"].alias("break"), b["count"].alias("count")))
-    end = F.struct(
-        F.element_at(ordered, -1)["bin_end"].alias("break"), F.lit(None).cast("long").alias("count")
+def _summarised(moments: DataFrame, groups: list[DataFrame], bins: int) -> DataFrame:
+    binned = _binned_groups(groups, moments, bins)
+    entry = F.when(F.col("bin").isNotNull(), F.struct("bin", "count"))
+    per_column = binned.groupBy("attribute").agg(
+        F.sum("distinct").alias("countDistinct"), F.map_from_entries(F.collect_list(entry)).alias("by_bin")
+    )
+    return moments.join(F.broadcast(per_column), "attribute", "left").select(
+        *moments.columns,
+        F.coalesce("countDistinct", F.lit(0).cast("long")).alias("countDistinct"),
+        _encode_histogram(F.col("min"), F.col("max"), F.col("by_bin"), bins).alias("histogram"),
     )
-    return F.array_append(starts, end)
+
+
+def _encode_histogram(low: Column, high: Column, by_bin: Column, bins: int) -> Column:
+    """``[bin start, count]`` in bin order, empty bins with 0, and a last ``[high, NULL]``."""
+
+    def bucket(number: Column) -> Column:
+        start, _ = bin_edges(low, high, number, bins)
+        count = F.coalesce(F.try_element_at(by_bin, number), F.lit(0)).cast("long")
+        return F.struct(start.alias("break"), count.alias("count"))
+
+    last = F.struct(high.alias("break"), F.lit(None).cast("long").alias("count"))
+    return F.array_append(F.transform(F.sequence(F.lit(1), F.lit(bins)), bucket), last)
 
 
 def value_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -297,39 +308,34 @@ def number_text(value: Column) -> Column:
     return F.when(whole, value.cast("double").try_cast("long").cast("string")).otherwise(value.cast("string"))
 
 
+def _text_groups(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
+    """Rows per non-null value of text and boolean columns."""
+    if not columns:
+        return None
+    return value_frequencies(df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in columns)), columns)
+
+
+def _as_frequencies(groups: list[DataFrame], words: DataFrame | None) -> DataFrame:
+    frames = [g.select("attribute", number_text(F.col("value")).alias("value"), "count") for g in groups]
+    return reduce(DataFrame.unionByName, frames + ([words] if words is not None else []))
+
+
 def all_frequencies(df: DataFrame, by_type: dict[str, list[str]]) -> DataFrame:
     """Rows per non-null value of columns of all types: ``(attribute, value, count)``."""
-    frames = [
-        group.select("attribute", number_text(F.col("value")).alias("value"), "count")
-        for group in _value_groups(df, by_type["number"])
-    ]
-    texts = by_type["string"] + by_type["boolean"]
-    if texts:
-        typed = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in texts))
-        frames.append(value_frequencies(typed, texts))
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
+    words = _text_groups(df, by_type["string"] + by_type["boolean"])
+    return _as_frequencies(_value_groups(df, by_type["number"]), words)
 
 
 def top_values(frequencies: DataFrame, limits: dict[str, int]) -> DataFrame:
     """The most frequent values per attribute, ties by value; ``limits`` says how many.
 
-    The rank filter is a literal limit, which Spark applies inside every task before the shuffle, so
+    The rank filter has a literal limit, which Spark applies inside every task before the shuffle, so
     a column of all-distinct values never meets in one task.
     """
     order = Window.partitionBy("attribute").orderBy(F.col("count").desc(), F.col("value"))
-    result = None
-    for limit in sorted(set(limits.values())):
-        names = [name for name, n in limits.items() if n == limit]
-        best = (
-            frequencies.where(F.col("attribute").isin(names))
-            .withColumn("rank", F.row_number().over(order))
-            .where(F.col("rank") <= limit)
-        )
-        result = best if result is None else result.unionByName(best)
-    return result
+    own_limit = F.create_map(*(F.lit(v) for pair in limits.items() for v in pair))[F.col("attribute")]
+    ranked = frequencies.withColumn("rank", F.row_number().over(order))
+    return ranked.where((F.col("rank") <= max(limits.values())) & (F.col("rank") <= own_limit))
 
 
 # --- documents ---------------------------------------------------------------------------------
@@ -354,7 +360,6 @@ def _document(parts: list[DataFrame], columns: Sequence[tuple[str, str]]) -> Dat
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part, allowMissingColumns=True)
-    wanted = ("key", "attribute", "type", "count", "countDistinct", "min", "max", "values", "stats")
     result = result.withColumn("key", F.col("attribute"))
     missing = {"min": "double", "max": "double", "values": "map<string,long>"}
     for name, kind in missing.items():
@@ -363,7 +368,7 @@ def _document(parts: list[DataFrame], columns: Sequence[tuple[str, str]]) -> Dat
     if "stats" not in result.columns:
         result = result.withColumn("stats", F.lit(None).cast("string"))
     position = _numbered(columns)[F.col("attribute")].alias("position")
-    return result.select(position, *wanted)
+    return result.select(position, *DOCUMENT_COLUMNS[1:])
 
 
 def _by_type(columns: Sequence[tuple[str, str]]) -> dict[str, list[str]]:
@@ -384,6 +389,31 @@ def _id_row(df: DataFrame, count: Column) -> DataFrame:
     )
 
 
+def _text_profile(cells: DataFrame, columns: Sequence[tuple[str, str]], max_values: int) -> DataFrame:
+    """Counts of text and boolean columns, and the values of those with few.
+
+    The counts, one row per column of the schema, are computed first: they tell which columns are
+    worth a second, cheap grouping.
+    """
+    spark = cells.sparkSession
+    names = [name for name, _ in columns]
+    counted = {r["attribute"]: r for r in value_summary(value_frequencies(cells, names)).collect()}
+    rows = [
+        (name, kind, counted[name]["count"], counted[name]["countDistinct"]) if name in counted else (name, kind, 0, 0)
+        for name, kind in columns
+    ]
+    summary = spark.createDataFrame(rows, "attribute string, type string, count long, countDistinct long")
+    short = [name for name, _, _, distinct in rows if 0 < distinct <= max_values]
+    if not short:
+        return summary.withColumn("values", _no_values())
+    maps = _values_map(value_frequencies(cells, short))
+    return summary.join(maps, "attribute", "left").withColumn("values", F.coalesce("values", _no_values()))
+
+
+def _no_values() -> Column:
+    return F.when(F.col("countDistinct") == 0, F.create_map().cast("map<string,long>"))
+
+
 def profile(cells: DataFrame, versions: DataFrame, max_values: int = MAX_VALUES_IN_MAP) -> DataFrame:
     """Profile of every eligible column, one row each, with the table version.
 
@@ -404,26 +434,9 @@ def profile(cells: DataFrame, versions: DataFrame, max_values: int = MAX_VALUES_
     texts = [name for name in kinds["string"] if name != "id"]
     if "id" in kinds["string"]:
         parts.append(_id_row(cells, F.count_distinct("id")))
-    if texts or kinds["boolean"]:
-        frequencies = value_frequencies(cells, texts + kinds["boolean"])
-        summary = value_summary(frequencies)
-        short = F.broadcast(summary.where(F.col("countDistinct") <= max_values).select("attribute"))
-        maps = _values_map(frequencies.join(short, "attribute", "left_semi"))
-        named = cells.sparkSession.createDataFrame(
-            [(c, "string") for c in texts] + [(c, "boolean") for c in kinds["boolean"]], "attribute string, type string"
-        )
-        joined = named.join(F.broadcast(summary), "attribute", "left").join(maps, "attribute", "left")
-        none = F.lit(0).cast("long")
-        empty = F.create_map().cast("map<string,long>")
-        parts.append(
-            joined.select(
-                "attribute",
-                "type",
-                F.coalesce("count", none).alias("count"),
-                F.coalesce("countDistinct", none).alias("countDistinct"),
-                F.when(F.col("countDistinct").isNull(), empty).otherwise(F.col("values")).alias("values"),
-            )
-        )
+    named = [(c, "string") for c in texts] + [(c, "boolean") for c in kinds["boolean"]]
+    if named:
+        parts.append(_text_profile(cells, named, max_values))
     if kinds["mixed"]:
         parts.append(_constant_rows(cells, kinds["mixed"], "mixed"))
     return _document(parts, columns).withColumn("version", F.lit(version)).orderBy("position")
@@ -448,43 +461,33 @@ def profile_file(rows: DataFrame) -> DataFrame:
     if any(name == "id" for name, _ in columns):
         parts.append(_id_row(rows, F.count(F.lit(1))))
     if attributes:
-        frequencies = all_frequencies(rows, kinds)
+        groups = _value_groups(rows, kinds["number"])
+        texts = [(name, kind) for name, kind in attributes if kind != "number"]
+        words = _text_groups(rows, [name for name, _ in texts])
         limits = {name: LISTED_VALUES[kind] for name, kind in attributes}
-        maps = _values_map(top_values(frequencies, limits))
+        maps = _values_map(top_values(_as_frequencies(groups, words), limits))
         if kinds["number"]:
-            histogram_rule = F.when(F.col("count") > 2, F.col("histogram")).otherwise(F.array().cast(BUCKET_TYPE))
+            some = F.when(F.col("count") > 2, F.col("histogram")).otherwise(F.array().cast(BUCKET_TYPE))
             numbers = (
-                numeric_summary(rows, kinds["number"])
-                .withColumn("histogram", histogram_rule)
+                _summarised(_fixed_moments(rows, kinds["number"]), groups, BINS)
+                .withColumn("histogram", some)
                 .withColumn("stdev", F.col("stddev_pop"))
-                .join(maps, "attribute", "left")
+                .withColumn("stats", _stats_struct("stdev"))
             )
             parts.append(
                 numbers.select(
-                    "attribute",
-                    F.lit("number").alias("type"),
-                    "count",
-                    "countDistinct",
-                    "min",
-                    "max",
-                    "values",
-                    _stats_struct("stdev").alias("stats"),
+                    "attribute", F.lit("number").alias("type"), "count", "countDistinct", "min", "max", "stats"
                 )
             )
-        texts = [(name, kind) for name, kind in attributes if kind != "number"]
         if texts:
-            typed = rows.select(*(F.col(f"`{c}`").cast("string").alias(c) for c, _ in texts))
-            summary = value_summary(value_frequencies(typed, [c for c, _ in texts]))
             named = rows.sparkSession.createDataFrame(texts, "attribute string, type string")
-            joined = named.join(F.broadcast(summary), "attribute", "left").join(maps, "attribute", "left")
-            none = F.lit(0).cast("long")
+            zero = F.lit(0).cast("long")
+            summary = named.join(F.broadcast(value_summary(words)), "attribute", "left")
             parts.append(
-                joined.select(
-                    "attribute",
-                    "type",
-                    F.coalesce("count", none).alias("count"),
-                    F.coalesce("countDistinct", none).alias("countDistinct"),
-                    "values",
+                summary.withColumn("count", F.coalesce("count", zero)).withColumn(
+                    "countDistinct", F.coalesce("countDistinct", zero)
                 )
             )
+        listed = _document(parts, columns).drop("values").join(maps, "attribute", "left")
+        return listed.select(*DOCUMENT_COLUMNS).orderBy("position")
     return _document(parts, columns).orderBy("position")
