@@ -131,3 +131,19 @@ def child_count(cell: Column, res: int) -> Column:
     for own in range(res):
         branches = branches.when(resolution(cell) == own, _long(7 ** (res - own)))
     return branches
+
+
+def finest_range(cell: int) -> tuple[int, int]:
+    """Bounds of all finest ids under one cell: ids of a family are contiguous."""
+    res = cell >> 52 & 15
+    high = (cell & ~_RESOLUTION_MASK) | (FINEST << 52)
+    below = unused_digits(res) & ~unused_digits(FINEST) if res < FINEST else 0
+    return high & ~below, high
+
+
+def covering_ranges(families: list[int], most: int = 10) -> list[tuple[int, int]]:
+    """At most ``most`` id ranges that hold every finest id of the given cells, split at the widest gaps."""
+    bounds = sorted(finest_range(cell) for cell in families)
+    gaps = sorted(range(1, len(bounds)), key=lambda i: bounds[i - 1][1] - bounds[i][0])[: most - 1]
+    cuts = [0, *sorted(gaps), len(bounds)]
+    return [(bounds[a][0], max(high for _, high in bounds[a:b])) for a, b in zip(cuts, cuts[1:]) if a < b]

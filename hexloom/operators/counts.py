@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hexloom.functions import cellid, tiles
 from hexloom.operators.filters import Filters, apply_filters, count_matching
-from hexloom.operators.joins import key_bytes
+from hexloom.operators.joins import families_of, key_bytes, prune
 from hexloom.operators.layers import roll_up
 
 
@@ -57,17 +57,17 @@ def tile_counts(
 ) -> DataFrame:
     """Counts per hexagon of one tile.
 
-    A tile with few index rows prunes the cells first: broadcast semi-join, plus an id range that
-    skips Parquet row groups of clustered cells.  A tile with many (the low zooms of a large table)
+    A tile with few index rows prunes the cells first: broadcast semi-join, plus id ranges that skip
+    Parquet row groups of clustered cells.  A tile with many (the low zooms of a large table)
     is grouped first, so what meets the members is one row per hexagon, never raw rows.
     """
     res = tiles.resolution_for_zoom(z)
     key = f"r{res}_id"
     members = _tile_rows(tile_index, z, x, y)
-    rows, lowest, highest = members.agg(F.count("id"), F.min("id"), F.max("id")).first()
+    rows, families = members.agg(F.count("id"), families_of(F.col("id"))).first()
     if key_bytes(rows).fits():
-        in_range = cells.where(F.col(key).between(lowest, highest))
-        inside = in_range.join(F.broadcast(members.withColumnRenamed("id", key)), key, "left_semi")
+        wanted = F.broadcast(members.withColumnRenamed("id", key))
+        inside = prune(cells, families).join(wanted, key, "left_semi")
         counts = _grouped(inside, key, filters)
     else:
         counts = _grouped(cells, key, filters).join(members, "id", "left_semi")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hexloom.functions import cellid
+
 MAX_BROADCAST_BYTES = 64 << 20
 ROW_OVERHEAD_BYTES = 24
 
@@ -55,3 +57,23 @@ def lookup_side(df: DataFrame, size: Size | None = None) -> DataFrame:
     """``df`` with a broadcast hint when its measured size is within the bound."""
     size = measure(df) if size is None else size
     return F.broadcast(df) if size.fits() else df
+
+
+PRUNING_RESOLUTION = 4
+
+
+def families_of(cell: Column, res: Column | None = None) -> Column:
+    """Aggregate: the distinct coarse ancestors of ids, at most the 288,122 cells of resolution 4."""
+    own = cellid.resolution(cell) if res is None else res
+    coarse = F.when(own > PRUNING_RESOLUTION, cellid.cell_to_parent(cell, PRUNING_RESOLUTION)).otherwise(cell)
+    return F.collect_set(coarse)
+
+
+def prune(cells: DataFrame, families: list[int]) -> DataFrame:
+    """``cells`` cut to a few id ranges around the families.
+
+    The ranges are plain comparisons on ``r11_id``: on clustered cells Parquet skips the row groups
+    outside.  They keep more than is wanted, never less; a join decides afterwards.
+    """
+    ranges = [F.col("r11_id").between(low, high) for low, high in cellid.covering_ranges(families)]
+    return cells.where(reduce(Column.__or__, ranges)) if ranges else cells.where(F.lit(False))

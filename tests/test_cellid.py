@@ -72,3 +72,16 @@ def test_parent_of_parent_is_parent(cells):
 def test_bad_resolution():
     with pytest.raises(ValueError):
         cellid.cell_to_parent(F.lit(1), 16)
+
+
+def test_covering_ranges_hold_all_descendants(spark):
+    import hexloom as hl
+
+    texts = ["8944e1a0b2fffff", "8a44e1a0b0c7fff", "8b44e1a0b2c3fff"]
+    ids = spark.createDataFrame([(t,) for t in texts], "id string")
+    for most in (1, 2, 10):
+        ranges = cellid.covering_ranges([int(t, 16) for t in texts], most)
+        assert len(ranges) <= most and ranges == sorted(ranges)
+        for row in hl.uncompact_cells(ids).collect():
+            assert any(low <= row["id"] <= high for low, high in ranges)
+    assert cellid.covering_ranges([]) == []

@@ -70,7 +70,7 @@ def test_export_has_no_hierarchy(spark, cells, tmp_path):
 
 def test_clustered_cells_are_pruned_and_spread(spark, cells, tmp_path):
     """Files cover disjoint id ranges, except that one very frequent cell is spread over several."""
-    hot = cells.limit(1).crossJoin(spark.range(6000)).select(cells.columns)
+    hot = cells.limit(1).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(6000)))).drop("_n")
     sources.write_cells(cells.unionByName(hot), str(tmp_path / "c"), 6)
     stored = spark.read.parquet(str(tmp_path / "c"))
     files = stored.groupBy("_metadata.file_path").agg(F.min("r11_id").alias("lo"), F.max("r11_id").alias("hi"), F.count("*").alias("n"))
@@ -110,3 +110,13 @@ def test_geojson(spark, cells, geometry, tmp_path):
         assert feature["properties"]["highlighted"] is True and feature["properties"]["resolution"] == 7
     sources.write_geojson(features.limit(0), str(tmp_path / "none"))
     assert spark.read.text(str(tmp_path / "none")).count() == 0
+
+
+def test_selection_skips_row_groups(spark, cells, tmp_path):
+    """On clustered cells a selection and a tile cut the scan to id ranges."""
+    sources.write_cells(cells, str(tmp_path / "c"), 4)
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    chosen = hl.select_cells_compact(stored, ["8944000006fffff"])
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(r11_id" in plan and "LessThanOrEqual(r11_id" in plan
+    assert chosen.count() == cells.where(cellid.cell_to_string(F.col("r9_id")) == "8944000006fffff").count()
