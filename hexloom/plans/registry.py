@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import hexloom as hl
 from hexloom import sources
 from hexloom.functions import cellid, geometry, tiles
+from hexloom.functions.sql import register_sql_functions
 from hexloom.operators import profile as prof
 from hexloom.operators.attributes import join_attributes
 from hexloom.operators.stats import stats
@@ -112,6 +113,27 @@ def _(spark, d):
     return texts.withColumn("valid", cellid.is_valid_cell_string(F.col("text")))
 
 
+@register(
+    "sql_functions",
+    over_cells(
+        """SELECT n, r11_id AS cell, r9_id AS parent, id AS text, CAST(11 AS INTEGER) AS resolution, true AS valid,
+             CAST(CASE WHEN n % 17 <= 6 THEN 6 WHEN n % 17 <= 8 THEN 7 WHEN n % 17 <= 10 THEN 8 WHEN n % 17 <= 12 THEN 9
+               WHEN n % 17 = 13 THEN 10 ELSE 11 END AS INTEGER) AS zoom_resolution FROM cells"""
+    ),
+)
+def _(spark, d):
+    register_sql_functions(spark)
+    return tables.cells(spark, d).selectExpr(
+        "n",
+        "h3_string_to_h3(id) AS cell",
+        "h3_cell_to_parent(r11_id, 9) AS parent",
+        "h3_h3_to_string(r11_id) AS text",
+        "h3_get_resolution(r11_id) AS resolution",
+        "h3_is_valid_cell(r11_id) AS valid",
+        "zoom_to_h3_resolution(CAST(n % 17 AS INT)) AS zoom_resolution",
+    )
+
+
 _ALL = (
     "r11_id, r10_id, r9_id, r8_id, r7_id, r6_id, r5_id, r4_id, id, n, l_quantity, l_extendedprice, l_discount, "
     "l_partkey, l_returnflag, l_linestatus, tax, discounted, flag"
