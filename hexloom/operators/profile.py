@@ -383,7 +383,8 @@ def _constant_rows(df: DataFrame, names: Sequence[str], kind: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "attribute string, type string, count long, countDistinct long")
 
 
-def _id_row(df: DataFrame, count: Column) -> DataFrame:
+def id_summary(df: DataFrame, count: Column) -> DataFrame:
+    """Row of the ``id`` attribute: its distinct ids and the wanted count, no values."""
     return df.agg(count.alias("count"), F.count_distinct("id").alias("countDistinct")).select(
         F.lit("id").alias("attribute"), F.lit("string").alias("type"), "count", "countDistinct"
     )
@@ -433,7 +434,7 @@ def profile(cells: DataFrame, versions: DataFrame, max_values: int = MAX_VALUES_
         )
     texts = [name for name in kinds["string"] if name != "id"]
     if "id" in kinds["string"]:
-        parts.append(_id_row(cells, F.count_distinct("id")))
+        parts.append(id_summary(cells, F.count_distinct("id")))
     named = [(c, "string") for c in texts] + [(c, "boolean") for c in kinds["boolean"]]
     if named:
         parts.append(_text_profile(cells, named, max_values))
@@ -459,7 +460,7 @@ def profile_file(rows: DataFrame) -> DataFrame:
     kinds = _by_type(attributes)
     parts = []
     if any(name == "id" for name, _ in columns):
-        parts.append(_id_row(rows, F.count(F.lit(1))))
+        parts.append(id_summary(rows, F.count(F.lit(1))))
     if attributes:
         groups = _value_groups(rows, kinds["number"])
         texts = [(name, kind) for name, kind in attributes if kind != "number"]

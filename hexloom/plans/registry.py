@@ -399,19 +399,21 @@ def _(spark, d):
 # --- selections and statistics -----------------------------------------------------------------
 
 _SELECTED_SQL = """
-  SELECT r7_id AS id FROM cells WHERE (r7_id >> 24) % 2 = 0
-  UNION SELECT r9_id FROM cells WHERE (r9_id >> 18) % 5 = 0
-  UNION SELECT r11_id FROM cells WHERE n % 11 = 3"""
+  SELECT r7_id AS id FROM cells GROUP BY r7_id HAVING avg(l_quantity) > 25.6e0
+  UNION SELECT r9_id FROM cells GROUP BY r9_id HAVING avg(l_quantity) > 29e0
+  UNION SELECT r11_id FROM cells WHERE l_quantity >= 49"""
+
+
+def _above(cells: DataFrame, res: int, quantity: float) -> DataFrame:
+    """Hexagons whose mean quantity is above a value."""
+    groups = cells.groupBy(F.col(f"r{res}_id").alias("id")).agg(F.avg("l_quantity").alias("mean"))
+    return groups.where(F.col("mean") > quantity).select("id")
 
 
 def _selected(cells: DataFrame) -> DataFrame:
     """A mixed-resolution selection, some of whose ids lie under others."""
-    picks = [
-        cells.where(F.shiftright("r7_id", 24) % 2 == 0).select(F.col("r7_id").alias("id")),
-        cells.where(F.shiftright("r9_id", 18) % 5 == 0).select(F.col("r9_id").alias("id")),
-        cells.where(F.col("n") % 11 == 3).select(F.col("r11_id").alias("id")),
-    ]
-    ids = picks[0].union(picks[1]).union(picks[2])
+    finest = cells.where("l_quantity >= 49").select(F.col("r11_id").alias("id"))
+    ids = _above(cells, 7, 25.6).union(_above(cells, 9, 29.0)).union(finest)
     return ids.distinct().select(cellid.cell_to_string(F.col("id")).alias("id"))
 
 
@@ -432,7 +434,7 @@ def _(spark, d):
     "uncompact",
     sql(
         CELLS,
-        "selected AS (SELECT r8_id AS id, 343 AS kids FROM cells WHERE (r8_id >> 21) % 2 = 0"
+        "selected AS (SELECT r8_id AS id, 343 AS kids FROM cells GROUP BY r8_id HAVING avg(l_quantity) > 25.5e0"
         " UNION SELECT r9_id, 49 FROM cells UNION SELECT r11_id, 1 FROM cells)",
         "spread AS (SELECT id, kids, unnest(range(0, kids)) AS i FROM selected)",
         query="""SELECT DISTINCT CASE kids WHEN 1 THEN id ELSE
@@ -443,8 +445,7 @@ def _(spark, d):
 )
 def _(spark, d):
     cells = tables.cells(spark, d)
-    picks = cells.where(F.shiftright("r8_id", 21) % 2 == 0).select(F.col("r8_id").alias("id"))
-    ids = picks.union(cells.select("r9_id")).union(cells.select("r11_id")).distinct()
+    ids = _above(cells, 8, 25.5).union(cells.select("r9_id")).union(cells.select("r11_id")).distinct()
     return hl.uncompact_cells(ids.select(cellid.cell_to_string(F.col("id")).alias("id")))
 
 
@@ -503,7 +504,7 @@ def _(spark, d):
 _NUMBERS = ("l_quantity", "l_extendedprice", "tax", "l_partkey")
 
 
-def _stats_sql(source: str) -> str:
+def _stats_sql(source: str, kinds: tuple = ("number", "string", "boolean")) -> str:
     null = "CAST(NULL AS VARCHAR) AS value, CAST(NULL AS BIGINT) AS count"
     none = "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS avg"
     numbers = [
@@ -515,14 +516,26 @@ def _stats_sql(source: str) -> str:
         f"SELECT '{c}', '{t}', CAST({c} AS VARCHAR), count({c}), {none} FROM {source} GROUP BY {c}"
         for c, t in (("l_linestatus", "string"), ("flag", "string"), ("discounted", "boolean"))
     ]
-    return " UNION ALL ".join(numbers + values)
+    return " UNION ALL ".join(part for part in numbers + values if any(f"'{kind}'" in part for kind in kinds))
 
 
-def _stats(cells: DataFrame) -> DataFrame:
+def _stats(cells: DataFrame, kinds: tuple = ("number", "string", "boolean")) -> DataFrame:
     wanted = [{"type": "number", "column": c} for c in _NUMBERS]
     wanted += [{"type": "string", "column": "l_linestatus"}, {"type": "string", "column": "flag"}]
     wanted += [{"type": "boolean", "column": "discounted"}]
-    return stats(cells, wanted).withColumn("avg", F.round("avg", 7))
+    return stats(cells, [w for w in wanted if w["type"] in kinds]).withColumn("avg", F.round("avg", 7))
+
+
+_STATS_COLUMNS = "property, type, value, count, min, max, avg"
+
+for _kind, _name in (("number", "stats_numeric"), ("string", "stats_string"), ("boolean", "stats_boolean")):
+
+    @register(
+        _name, over_cells(f"SELECT * FROM ({_stats_sql('cells', (_kind,))}) AS s({_STATS_COLUMNS})")
+    )
+    def _(spark, d, kind=_kind):
+        return _stats(tables.cells(spark, d), (kind,))
+
 
 
 @register("stats_all", over_cells(_stats_sql("cells")))
@@ -702,6 +715,24 @@ def _(spark, d):
     return named.withColumn("avg", F.round("avg", 7)).withColumn("stddev", F.round("stddev", 7))
 
 
+_SUMMARY_SQL = """SELECT '{0}' AS attribute, count({1}) AS count, count(DISTINCT {1}) AS "countDistinct" FROM cells"""
+
+
+@register("profile_string", over_cells(" UNION ALL ".join(_SUMMARY_SQL.format(c, c) for c in _PROFILED_TEXTS)))
+def _(spark, d):
+    return prof.value_summary(prof.value_frequencies(tables.cells(spark, d), _PROFILED_TEXTS))
+
+
+@register("profile_boolean", over_cells(_SUMMARY_SQL.format("discounted", _BOOLEAN_TEXT)))
+def _(spark, d):
+    return prof.value_summary(prof.value_frequencies(tables.cells(spark, d), ["discounted"]))
+
+
+@register("profile_id", over_cells("SELECT 'id' AS attribute, count(DISTINCT id) AS count FROM cells"))
+def _(spark, d):
+    return prof.id_summary(tables.cells(spark, d), F.count_distinct("id")).select("attribute", "count")
+
+
 @register(
     "value_topn",
     over_cells(
@@ -849,16 +880,15 @@ def _(spark, d):
 _COARSE_SQL = """
 coarse_rows AS (
   SELECT lower(hex(r9_id)) AS id, r9_id AS cell, n, l_extendedprice AS p, flag AS f
-  FROM cells WHERE n % 49 < 25 AND (r9_id >> 18) % 2 = 0),
+  FROM cells WHERE l_quantity >= 49),
 coarse AS (
   SELECT id, cell, p, f, row_number() OVER (ORDER BY cell) - 1 AS place, count(*) OVER () AS total
   FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, p DESC) AS rn FROM coarse_rows) WHERE rn = 1)"""
 
 
 def _coarse(cells: DataFrame) -> DataFrame:
-    """Repeated coarse ids: the last by (n, p) counts."""
-    some = cells.where((F.col("n") % 49 < 25) & (F.shiftright("r9_id", 18) % 2 == 0))
-    return some.select(
+    """Coarse rows of some hexagons only, ids repeated: the last by (n, p) counts."""
+    return cells.where("l_quantity >= 49").select(
         cellid.cell_to_string(F.col("r9_id")).alias("id"),
         F.col("l_extendedprice").alias("p"),
         F.col("flag").alias("f"),

@@ -97,11 +97,11 @@ def cell_geometry(hexes: DataFrame) -> DataFrame:
 
 
 def coarse_attributes(cell_rows: DataFrame) -> DataFrame:
-    """Attributes of resolution-9 hexagons, about half of the hexagons missing."""
-    some = cell_rows.where((F.col("n") % 49 < 25) & (F.shiftright("r9_id", 18) % 2 == 0))
+    """Attributes of resolution-9 hexagons, some of the hexagons missing."""
     return (
-        some.groupBy("r9_id")
-        .agg(F.min("l_quantity").alias("q"), F.max("flag").alias("f"))
+        cell_rows.where("l_quantity >= 49")
+        .groupBy("r9_id")
+        .agg(F.min("l_extendedprice").alias("q"), F.max("flag").alias("f"))
         .select(cellid.cell_to_string(F.col("r9_id")).alias("id"), "q", "f")
     )
 
