@@ -80,7 +80,8 @@ def main() -> None:
     ids = [row["id"] for row in selected]
     box = [[[-81.995, 24.55], [-81.972, 24.55], [-81.972, 25.2], [-81.995, 25.2]]]
     versions = spark.range(1, 4).select(F.col("id").alias("version"))
-    coarse = tables.coarse_attributes(cells)
+    tables.coarse_attributes(cells).write.parquet(f"{folder}/coarse")
+    coarse = spark.read.parquet(f"{folder}/coarse")
 
     queries = {
         "count_cells": lambda: run(hl.count_cells(cells, FILTERS)),

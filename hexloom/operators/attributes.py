@@ -92,8 +92,9 @@ def join_attributes(
     if not fallback:
         return hits.select("id", *(F.col(f"attrs.`{c}`").alias(c) for c in attributes))
     # ids with a hit get a negative number that matches nothing and, unlike NULL, spreads over tasks
-    number = fallback_number(F.col("id"), seed, rows)
-    numbered = hits.withColumn("rank", F.when(F.col("attrs").isNull(), number).otherwise(-1 - number))
+    none = -1 - F.pmod(F.xxhash64("id"), F.lit(rows).cast("long"))
+    number = F.when(F.col("attrs").isNull(), fallback_number(F.col("id"), seed, rows)).otherwise(none)
+    numbered = hits.withColumn("rank", number)
     spare = ranked(lookup, lowest).withColumnRenamed("attrs", "spare")
     joined = numbered.join(lookup_side(spare, size), "rank", "left")
     chosen = F.coalesce("attrs", "spare")

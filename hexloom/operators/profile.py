@@ -105,6 +105,12 @@ def bucket_number(value: Column, low: Column, high: Column, bins: int) -> Column
     )
 
 
+def unpivot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Long form ``(attribute, value)`` of columns of one type, without nulls."""
+    named = [F.col(f"`{c}`") for c in columns]
+    return df.unpivot([], named, "attribute", "value").where("value IS NOT NULL")
+
+
 def _as_double(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*(resolve_column(df, c).cast("double").alias(c) for c in columns))
 
@@ -136,7 +142,7 @@ def _fill_bins(bounds: DataFrame, counts: DataFrame, bins: int) -> DataFrame:
 def histograms(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> DataFrame:
     """Equal-width histograms of several columns in long form, every bin present."""
     bounds = _bounds(df, columns)
-    values = _as_double(df, columns).unpivot([], list(columns), "attribute", "value").where("value IS NOT NULL")
+    values = unpivot(_as_double(df, columns), columns)
     number = bin_number(F.col("value"), F.col("low"), F.col("high"), bins)
     counts = (
         values.join(F.broadcast(bounds), "attribute")  # one row per column of the schema
@@ -157,7 +163,7 @@ def equal_interval_buckets(df: DataFrame, columns: Sequence[str], bins: int = BI
     ``fraction=True`` gives shares of the non-null rows.  A column of at most two values has none.
     """
     bounds = _bounds(df, columns)
-    values = _as_double(df, columns).unpivot([], list(columns), "attribute", "value").where("value IS NOT NULL")
+    values = unpivot(_as_double(df, columns), columns)
     number = bucket_number(F.col("value"), F.col("low"), F.col("high"), bins)
     counts = (
         values.join(F.broadcast(bounds), "attribute")
@@ -208,17 +214,16 @@ def _value_groups(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
 
     BIGINT values are not cast: beyond 2^53 a cast to double would merge them.
     """
+    whole = {f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)}
     frames = []
-    for kind in (T.DoubleType, T.LongType):
-        chosen = [f.name for f in df.schema if f.name in columns and isinstance(f.dataType, kind)]
+    for kind, chosen in (
+        ("double", [c for c in columns if c not in whole]),
+        ("long", [c for c in columns if c in whole]),
+    ):
         if chosen:
-            frames.append(
-                df.select(*(F.col(f"`{c}`") for c in chosen))
-                .unpivot([], chosen, "attribute", "value")
-                .where("value IS NOT NULL")
-                .groupBy("attribute", "value")
-                .agg(F.count(F.lit(1)).alias("count"))
-            )
+            typed = df.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c in chosen))
+            groups = unpivot(typed, chosen).groupBy("attribute", "value")
+            frames.append(groups.agg(F.count(F.lit(1)).alias("count")))
     return frames
 
 
@@ -287,9 +292,7 @@ def value_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 text = F.coalesce(text, F.lit("null"))
             texts.append(text.alias(field.name))
     return (
-        df.select(*texts)
-        .unpivot([], list(columns), "attribute", "value")
-        .where("value IS NOT NULL")
+        unpivot(df.select(*texts), [c for c in df.columns if c in columns])
         .groupBy("attribute", "value")
         .agg(F.count(F.lit(1)).alias("count"))
     )

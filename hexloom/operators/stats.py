@@ -45,7 +45,7 @@ def value_counts(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows per value of each column; the group of nulls is there with count 0."""
     texts = cells.select(*(resolve_column(cells, name).cast("string").alias(name) for name in columns))
     return (
-        texts.unpivot([], list(columns), "property", "value")
+        texts.unpivot([], [F.col(f"`{c}`") for c in columns], "property", "value")
         .groupBy("property", "value")
         .agg(F.count("value").alias("count"))
     )

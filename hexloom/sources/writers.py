@@ -26,8 +26,8 @@ def write_cells(cells: DataFrame, path: str, partitions: int | None = None) -> N
     """Cells as Parquet clustered by ``r11_id``.
 
     Ids sort by place, so each row group covers a narrow id range at every stored level and range
-    predicates skip the others.  The row number spreads one cell with very many rows over several
-    files.
+    predicates skip the others.  The row number, the same on every attempt for cells read from files,
+    spreads one cell with very many rows over several files.
     """
     keys = [F.col("r11_id"), F.monotonically_increasing_id()]
     ranged = cells.repartitionByRange(*([partitions] if partitions else []), *keys)

@@ -150,3 +150,14 @@ def test_buckets_need_three_values(spark):
 @pytest.mark.parametrize("value, text", [(5.0, "5"), (0.25, "0.25"), (-3.0, "-3"), (1e15, "1.0E15")])
 def test_number_text(spark, value, text):
     assert spark.createDataFrame([(value,)], "v double").select(prof.number_text(F.col("v"))).first()[0] == text
+
+
+def test_odd_names_and_narrow_numbers(spark):
+    df = spark.createDataFrame([(1.0, "x", 7, 2.5), (2.0, None, 8, 2.5)], "`a.b c` double, `t.x` string, `n o` int, f float")
+    rows = {r["attribute"]: r for r in hl.profile(df, versions(spark, 1)).collect()}
+    assert rows["a.b c"]["countDistinct"] == 2 and rows["t.x"]["values"] == {"x": 1}
+    counted = hl.stats(df, [{"type": "string", "column": "t.x"}]).select("value", "count").collect()
+    assert {tuple(r) for r in counted} == {("x", 1), (None, 0)}
+    summary = {r["attribute"]: r for r in prof.numeric_summary(df, ["a.b c", "n o", "f"]).collect()}
+    assert [summary[c]["countDistinct"] for c in ("a.b c", "n o", "f")] == [2, 2, 1]
+    assert hl.histogram(df, "n o", 2).count() == 2
