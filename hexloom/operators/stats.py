@@ -61,9 +61,14 @@ def stats(cells: DataFrame, properties: Sequence[Mapping[str, str]]) -> DataFram
     parts = []
     if by_kind["number"]:
         parts.append(numeric_stats(cells, by_kind["number"]).withColumn("type", F.lit("number")))
+    kinds: dict[str, list[str]] = {}
     for kind in ("string", "boolean"):
-        if by_kind[kind]:
-            parts.append(value_counts(cells, by_kind[kind]).withColumn("type", F.lit(kind)))
+        for column in by_kind[kind]:
+            kinds.setdefault(column, []).append(kind)
+    if kinds:
+        asked = F.create_map(*(part for c, k in kinds.items() for part in (F.lit(c), F.array(*map(F.lit, k)))))
+        counts = value_counts(cells, list(kinds))
+        parts.append(counts.select("*", F.explode(asked[F.col("property")]).alias("type")))
     result = cells.sparkSession.createDataFrame([], RESULT)
     for part in parts:
         result = result.unionByName(part, allowMissingColumns=True)

@@ -283,7 +283,7 @@ def _(spark, d):
 
 @register("tile_index", over_tiles("SELECT geohash, id, resolution, zoom FROM tile_index"))
 def _(spark, d):
-    cells = tables.cells(spark, d)
+    cells = tables.stored_cells(spark, d)
     return hl.build_tile_index(cells, tables.stored_geometry(spark, d))
 
 
@@ -328,7 +328,7 @@ for _name, (_tile, _filters, _where) in _TILES.items():
         ),
     )
     def _(spark, d, tile=_tile, filters=_filters):
-        return hl.tile_counts(tables.cells(spark, d), tables.stored_tile_index(spark, d), *tile, filters)
+        return hl.tile_counts(tables.stored_cells(spark, d), tables.stored_tile_index(spark, d), *tile, filters)
 
 
 _PYRAMID_SQL = f"""
@@ -350,7 +350,7 @@ _PYRAMID_SQL = f"""
     ),
 )
 def _(spark, d):
-    return hl.tile_pyramid(tables.cells(spark, d), tables.stored_tile_index(spark, d), _MIXED)
+    return hl.tile_pyramid(tables.stored_cells(spark, d), tables.stored_tile_index(spark, d), _MIXED)
 
 
 _GEOJSON = (
@@ -426,7 +426,7 @@ _COMPACT_SQL = """SELECT * FROM cells WHERE r7_id IN (SELECT id FROM selected) O
     sql(CELLS, f"selected AS ({_SELECTED_SQL})", query=f"SELECT r11_id, n, l_extendedprice FROM ({_COMPACT_SQL})"),
 )
 def _(spark, d):
-    cells = tables.cells(spark, d)
+    cells = tables.stored_cells(spark, d)
     return hl.select_cells_compact(cells, _selected(cells)).select("r11_id", "n", "l_extendedprice")
 
 
@@ -444,7 +444,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    cells = tables.cells(spark, d)
+    cells = tables.stored_cells(spark, d)
     ids = _above(cells, 8, 25.5).union(cells.select("r9_id")).union(cells.select("r11_id")).distinct()
     return hl.uncompact_cells(ids.select(cellid.cell_to_string(F.col("id")).alias("id")))
 
@@ -487,7 +487,7 @@ for _name, (_rings, _res) in _POLYGONS.items():
         ),
     )
     def _(spark, d, rings=_rings, res=_res):
-        cells, centers = tables.cells(spark, d), tables.stored_geometry(spark, d)
+        cells, centers = tables.stored_cells(spark, d), tables.stored_geometry(spark, d)
         return hl.select_cells_polygon(cells, centers, rings, res).select("r11_id", "n", "l_quantity")
 
 
@@ -548,7 +548,7 @@ def _(spark, d):
     sql(CELLS, f"selected AS ({_SELECTED_SQL})", f"chosen AS ({_COMPACT_SQL})", query=_stats_sql("chosen")),
 )
 def _(spark, d):
-    cells = tables.cells(spark, d)
+    cells = tables.stored_cells(spark, d)
     return _stats(hl.select_cells(cells, ids=_selected(cells)))
 
 
@@ -563,7 +563,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    cells, centers = tables.cells(spark, d), tables.stored_geometry(spark, d)
+    cells, centers = tables.stored_cells(spark, d), tables.stored_geometry(spark, d)
     feature = {"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [_FINE_BOX]}}
     return _stats(hl.select_cells(cells, feature=feature, centers=centers))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hexloom.functions import cellid
 from hexloom.operators.layers import build_tile_index, hexagons
-from hexloom.sources.writers import write_tile_index
+from hexloom.sources.writers import write_cells, write_tile_index
 
 # Base cell 34 (not a pentagon) at resolution 0.
 ROOT_CELL = (1 << 59) | (34 << 45) | cellid.unused_digits(0)
@@ -120,17 +120,22 @@ _stored: dict[tuple[str, str], str] = {}
 
 
 def _store(spark: SparkSession, sf_dir: str) -> str:
-    """Geometry and tile index written once per session and data folder, as a deployment has them."""
+    """Cells, geometry and tile index written once per session and data folder, as a deployment has them."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
         folder = shared_folder(spark)
-        rows = cells(spark, sf_dir)
+        write_cells(cells(spark, sf_dir), f"{folder}/cells")
+        rows = spark.read.parquet(f"{folder}/cells")
         cell_geometry(hexagons(rows)).write.parquet(f"{folder}/geometry")
         write_tile_index(build_tile_index(rows, spark.read.parquet(f"{folder}/geometry")), f"{folder}/tiles")
         _stored[key] = folder
     return _stored[key]
 
 
+def stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{_store(spark, sf_dir)}/cells")
+
+
 def stored_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{_store(spark, sf_dir)}/geometry")
 

@@ -32,3 +32,10 @@ def test_bad_requests(cells, properties):
 def test_one_scan_for_all_numbers(cells):
     plan = hl.stats(cells, [{"type": "number", "column": c} for c in ("tax", "l_quantity", "l_partkey")])
     assert plan._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_one_scan_for_all_values(cells):
+    wanted = [{"type": "string", "column": "flag"}, {"type": "boolean", "column": "discounted"}]
+    result = hl.stats(cells, [*wanted, {"type": "string", "column": "discounted"}])
+    assert result._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert result.where("property = 'discounted'").count() == 6
