@@ -147,8 +147,8 @@ class Codec:
         new: set[str] = set()
         for text in texts:
             new.update(text.split(" ")[1:])
-        if len(self.chunks) + len(new) > KNOWN:
-            self.chunks.clear()
+        if len(self.chunks) + len(new) > 2 * KNOWN:  # what this block needs stays, frequent chunks among it
+            self.chunks = {c: self.chunks[c] for c in new if c in self.chunks}
         new.difference_update(self.chunks)
         odd = {c for c in new if not c or c[0].isspace() or c[-1].isspace()}
         matches = {c: self.pattern.findall(" " + c) for c in new - odd}

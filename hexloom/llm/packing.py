@@ -11,9 +11,11 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +23,23 @@ from hexloom.llm.common import checkpointed
 
 CAPACITY = 4096
 END_ID = 1
-GROUP_BINS = 2048
+GROUP_BINS = 512
 #: Fillings that are looked at for one bin, and search steps for a group, after which the incumbent stands.
 FILLINGS, STEPS = 64, 20_000
-#: Word pieces that a task remembers at most.
-KNOWN_CHUNKS = 400_000
+#: Chunks, and words, that a task remembers about.
+KNOWN_CHUNKS = 600_000
 
 
 class Chunks(dict):
-    """Little-endian 32-bit token ids of each white-space-separated chunk, found in blocks by the tokenizer."""
+    """Little-endian 32-bit token ids of each white-space-separated chunk.
+
+    Chunks share their words, so new chunks are cut into the words that the tokenizer cuts them into and new words go
+    to it in rows, divided again at the tokens that end a word. A chunk that lower-casing or composing characters
+    could cut otherwise goes to the tokenizer as it is.
+    """
+
+    #: Fixed value: how the tokenizer file cuts a lower-cased chunk.
+    CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -37,21 +47,57 @@ class Chunks(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.cut = regex.compile(self.CUT).findall
+        self.words: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def learn_words(self, words: set[str]) -> None:
+        if len(self.words) + len(words) > KNOWN_CHUNKS:
+            self.words.clear()
+        new = [w for w in words if w not in self.words]
+        for at in range(0, len(new), 50_000):
+            part = new[at : at + 50_000]
+            rows = [part[i : i + 100] for i in range(0, len(part), 100)]
+            for row, found in zip(rows, self.tokenizer.encode_batch_fast([" ".join(r) for r in rows], add_special_tokens=False)):
+                ids = np.array(found.ids, "<u4")
+                stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(stops) != len(row):
+                    self.words.update(zip(row, self.ids(row)))
+                    continue
+                data, start = ids.tobytes(), 0
+                for word, stop in zip(row, stops):
+                    self.words[word] = data[start:stop]
+                    start = stop
+
     def learn(self, chunks: set[str]) -> None:
-        if len(self) + len(chunks) > KNOWN_CHUNKS:
+        """Makes all of chunks known."""
+        new = chunks.difference(self)
+        if len(self) + len(new) > KNOWN_CHUNKS:  # what this block needs stays, frequent chunks among it
+            kept = {c: self[c] for c in chunks if c in self}
             self.clear()
-        new = list(chunks)
-        for at in range(0, len(new), 20_000):
-            self.update(zip(new[at : at + 20_000], self.ids(new[at : at + 20_000])))
+            self.update(kept)
+        odd, cuts = [], {}
+        for chunk in new:
+            low = chunk.lower()
+            if not chunk.isascii() and (len(low) != len(chunk) or "Σ" in chunk or not is_normalized("NFC", chunk)):
+                odd.append(chunk)
+            else:
+                cuts[chunk] = self.cut(low)
+        self.learn_words({w for words in cuts.values() for w in words})
+        known = self.words
+        self.update((c, known[w[0]] if len(w) == 1 else b"".join([known[x] for x in w])) for c, w in cuts.items())
+        if odd:
+            self.update(zip(odd, self.ids(odd)))
 
 
 _chunks: dict[str, Chunks] = {}
 #: Characters that str.split() takes for white space and the tokenizer's \s doesn't.
-_ODD_SPACES = frozenset("\x1c\x1d\x1e\x1f")
+_ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
 
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
@@ -64,12 +110,16 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
         _chunks[path] = Chunks(path)
     known = _chunks[path]
     out: list[bytes] = []
-    for at in range(0, len(texts), 500):
-        block = [None if _ODD_SPACES.intersection(t) else t.split() for t in texts[at : at + 500]]
-        new = {w for words in block if words for w in words if w not in known}
-        if new:
-            known.learn({w for words in block if words for w in words} if len(known) + len(new) > KNOWN_CHUNKS else new)
-        out += [known.ids([texts[at + i]])[0] if words is None else b"".join(map(known.__getitem__, words)) for i, words in enumerate(block)]
+    for at in range(0, len(texts), 1000):
+        block = texts[at : at + 1000]
+        whole = {i for i, t in enumerate(block) if any(c in t for c in _ODD_SPACES)}
+        chunks: set[str] = set()
+        for i, text in enumerate(block):
+            if i not in whole:
+                chunks.update(text.split())
+        known.learn(chunks)
+        get = known.__getitem__
+        out += [known.ids([t])[0] if i in whole else b"".join(map(get, t.split())) for i, t in enumerate(block)]
     return out
 
 
