@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks and words that a task remembers at most.
-KNOWN = 300_000
+KNOWN = 150_000
 
 
 class Merges:
@@ -114,7 +114,7 @@ class Merges:
 
 
 class Codec:
-    """Encodes texts chunk by chunk; what it has seen it remembers, up to KNOWN chunks."""
+    """Encodes texts chunk by chunk; what it has seen it remembers, about 2 * KNOWN chunks."""
 
     def __init__(self, path: str, pattern: str):
         self.merges = Merges(path)
@@ -199,7 +199,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 counts.append(tokens.count(",") + 1 if tokens else 0)
                 decoded.append(data)
                 held += len(tokens) + len(data)
-                if held > 8_000_000 or i == len(batch) - 1:
+                if held > 4_000_000 or i == len(batch) - 1:
                     yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at : i + 1], "ids": ids, "n_tokens": counts, "decoded": decoded})
                     ids, counts, decoded, held, at = [], [], [], 0, i + 1
 
@@ -208,7 +208,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return source.mapInPandas(run, f"doc_id {kind}, ids string, n_tokens long, decoded binary")
 
 
-def by_size(batches: Iterator[pd.DataFrame], chars: int = 16_000_000) -> Iterator[pd.DataFrame]:
+def by_size(batches: Iterator[pd.DataFrame], chars: int = 10_000_000) -> Iterator[pd.DataFrame]:
     """Batches of about so many characters of text."""
     held, size = [], 0
     for batch in batches:

@@ -22,7 +22,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (clusters install it or use --py-files)."""
+    """Let Python workers import this package from where the driver has it (clusters install it or use --py-files).
+
+    Documents are long rows, so batches between Spark and Python get fewer of them, unless the session says otherwise.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
     if root not in paths:

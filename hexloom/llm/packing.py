@@ -27,7 +27,7 @@ GROUP_BINS = 512
 #: Fillings that are looked at for one bin, and search steps for a group, after which the incumbent stands.
 FILLINGS, STEPS = 64, 20_000
 #: Chunks, and words, that a task remembers about.
-KNOWN_CHUNKS = 600_000
+KNOWN_CHUNKS = 350_000
 
 
 class Chunks(dict):

@@ -27,8 +27,8 @@ from hexloom.llm.common import checkpointed, with_key
 WINDOW = 50
 SEED = 17
 #: Words whose hashes a task keeps at most, and words that are hashed at once.
-KNOWN_WORDS = 500_000
-WORDS_AT_ONCE = 1_000_000
+KNOWN_WORDS = 200_000
+WORDS_AT_ONCE = 250_000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _LOW = (1 << 24) - 1
 
@@ -50,7 +50,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base and of its inverse, modulo 2^64."""
     if base not in _powers or len(_powers[base][0]) < n:
-        size = max(n, 2 * WORDS_AT_ONCE)
+        size = max(n, WORDS_AT_ONCE + 50_000)
         pair = []
         for b in (base, pow(base, -1, 1 << 64)):
             steps = np.full(size, b, np.uint64)
@@ -186,10 +186,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     whole = with_key(docs, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     usable = whole.where(f"doc_id is not null and octet_length(text) >= {2 * window - 1}")
     found = checkpointed(segments(usable, window, seed))
-    classes = found.groupBy("anchor", "seg").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    classes = checkpointed(classes)
-    anchors = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1").select("anchor", F.lit(True).alias("open"))
-    shared = classes.join(anchors, "anchor", "left").where("open or first < last")
+    # anchors of one document alone go first: they are most
+    anchors = found.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor")
+    found = checkpointed(found.join(anchors, "anchor"))
+    classes = checkpointed(found.groupBy("anchor", "seg").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+    several = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1").select("anchor", F.lit(True).alias("open"))
+    shared = classes.join(several, "anchor", "left").where("open or first < last")
     hits = found.join(shared, ["anchor", "seg"]).where("first < doc_id or open").select("doc_id", "sig", "start", "n", (F.col("first") < F.col("doc_id")).alias("closed"))
     hits = checkpointed(hits)
     opened = hits.where("not closed").groupBy("doc_id", "sig").agg(F.collect_set(F.struct("start", "n")).alias("segs"))
