@@ -200,7 +200,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 decoded.append(data)
                 held += len(tokens) + len(data)
                 if held > 4_000_000 or i == len(batch) - 1:
-                    yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at : i + 1], "ids": ids, "n_tokens": counts, "decoded": decoded})
+                    yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at : i + 1], "ids": pd.Series(ids, batch.index[at : i + 1], object), "n_tokens": counts, "decoded": decoded})
                     ids, counts, decoded, held, at = [], [], [], 0, i + 1
 
     kind = docs.schema["doc_id"].dataType.simpleString()

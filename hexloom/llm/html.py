@@ -218,7 +218,7 @@ class Model:
         return "\n".join(text for (_, text), label in zip(blocks, self.labels(blocks)) if label == MAIN)
 
 
-def fit(pages: list[tuple[list[list[str]], list[int]]], steps: int = 250, rate: float = 0.15, decay: float = 1e-3) -> Model:
+def fit(pages: list[tuple[list[list[str]], list[int]]], steps: int = 300, rate: float = 0.15, decay: float = 5e-5) -> Model:
     """Maximum likelihood of the labelled chains (features and labels of each page), by gradient steps (Adam)."""
     names = sorted({n for feats, _ in pages for f in feats for n in f})
     place = {n: i for i, n in enumerate(names)}
@@ -328,7 +328,7 @@ def labelled_page(texts: list[str], pick: random.Random) -> str:
     opened, closed = ("<article>", "</article>") if kind < 0.45 else ("<main>", "</main>") if kind < 0.55 else ("<main><article>", "</article></main>") if kind < 0.65 else (named("div", "content", "post-content", "entry-content", "article-body", "story", "post"), "</div>") if kind < 0.9 else ("<div>", "</div>")
     title = f"<h1>{main(words(2, 12))}</h1>"
     body = [paragraph() for _ in range(pick.randint(1, 14))]
-    for extra, chance in ((advert, 0.25), (aside, 0.2), (notice, 0.1)):
+    for extra, chance in ((advert, 0.35), (aside, 0.25), (notice, 0.15)):
         if pick.random() < chance and len(body) > 1:
             body.insert(pick.randint(1, len(body)), extra())
     if pick.random() < 0.2:
@@ -376,7 +376,8 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[["page_id", "url"]].assign(text=[model.extract(page) for page in batch["html"]])
+            found = pd.Series([model.extract(page if isinstance(page, str) else None) for page in batch["html"]], batch.index, object)
+            yield batch[["page_id", "url"]].astype({"url": object}).assign(text=found)
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kind}, url string, text string")

@@ -124,9 +124,8 @@ def learn_stems(rows: DataFrame, limit: int = STEMS) -> frozenset[str]:
                     if len(word) > 2:
                         found.add(word)
                 (toxic if label else clean).update(found)
-        yield pd.DataFrame({"stem": list(toxic), "toxic": list(toxic.values()), "clean": [clean.get(s, 0) for s in toxic]})
-        rest = [(s, n) for s, n in clean.items() if s not in toxic]
-        yield pd.DataFrame({"stem": [s for s, _ in rest], "toxic": 0, "clean": [n for _, n in rest]})
+        stems = list(toxic.keys() | clean.keys())
+        yield pd.DataFrame({"stem": pd.Series(stems, dtype=object), "toxic": [toxic[s] for s in stems], "clean": [clean[s] for s in stems]}).astype({"toxic": "int64", "clean": "int64"})
 
     counted = rows.select("text", "label").mapInPandas(run, "stem string, toxic long, clean long")
     counted = counted.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
