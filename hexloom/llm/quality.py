@@ -57,7 +57,7 @@ def host_verdicts(measured: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     prior = hosts.agg(F.expr("avg(failed / total)").alias("mean"), F.expr("var_pop(failed / total)").alias("spread"), F.avg("total").alias("size"))
     weight = "CASE WHEN spread > 0 AND mean * (1 - mean) > spread THEN mean * (1 - mean) / spread - 1 ELSE size END"
     prior = prior.select("mean", F.expr(weight).alias("weight"))
-    shrunk = hosts.crossJoin(F.broadcast(prior))  # one row
+    shrunk = hosts.withColumn("all", F.lit(1)).join(F.broadcast(prior.withColumn("all", F.lit(1))), "all")  # one row
     return shrunk.select("host", F.expr(f"(failed + mean * weight) / (total + weight) > {max_rate}").alias("rejected"))
 
 
