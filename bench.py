@@ -76,7 +76,7 @@ def main() -> None:
         lambda: sources.write_tile_index(hl.build_tile_index(cells, geometry), f"{folder}/tiles"), runs=1
     )
     index = spark.read.parquet(f"{folder}/tiles")
-    selected = cells.where("l_quantity = 50").select("id").limit(5000).collect()
+    selected = cells.where("l_quantity = 50 AND l_partkey % 5 < 2").select("id").collect()
     ids = [row["id"] for row in selected]
     box = [[[-81.995, 24.55], [-81.972, 24.55], [-81.972, 25.2], [-81.995, 25.2]]]
     versions = spark.range(1, 4).select(F.col("id").alias("version"))

@@ -18,13 +18,31 @@ RING_TYPE = "array<struct<lon:double,lat:double>>"
 Ring = Sequence[Sequence[float]]
 
 
+def required_ring(id_column: str) -> Column:
+    """The column ``ring``; a row without one raises an error that names its id."""
+    problem = F.raise_error(F.concat(F.lit("no geometry for hexagon "), F.coalesce(F.col(id_column).cast("string"), F.lit("NULL"))))
+    return F.when(F.col("ring").isNotNull(), F.col("ring")).otherwise(problem.cast(RING_TYPE))
+
+
 def close_polygon_wkt(wkt: Column) -> Column:
-    """Append the first coordinate of a POLYGON text to its end; other text is returned as is."""
-    body = F.split_part(wkt, F.lit("(("), F.lit(2))
-    points = F.btrim(body, F.lit("()"))
-    first = F.trim(F.split_part(body, F.lit(","), F.lit(1)))
-    closed = F.concat(F.lit("POLYGON(("), points, F.lit(", "), first, F.lit("))"))
-    return F.when(wkt.like("POLYGON%"), closed).otherwise(wkt)
+    """POLYGON text with every open ring, holes included, closed by its first point.
+
+    Closed rings stay; text that is no polygon, or an empty one, is returned as is.
+    """
+    rings = F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1))
+
+    def closed(ring: Column) -> Column:
+        points = F.transform(F.split(ring, ","), lambda point: F.trim(point))
+        last_first = F.when(F.element_at(points, -1) == points[0], F.array().cast("array<string>")).otherwise(F.slice(points, 1, 1))
+        return F.concat(F.lit("("), F.array_join(F.concat(points, last_first), ", "), F.lit(")"))
+
+    text = F.concat(F.lit("POLYGON("), F.array_join(F.transform(rings, closed), ", "), F.lit(")"))
+    return F.when(F.upper(F.ltrim(wkt)).startswith("POLYGON") & (F.size(rings) > 0), text).otherwise(wkt)
+
+
+def id_to_polygon(id_text: Column, multipolygon: Column) -> Column:
+    """The closed single polygon of a hexagon: ``(id, wkt)`` from its multipolygon text; the first part counts."""
+    return F.struct(id_text.alias("id"), close_polygon_wkt(multipolygon_parts(multipolygon)[0]).alias("wkt"))
 
 
 def multipolygon_parts(wkt: Column) -> Column:

@@ -49,8 +49,12 @@ SQL_FUNCTIONS = {
     "close_polygon_wkt": (
         "wkt STRING",
         "STRING",
-        "CASE WHEN wkt LIKE 'POLYGON%' THEN concat('POLYGON((', trim(BOTH '()' FROM split_part(wkt, '((', 2)), ', ',"
-        " trim(split_part(split_part(wkt, '((', 2), ',', 1)), '))') ELSE wkt END",
+        # the rings, each trimmed point by point, with the first point again where the last one differs
+        r"CASE WHEN upper(ltrim(wkt)) LIKE 'POLYGON%' AND size(regexp_extract_all(wkt, r'\(([^()]+)\)', 1)) > 0 THEN"
+        r" concat('POLYGON(', array_join(transform(transform(regexp_extract_all(wkt, r'\(([^()]+)\)', 1),"
+        " ring -> transform(split(ring, ','), point -> trim(point))),"
+        " points -> concat('(', array_join(points, ', '), if(element_at(points, -1) = points[0], '', concat(', ', points[0])), ')')),"
+        " ', '), ')') ELSE wkt END",
     ),
 }
 

@@ -19,8 +19,9 @@ def extract_cell_ids(features: DataFrame, attribute: str = "GRID_ID") -> DataFra
     problem = F.raise_error(
         F.concat(F.lit("invalid cell id: "), F.coalesce(value, F.lit("NULL")), F.lit(f" in attribute {attribute}"))
     )
-    checked = F.when(cellid.is_valid_cell_string(value), value).otherwise(problem.cast("string"))
-    return features.select(checked.alias("id"))
+    # in a filter, so that no plan leaves the check out
+    checked = features.where(F.when(cellid.is_valid_cell_string(value), F.lit(True)).otherwise(problem.cast("boolean")))
+    return checked.select(value.alias("id"))
 
 
 def last_per_id(rows: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -54,7 +55,7 @@ def ranked(lookup: DataFrame, res: int) -> DataFrame:
 
 def fallback_number(text: Column, seed: str, rows: int) -> Column:
     """A number in 0..rows-1 that depends on the id and the seed only."""
-    digits = F.substring(F.md5(F.concat(text, F.lit(seed))), 1, 8)
+    digits = F.substring(F.md5(F.concat(text, F.lit(seed))), 1, 15)
     return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(rows).cast("long"))
 
 

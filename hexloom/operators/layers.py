@@ -59,7 +59,7 @@ def build_cell_pyramid(ids: DataFrame, cell_geometry: DataFrame | None = None) -
     ]
     if cell_geometry is None:
         return layers.select(cellid.cell_to_string(F.col("id")).alias("id"), "resolution", *parents)
-    located = layers.join(cell_geometry.select("id", "ring"), "id", "left")
+    located = layers.join(cell_geometry.select("id", "ring"), "id", "left").withColumn("ring", geometry.required_ring("id"))
     return located.select(
         cellid.cell_to_string(F.col("id")).alias("id"),
         "resolution",
@@ -119,7 +119,8 @@ def build_tile_index(cells: DataFrame, cell_geometry: DataFrame) -> DataFrame:
     that each occupied hexagon touches.
 
     ``cell_geometry`` has one row per hexagon of any resolution, ``(id LONG, ring)``.  All stops share
-    one join: the id already says the resolution.
+    one join: the id already says the resolution.  A hexagon without geometry fails the job.
     """
-    located = hexagons(cells).join(cell_geometry.select("id", "ring"), "id")
+    located = hexagons(cells).join(cell_geometry.select("id", "ring"), "id", "left")
+    located = located.withColumn("ring", geometry.required_ring("id"))
     return tile_cover(located.withColumn("zoom", tiles.resolution_to_zoom(F.col("resolution"))))

@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 from hexloom.operators.filters import resolve_column
 
 BINS = 49
-MAX_VALUES_IN_MAP = 10_000
 
 # Column names a profile leaves out.  In the LIKE patterns they stand for, "_" is any
 # one character, so "rapid" goes the way of "r9_id".
@@ -41,7 +40,7 @@ def attribute_type(data_type: T.DataType) -> str:
         return "boolean"
     if isinstance(data_type, T.StringType):
         return "string"
-    if isinstance(data_type, (T.LongType, T.DoubleType)):
+    if isinstance(data_type, T.NumericType):
         return "number"
     return "mixed"
 
@@ -160,7 +159,7 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
 def equal_interval_buckets(df: DataFrame, columns: Sequence[str], bins: int = BINS, fraction: bool = False) -> DataFrame:
     """Lower-closed buckets ``(attribute, break, count)`` and a closing ``(max, NULL)`` row.
 
-    ``fraction=True`` gives shares of the non-null rows.  A column of at most two values has none.
+    ``fraction=True`` gives shares of the non-null rows.
     """
     bounds = _bounds(df, columns)
     values = unpivot(_as_double(df, columns), columns)
@@ -174,7 +173,7 @@ def equal_interval_buckets(df: DataFrame, columns: Sequence[str], bins: int = BI
     per_attribute = Window.partitionBy("attribute")  # ``bins`` rows each
     total = F.sum("count").over(per_attribute)
     share = F.try_divide(F.col("count").cast("double"), F.col("total")) if fraction else F.col("count")
-    sized = filled.withColumn("total", total).where("total > 2")
+    sized = filled.withColumn("total", total)
     breaks = sized.select("attribute", "bin", F.col("bin_start").alias("break"), share.alias("count"))
     closing = sized.where(F.col("bin") == bins).select(
         "attribute", F.lit(bins + 1).alias("bin"), F.col("bin_end").alias("break"), F.lit(None).alias("count")
@@ -393,7 +392,7 @@ def id_summary(df: DataFrame, count: Column) -> DataFrame:
     )
 
 
-def _text_profile(cells: DataFrame, columns: Sequence[tuple[str, str]], max_values: int) -> DataFrame:
+def _text_profile(cells: DataFrame, columns: Sequence[tuple[str, str]], max_values: int | None) -> DataFrame:
     """Counts of text and boolean columns, and the values of those with few.
 
     The counts, one row per column of the schema, are computed first: they tell which columns are
@@ -407,7 +406,7 @@ def _text_profile(cells: DataFrame, columns: Sequence[tuple[str, str]], max_valu
         for name, kind in columns
     ]
     summary = spark.createDataFrame(rows, "attribute string, type string, count long, countDistinct long")
-    short = [name for name, _, _, distinct in rows if 0 < distinct <= max_values]
+    short = [name for name, _, _, distinct in rows if 0 < distinct and (max_values is None or distinct <= max_values)]
     if not short:
         return summary.withColumn("values", _no_values())
     maps = _values_map(value_frequencies(cells, short))
@@ -418,12 +417,12 @@ def _no_values() -> Column:
     return F.when(F.col("countDistinct") == 0, F.create_map().cast("map<string,long>"))
 
 
-def profile(cells: DataFrame, versions: DataFrame, max_values: int = MAX_VALUES_IN_MAP) -> DataFrame:
+def profile(cells: DataFrame, versions: DataFrame, max_values: int | None = None) -> DataFrame:
     """Profile of every eligible column, one row each, with the table version.
 
-    ``values`` holds the frequencies of a text or boolean column with up to ``max_values`` distinct
-    values.  A column with more has NULL there, since one row cannot hold an unbounded map; all its
-    frequencies are in :func:`profile_values`.
+    ``values`` holds the frequencies of all values of a text or boolean column, at every size.  For
+    columns of very many values give ``max_values``: a column with more then has NULL there, and all
+    its frequencies are in :func:`profile_values`.
     """
     version = max_version(versions)
     columns = eligible_columns(cells)
@@ -452,10 +451,11 @@ def profile_values(cells: DataFrame) -> DataFrame:
     return value_frequencies(cells, names)
 
 
-def profile_file(rows: DataFrame) -> DataFrame:
+def profile_file(rows: DataFrame, listed: dict[str, int] = LISTED_VALUES) -> DataFrame:
     """Profile of a cell file (see ``sources.read_cells_csv``), with population deviation.
 
-    Every attribute lists its most frequent values: ten of a number, fifty of the others.
+    Every attribute lists its most frequent values, as many as ``listed`` says for its type; ``all_frequencies`` has
+    all of them.  A number of at most two rows gets no histogram.
     """
     columns = [(f.name, attribute_type(f.dataType)) for f in rows.schema]
     columns.sort(key=lambda c: c[0] != "id")
@@ -468,7 +468,7 @@ def profile_file(rows: DataFrame) -> DataFrame:
         groups = _value_groups(rows, kinds["number"])
         texts = [(name, kind) for name, kind in attributes if kind != "number"]
         words = _text_groups(rows, [name for name, _ in texts])
-        limits = {name: LISTED_VALUES[kind] for name, kind in attributes}
+        limits = {name: listed[kind] for name, kind in attributes}
         maps = _values_map(top_values(_as_frequencies(groups, words), limits))
         if kinds["number"]:
             some = F.when(F.col("count") > 2, F.col("histogram")).otherwise(F.array().cast(BUCKET_TYPE))

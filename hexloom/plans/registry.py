@@ -676,7 +676,8 @@ def _values_sql() -> str:
 @register("profile", over_cells(f"SELECT *, (SELECT max(l_linenumber) FROM lineitem) AS version FROM ({_PROFILE_SQL})"))
 def _(spark, d):
     document = hl.profile(tables.cells(spark, d), _versions(spark, d))
-    return _flat(document).withColumn("version", F.lit(document.first()["version"]).cast("int"))
+    version = document.select("attribute", F.col("version").cast("int").alias("version"))
+    return _flat(document).drop("version").join(version, "attribute")
 
 
 @register("profile_map", over_cells(_values_sql()))
@@ -909,7 +910,7 @@ def _(spark, d):
 _FALLBACK_SQL = """
   SELECT c.id, CASE WHEN a.id IS NOT NULL THEN a.p ELSE b.p END AS p, CASE WHEN a.id IS NOT NULL THEN a.f ELSE b.f END AS f
   FROM cells c LEFT JOIN coarse a ON a.cell = c.r9_id
-  LEFT JOIN coarse b ON b.place = CAST('0x' || substr(md5(c.id || '7'), 1, 8) AS BIGINT) % b.total"""
+  LEFT JOIN coarse b ON b.place = CAST('0x' || substr(md5(c.id || '7'), 1, 15) AS BIGINT) % b.total"""
 
 
 @register("join_attributes_fallback", sql(CELLS, _COARSE_SQL, query=_FALLBACK_SQL))

@@ -33,18 +33,27 @@ def narrow_schema(schema: T.StructType, id_column: str) -> T.StructType:
     return T.StructType([T.StructField(f.name, narrowed(f), True) for f in schema])
 
 
+#: CSV as RFC 4180 has it: a quote inside quotes is doubled.
+QUOTES = {"quote": '"', "escape": '"'}
+
+
 def read_cells_csv(
-    spark: SparkSession, path: str, id_column: str = ID_COLUMN, schema: T.StructType | str | None = None
+    spark: SparkSession,
+    path: str,
+    id_column: str = ID_COLUMN,
+    schema: T.StructType | str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Cell CSV with a header; ``id_column`` becomes ``id``, short rows are padded with NULL.
 
     Without a ``schema`` the types are inferred from the whole file, a pass of its own: give one for
-    large inputs.
+    large inputs.  Quotes inside quoted fields are doubled, as RFC 4180 has it.  ``multi_line`` allows line
+    breaks inside quotes; a file is then read by one task.
     """
     if schema is None:
-        inferred = spark.read.csv(path, header=True, inferSchema=True).schema
+        inferred = spark.read.csv(path, header=True, inferSchema=True, multiLine=multi_line, **QUOTES).schema
         schema = narrow_schema(inferred, id_column)
-    rows = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE")
+    rows = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE", multiLine=multi_line, **QUOTES)
     return rows.withColumnRenamed(id_column, "id")
 
 
@@ -74,7 +83,7 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_id_csv(spark: SparkSession, path: str) -> DataFrame:
     """First column of a headerless CSV, as text, one row per line."""
-    return spark.read.csv(path, header=False, schema="id string").where("id IS NOT NULL")
+    return spark.read.csv(path, header=False, schema="id string", **QUOTES).where("id IS NOT NULL")
 
 
 def coarse_position() -> list:
@@ -88,7 +97,7 @@ def coarse_position() -> list:
 
 def read_coarse_csv(spark: SparkSession, path: str) -> DataFrame:
     """Coarse attributes: header CSV with ``id``, all text, plus ``_file, _block, _line`` to order by."""
-    rows = spark.read.csv(path, header=True)
+    rows = spark.read.csv(path, header=True, **QUOTES)
     return rows.select("*", *coarse_position())
 
 
@@ -102,7 +111,7 @@ def read_features(spark: SparkSession, path: str, attribute: str = ID_COLUMN, fo
         columns = "`{0}` string, properties struct<`{0}`:string>".format(attribute)
         rows = spark.read.json(path, schema=columns)
         return rows.select(F.coalesce(f"properties.`{attribute}`", f"`{attribute}`").alias(attribute))
-    options = {"header": True} if format == "csv" else {}
+    options = {"header": True, **QUOTES} if format == "csv" else {}
     rows = spark.read.format(format).options(**options).load(path)
     return rows.select(F.col(f"`{attribute}`").cast("string").alias(attribute))
 

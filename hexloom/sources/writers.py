@@ -47,13 +47,13 @@ def write_cell_pyramid(layers: DataFrame, path: str) -> None:
 
 def export_csv(cells: DataFrame, path: str) -> None:
     """Cells without their hierarchy columns, as CSV with a header."""
-    cells.drop(*STORED_LEVELS).write.mode("overwrite").csv(path, header=True)
+    cells.drop(*STORED_LEVELS).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
 def write_joined_csv(joined: DataFrame, path: str) -> None:
     """Joined fine cells: ``id`` first, then the attributes."""
     attributes = [F.col(f"`{c}`") for c in joined.columns if c != "id"]
-    joined.select("id", *attributes).write.mode("overwrite").csv(path, header=True)
+    joined.select("id", *attributes).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
 def write_id_list(ids: DataFrame, path: str) -> None:
@@ -69,9 +69,9 @@ def write_profile(attributes: DataFrame, values: DataFrame, path: str) -> None:
 def geojson_features(features: DataFrame, cell_geometry: DataFrame) -> DataFrame:
     """One GeoJSON Feature text per counted hexagon (``h3`` and the count columns).
 
-    ``cell_geometry`` has the text id ``h3`` and the ``ring``.
+    ``cell_geometry`` has the text id ``h3`` and the ``ring``; a hexagon without one fails the job.
     """
-    located = features.join(cell_geometry.select("h3", "ring"), "h3")
+    located = features.join(cell_geometry.select("h3", "ring"), "h3", "left").withColumn("ring", geometry.required_ring("h3"))
     properties = F.struct(*(F.col(c) for c in features.columns))
     polygon = F.struct(
         F.lit("Polygon").alias("type"), geometry.ring_coordinates(F.col("ring")).alias("coordinates")

@@ -15,7 +15,10 @@ def one(spark, expr, value, kind="string"):
     "text, closed",
     [
         ("POLYGON((1 2, 3 4, 5 6))", "POLYGON((1 2, 3 4, 5 6, 1 2))"),
-        ("POLYGON ((1 2,3 4,5 6))", "POLYGON((1 2,3 4,5 6, 1 2))"),
+        ("POLYGON ((1 2,3 4,5 6))", "POLYGON((1 2, 3 4, 5 6, 1 2))"),
+        ("POLYGON((0 0, 9 0, 9 9), (1 1, 2 1, 2 2))", "POLYGON((0 0, 9 0, 9 9, 0 0), (1 1, 2 1, 2 2, 1 1))"),
+        ("POLYGON((0 0, 9 0, 9 9, 0 0))", "POLYGON((0 0, 9 0, 9 9, 0 0))"),
+        ("POLYGON EMPTY", "POLYGON EMPTY"),
         ("POINT(1 2)", "POINT(1 2)"),
         (None, None),
     ],

@@ -120,3 +120,31 @@ def test_selection_skips_row_groups(spark, cells, tmp_path):
     plan = chosen._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(r11_id" in plan and "LessThanOrEqual(r11_id" in plan
     assert chosen.count() == cells.where(cellid.cell_to_string(F.col("r9_id")) == "8944000006fffff").count()
+
+
+def test_csv_quotes(spark, tmp_path):
+    """Commas, doubled quotes, backslashes and empty text, written and read by another engine as well."""
+    import duckdb
+
+    values = ['say "hi", ok', "back\\slash", "a,b", "plain", "\\"]
+    rows = spark.createDataFrame([(f"{i}", v, float(i)) for i, v in enumerate(values)], "id string, t string, d double")
+    sources.export_csv(rows.coalesce(1), f"{tmp_path}/ours")
+    theirs = duckdb.sql(f"SELECT * FROM read_csv('{tmp_path}/ours/*.csv', header = true, all_varchar = true, quote = '\"', escape = '\"')").fetchall()
+    assert sorted(t for _, t, _ in theirs) == sorted(values)
+    duckdb.sql(f"COPY (SELECT * FROM read_csv('{tmp_path}/ours/*.csv', header = true, all_varchar = true, quote = '\"', escape = '\"')) TO '{tmp_path}/theirs.csv' (HEADER)")
+    back = sources.read_cells_csv(spark, f"{tmp_path}/theirs.csv", id_column="id", schema="id string, t string, d double")
+    assert sorted((r.t, r.d) for r in back.collect()) == sorted((v, float(i)) for i, v in enumerate(values))
+
+
+def test_missing_geometry_fails(spark, cells, geometry):
+    import hexloom as hl
+
+    with pytest.raises(Exception, match="no geometry"):
+        hl.build_tile_index(cells, geometry.where("id % 5 <> 0")).collect()
+
+
+def test_bad_feature_ids_fail_even_a_count(spark):
+    import hexloom as hl
+
+    with pytest.raises(Exception, match="invalid cell id"):
+        hl.extract_cell_ids(spark.createDataFrame([("zz",)], "GRID_ID string")).count()
