@@ -4,9 +4,10 @@ import pytest
 from compare import connect, duck_rows, spark_rows
 
 import __spark_entry__ as entry_points
+from hexloom.plans import registry
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = registry.QUERIES
+ORACLES = registry.ORACLES
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
