@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hexloom.llm.common import worker_memory
+
 #: Chunks and words that a task remembers at most.
 KNOWN = 150_000
 
@@ -177,9 +179,6 @@ class Codec:
             yield ",".join([f[0] for f in found]), b"".join([f[1] for f in found])
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, ids (decimal, joined by commas), n_tokens, decoded (binary, from the ids) of every row of docs (doc_id, text).
 
@@ -188,9 +187,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if (ranks_path, pattern) not in _codecs:
-            _codecs[ranks_path, pattern] = Codec(ranks_path, pattern)
-        codec = _codecs[ranks_path, pattern]
+        codec = worker_memory(("bytebpe", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
         for batch in by_size(batches):
             # results leave in parts, the corpus of the replay is the whole batch
             ids, counts, decoded, held, at = [], [], [], 0, 0

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from pathlib import Path
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 32 << 20
+#: Setting, Spark's default and the value used here.
+SMALL_BATCHES = (
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608"),
+)
+_memory: dict[Hashable, Any] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,16 +32,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it (clusters install it or use --py-files).
 
-    Documents are long rows, so batches between Spark and Python get fewer of them, unless the session says otherwise.
+    Documents are long rows, so batches between Spark and Python get fewer of them and fewer bytes, unless the session
+    says otherwise.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for name, default, here in SMALL_BATCHES:
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, here)
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = ":".join(filter(None, [root, *paths]))
 
 
+def worker_memory(owner: Hashable, make: Callable[[], Any] = dict) -> Any:
+    """What a Python worker remembers for an operator from one task to the next, made at its first task.
+
+    Workers outlive stages, so the memory of any other operator is given back first: a worker never holds that of two.
+    """
+    if owner not in _memory:
+        _memory.clear()
+        pa.default_memory_pool().release_unused()
+        _memory[owner] = make()
+    return _memory[owner]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only a local master without that setting gets a temporary one."""
     context = spark.sparkContext

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import checkpointed
+from hexloom.llm.common import checkpointed, worker_memory
 
 CAPACITY = 4096
 END_ID = 1
@@ -95,7 +95,6 @@ class Chunks(dict):
             self.update(zip(odd, self.ids(odd)))
 
 
-_chunks: dict[str, Chunks] = {}
 #: Characters that str.split() takes for white space and the tokenizer's \s doesn't.
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
@@ -106,9 +105,7 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     The tokenizer never joins characters over white space and its normalisation is the same in every place, so the
     ids of a text are those of its chunks. Texts with separators on which Python and the tokenizer differ go whole.
     """
-    if path not in _chunks:
-        _chunks[path] = Chunks(path)
-    known = _chunks[path]
+    known = worker_memory(("packing", path), lambda: Chunks(path))
     out: list[bytes] = []
     for at in range(0, len(texts), 1000):
         block = texts[at : at + 1000]

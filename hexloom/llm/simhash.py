@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import checkpointed, components, sorted_groups
+from hexloom.llm.common import checkpointed, components, sorted_groups, worker_memory
 
 BUDGET = 4
 BLOCKS = 6
@@ -48,6 +48,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) for every row; a null text has fingerprint zero."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_memory("simhash")
         for batch in batches:
             codes = np.array([fingerprint(t, shingle) for t in batch["text"]], np.uint64)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": codes.view(np.int64)})

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import checkpointed, with_key
+from hexloom.llm.common import checkpointed, with_key, worker_memory
 
 WINDOW = 50
 SEED = 17
@@ -43,21 +43,30 @@ class WordHashes(dict):
         return value
 
 
-_known = WordHashes()
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+class Memory:
+    """What a worker keeps between tasks."""
+
+    def __init__(self) -> None:
+        self.hashes = WordHashes()
+        self.powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def memory() -> Memory:
+    return worker_memory("substrings", Memory)
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base and of its inverse, modulo 2^64."""
-    if base not in _powers or len(_powers[base][0]) < n:
+    known = memory().powers
+    if base not in known or len(known[base][0]) < n:
         size = max(n, WORDS_AT_ONCE + 50_000)
         pair = []
         for b in (base, pow(base, -1, 1 << 64)):
             steps = np.full(size, b, np.uint64)
             steps[0] = 1
             pair.append(np.multiply.accumulate(steps))
-        _powers[base] = tuple(pair)
-    return _powers[base]
+        known[base] = tuple(pair)
+    return known[base]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -79,7 +88,7 @@ class Grams:
 
 
 def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(memory().hashes.__getitem__, words), np.uint64, len(words))
 
 
 def document_chunks(batches: Iterator[pd.DataFrame], least: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:

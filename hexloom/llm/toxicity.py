@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import checkpointed
+from hexloom.llm.common import checkpointed, worker_memory
 
 SAMPLE = 16_000
 STEMS = 2000
@@ -92,6 +92,7 @@ def with_features(docs: DataFrame, stems: frozenset[str]) -> DataFrame:
 
     @F.pandas_udf("array<double>")
     def dense(texts: pd.Series) -> pd.Series:
+        worker_memory("toxicity")
         return pd.Series([features(t, shared.value) for t in texts])
 
     return docs.withColumn("dense", dense(F.coalesce("text", F.lit(""))))
