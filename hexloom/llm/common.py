@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Hashable, Iterator
 from pathlib import Path
 from typing import Any
@@ -21,6 +22,7 @@ SMALL_BATCHES = (
     ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
     ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608"),
 )
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _memory: dict[Hashable, Any] = {}
 
 
@@ -76,6 +78,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once as a Parquet table under the shared checkpoint folder and read from there from now on.
+
+    Like checkpointed, but compressed, and what the write shuffled is removed when it is done, so that a chain of
+    stored tables needs the local disk of its largest step instead of that of all steps.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def small_side(df: DataFrame, size: str) -> DataFrame:
     """df, a checkpointed one, with a broadcast hint if the sum of the SQL expression size is within BROADCAST_BYTES.
 

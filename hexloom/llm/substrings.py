@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import checkpointed, with_key, worker_memory
+from hexloom.llm.common import stored, with_key, worker_memory
 
 WINDOW = 50
 SEED = 17
@@ -194,20 +194,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     """
     whole = with_key(docs, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     usable = whole.where(f"doc_id is not null and octet_length(text) >= {2 * window - 1}")
-    found = checkpointed(segments(usable, window, seed))
+    found = stored(segments(usable, window, seed))
     # anchors of one document alone go first: they are most
     anchors = found.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor")
-    # joins read checkpoints on both sides, so that Spark can split the partition of a frequent anchor
-    found = checkpointed(found.join(checkpointed(anchors), "anchor"))
-    classes = checkpointed(found.groupBy("anchor", "seg").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+    # joins read stored tables on both sides, so that Spark can split the partition of a frequent anchor
+    found = stored(found.join(stored(anchors), "anchor"))
+    classes = stored(found.groupBy("anchor", "seg").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     several = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1").select("anchor", F.lit(True).alias("open"))
-    shared = checkpointed(classes.join(several, "anchor", "left").where("open or first < last"))
+    shared = stored(classes.join(several, "anchor", "left").where("open or first < last"))
     hits = found.join(shared, ["anchor", "seg"]).where("first < doc_id or open").select("doc_id", "sig", "start", "n", (F.col("first") < F.col("doc_id")).alias("closed"))
-    hits = checkpointed(hits)
+    hits = stored(hits)
     opened = hits.where("not closed").groupBy("doc_id", "sig").agg(F.collect_set(F.struct("start", "n")).alias("segs"))
-    windows = checkpointed(open_windows(whole.join(opened, ["doc_id", "sig"]), window))
+    windows = stored(open_windows(whole.join(opened, ["doc_id", "sig"]), window))
     firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    firsts = checkpointed(firsts)
+    firsts = stored(firsts)
     late = windows.join(firsts, ["w1", "w2"]).where("first < doc_id").select("doc_id", "sig", "start", F.lit(1).alias("n"))
     spans = hits.where("closed").select("doc_id", "sig", "start", "n").union(late).groupBy("doc_id", "sig").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
