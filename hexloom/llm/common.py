@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -50,10 +52,14 @@ def worker_memory(owner: Hashable, make: Callable[[], Any] = dict) -> Any:
     """What a Python worker remembers for an operator from one task to the next, made at its first task.
 
     Workers outlive stages, so the memory of any other operator is given back first: a worker never holds that of two.
+    What many small objects leave free in between goes back to the system as well, where the C library can do that.
     """
     if owner not in _memory:
         _memory.clear()
+        gc.collect()
         pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
         _memory[owner] = make()
     return _memory[owner]
 
