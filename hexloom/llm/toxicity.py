@@ -142,25 +142,28 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     equal texts are one training row. Without training rows of both labels every score is 0. Repeated rows come out
     repeated; other columns are not read.
     """
+    scored = with_scores(docs, labels, sample, F.col("doc_id"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def with_scores(docs: DataFrame, labels: DataFrame, sample: int, kept: F.Column) -> DataFrame:
+    """The column kept and score for every row of docs. Rows are scored where they are read, so kept is never shuffled."""
     rows = checkpointed(training_rows(docs, labels, sample).repartition(8, "sig"))
     kinds = rows.select("label").distinct().collect()
-    texts = docs.select("doc_id", "text")
     if len(kinds) < 2:
-        raw = texts.select("doc_id", F.lit(0.0).alias("score"))
-    else:
-        stems = learn_stems(rows)
-        train = checkpointed(with_features(rows, stems).select("sig", "label", array_to_vector("dense").alias("features")).coalesce(4))
-        # trees and calibration from different rows, so that the calibration isn't fooled by fitted scores
-        parts = [train.where(F.pmod("sig", F.lit(4)) != 0), train.where(F.pmod("sig", F.lit(4)) == 0)]
-        trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=64, stepSize=0.3, seed=7, subsamplingRate=1.0, cacheNodeIds=False).fit(parts[0])
-        raise_ = vector_to_array("probability")[1]
-        scored = trees.transform(parts[1]).select("label", raise_.alias("raw"))
-        steps = IsotonicRegression(featuresCol="raw", predictionCol="score").fit(scored)
-        out = with_features(texts, stems).select("doc_id", array_to_vector("dense").alias("features"))
-        out = trees.transform(out).select("doc_id", raise_.alias("raw"))
-        edges, values = ([float(x) for x in v.toArray()] for v in (steps.boundaries, steps.predictions))
-        raw = out.select("doc_id", calibrated(F.col("raw"), edges, values).alias("score"))
-    return raw.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        return docs.select(kept, F.lit(0.0).alias("score"))
+    stems = learn_stems(rows)
+    train = checkpointed(with_features(rows, stems).select("sig", "label", array_to_vector("dense").alias("features")).coalesce(4))
+    # trees and calibration from different rows, so that the calibration isn't fooled by fitted scores
+    parts = [train.where(F.pmod("sig", F.lit(4)) != 0), train.where(F.pmod("sig", F.lit(4)) == 0)]
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=64, stepSize=0.3, seed=7, subsamplingRate=1.0, cacheNodeIds=False).fit(parts[0])
+    raw = vector_to_array("probability")[1].alias("raw")
+    steps = IsotonicRegression(featuresCol="raw", predictionCol="score").fit(trees.transform(parts[1]).select("label", raw))
+    edges, values = ([float(x) for x in v.toArray()] for v in (steps.boundaries, steps.predictions))
+    texts = docs.select(kept, "text")
+    name = texts.columns[0]
+    out = trees.transform(with_features(texts, stems).select(name, array_to_vector("dense").alias("features"))).select(name, raw)
+    return out.select(name, calibrated(F.col("raw"), edges, values).alias("score"))
 
 
 def calibrated(raw: F.Column, edges: list[float], values: list[float]) -> F.Column:
@@ -175,7 +178,6 @@ def calibrated(raw: F.Column, edges: list[float], values: list[float]) -> F.Colu
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents predicted toxic. A null doc_id is judged by its text like any other."""
-    toxic = score(docs.select(F.col("doc_id"), "text"), labels)
-    bad = toxic.where("predicted = 1").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+    """docs without the rows predicted toxic, each judged by its own text, as its doc_id may be null or repeated."""
+    scored = with_scores(docs, labels, SAMPLE, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return scored.where("score < 0.5").select("row.*")
