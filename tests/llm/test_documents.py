@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -164,6 +165,10 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.predicted == (r.doc_id % 7 == 0) for r in held) >= 0.97 * len(held)
     kept = toxicity.without_toxic(docs, labels)
     assert kept.columns == docs.columns and kept.count() == 1503 - sum(r.predicted for r in found)
+    clashing = docs.selectExpr("doc_id", "text", *[f"7 as {c}" for c in ("row", "dense", "features", "probability", "raw", "score", "predicted")])
+    odd = toxicity.without_toxic(clashing, labels)
+    assert odd.columns == clashing.columns and sorted(map(str, odd.select("doc_id", "text").collect())) == sorted(map(str, kept.collect()))
+    assert not re.search("Exchange|Join", odd._jdf.queryExecution().toString())  # texts stay where they are read
     assert all(r.score == 0 for r in toxicity.score(docs, labels.where("false")).collect())
 
 
