@@ -28,14 +28,35 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
     return frequent.groupBy("host").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_site_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate_of_texts(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """As boilerplate, but copies of a text in one source are one page, for the lines and for the host's total.
+
+    Only hashes are grouped. A page without copies has a null page below, so that a frequent line is still one row per
+    task, and a group of copies adds one row per line and task.
+    """
+    keyed = docs.select("source", F.expr("coalesce(text, '')").alias("text")).select("source", "text", F.xxhash64("text").alias("page"), F.hash("text").alias("page_check"))
+    texts = checkpointed(keyed.groupBy("source", "page", "page_check").agg(F.count("*").alias("copies")))
+    totals = texts.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("total"))
+    copied = small_side(checkpointed(texts.where("copies > 1").select(F.col("source").alias("of"), F.col("page").alias("p"), F.col("page_check").alias("c"))), "32 + coalesce(length(of), 0)")
+    same = keyed["source"].eqNullSafe(copied["of"]) & (keyed["page"] == copied["p"]) & (keyed["page_check"] == copied["c"])
+    pages = keyed.join(copied, same, "left").select("source", F.when(F.col("p").isNotNull(), F.struct("p", "c")).alias("copy"), F.expr(_LINES).alias("all_lines"))
+    lines = pages.select("source", "copy", F.explode(F.array_distinct("all_lines")).alias("line")).where(r"line rlike '[^\\x20\\x09-\\x0D]'")
+    line = (F.xxhash64("line").alias("line"), F.hash("line").alias("check"), F.length("line").alias("chars"))
+    counts = lines.groupBy("source", *line).agg((F.count(F.when(F.col("copy").isNull(), 1)) + F.count_distinct("copy")).alias("pages"))
+    frequent = counts.where(F.col("pages") >= min_pages)
+    frequent = frequent.join(totals, F.col("source").eqNullSafe(F.col("host"))).where(F.col("pages") > ratio * F.col("total"))
+    return frequent.groupBy("host").agg(F.collect_set("line").alias("lines"))
+
+
+def drop_site_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, found: DataFrame | None = None) -> DataFrame:
     """docs with kept (the text without its site's boilerplate lines), n_lines and n_dropped.
 
     A line is dropped if it has a word, stands on at least min_pages pages of the host and on more than ratio of
     them. Null hosts are one host. A null text has one empty line and stays null. Repeated rows are pages of their
-    own. An empty table gives an empty result. Other columns are carried along.
+    own. An empty table gives an empty result. Other columns are carried along. found: the lines of each host, if they
+    are not those of boilerplate.
     """
-    found = checkpointed(boilerplate(docs, ratio, min_pages))
+    found = checkpointed(boilerplate(docs, ratio, min_pages) if found is None else found)
     found = small_side(found, "16 + 8 * size(lines)")
     joined = docs.join(found, docs["source"].eqNullSafe(found["host"]), "left")
     lines = F.expr(_LINES)
@@ -50,8 +71,11 @@ def drop_site_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_
 
 
 def without_site_lines(docs: DataFrame) -> DataFrame:
-    """docs with boilerplate lines cut out of text; a document that had nothing else goes. n_chars follows the text."""
-    cut = drop_site_lines(docs)
+    """docs with boilerplate lines cut out of text; a document that had nothing else goes. n_chars follows the text.
+
+    Copies are one page here: near-duplicate stages keep one of them, so their lines are no boilerplate for being copied.
+    """
+    cut = drop_site_lines(docs, found=boilerplate_of_texts(docs))
     cut = cut.where(r"n_dropped = 0 or kept rlike '[^\\x20\\x09-\\x0D]'")
     changed = F.col("n_dropped") > 0
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}

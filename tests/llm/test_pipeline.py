@@ -31,3 +31,14 @@ def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and len({(r.doc_id, r.piece) for r in rows}) == len(rows)
     assert "op5_simhash" in QUERIES
+
+
+def test_one_of_a_group_of_copies_stays(spark):
+    copy = "\n".join(" ".join(f"c{k}x{j}" for j in range(12)) for k in range(8))
+    pages = [copy] * 15 + ["Menu\n" + " ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(pages)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, "")
+    rows = texts(docs)
+    assert [(i, t.split()) for i, t in rows if "c0x0" in t] == [(0, copy.split())]
+    assert len(rows) == 31 and not any("Menu" in t for _, t in rows)
