@@ -3,12 +3,14 @@
 Each pass gives every vector a key of concatenated random hashes (signs of random projections) and sorts the vectors
 of a label by it; vectors that are close stand close in some pass. Each vector is compared with the WINDOW that follow
 it, in double precision, and further on for as long as the last window still held a link, so that a dense cluster is
-not cut off. Equal vectors are one, with a weight. The links of all passes are united.
+not cut off, over the ends of slices as well: rows whose windows are not over at the end of a slice go on in the next
+one, in rounds of a join by slice number. Equal vectors are one, with a weight. The links of all passes are united.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import checkpointed, components
+from hexloom.llm.common import checkpointed, components, small_side
 
 SIMILARITY = 0.98
 PASSES = 14
@@ -24,6 +26,8 @@ BITS = 48
 WINDOW = 64
 #: Bytes of vectors that one sorted slice holds about.
 SLICE_BYTES = 32 << 20
+#: Kinds of rows that come out of a slice: a link, a vector's place in the order, a vector whose windows are not over.
+LINK, PLACE, OPEN = range(3)
 
 
 def valid(column: str) -> F.Column:
@@ -58,28 +62,32 @@ def keyed(classes: DataFrame, passes: int, bits: int) -> DataFrame:
     return classes.select("id", "label", "vec").mapInPandas(run, f"pass int, label {kind}, dim int, key long, id long, vec array<double>")
 
 
-def window_links(rows: np.ndarray, ids: np.ndarray, end: np.ndarray, similarity: float, window: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids that link: each row against the next ones before end, in windows, until a whole window has no link."""
-    active = np.arange(len(rows)) if starts is None else starts
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    base = 0
+def follow(
+    left: np.ndarray, left_ids: np.ndarray, start: np.ndarray, end: np.ndarray, done: np.ndarray, hit: np.ndarray, rows: np.ndarray, ids: np.ndarray, similarity: float, window: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of ids that link: each left row against rows[start:end], in windows, until a whole window has no link.
+
+    done and hit tell how much of its window a row has seen and whether there was a link; they come back as they stand
+    at the end, after the pairs and the flags of the rows that came to their end with their windows not over.
+    """
+    done, hit, still = done.copy(), hit.copy(), np.zeros(len(left), bool)
+    active, step = np.arange(len(left)), 0
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     while len(active):
-        linked = np.zeros(len(active), bool)
-        for step in range(base + 1, base + window + 1):
-            inside = active + step < end[active]
-            if not inside.any():
-                break
-            left = active[inside]
-            cosine = np.einsum("ij,ij->i", rows[left], rows[left + step])
-            hit = cosine >= similarity
-            linked[np.flatnonzero(inside)[hit]] = True
-            found.append((ids[left[hit]], ids[left[hit] + step]))
-        active = active[linked]
-        base += window
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        inside = start[active] + step < end[active]
+        still[active[~inside]] = True
+        active = active[inside]
+        at = start[active] + step
+        linked = np.einsum("ij,ij->i", left[active], rows[at]) >= similarity
+        found.append((left_ids[active[linked]], ids[at[linked]]))
+        done[active] += 1
+        hit[active] |= linked
+        full, on = done[active] == window, hit[active]
+        done[active[full & on]], hit[active[full & on]] = 0, False
+        active = active[~full | on]
+        step += 1
     a, b = (np.concatenate(x) for x in zip(*found))
-    return np.minimum(a, b), np.maximum(a, b)
+    return np.minimum(a, b), np.maximum(a, b), still, done, hit
 
 
 def runs(frame: pd.DataFrame) -> np.ndarray:
@@ -98,41 +106,77 @@ def links(classes: DataFrame, similarity: float = SIMILARITY, passes: int = PASS
     order = ["pass", "label", "dim", "key", "id"]
     ordered = keyed(classes, passes, bits).repartitionByRange(slices, *order).sortWithinPartitions(*order)
     kind = classes.schema["label"].dataType.simpleString()
+    columns = ["kind", "slice", "pos", "pass", "label", "dim", "a", "b", "done", "hit", "vec"]
+    types = f"kind int, slice long, pos long, pass int, label {kind}, dim int, a long, b long, done int, hit boolean, vec array<double>"
+
+    def shaped(frame: pd.DataFrame, kind: int) -> pd.DataFrame:
+        return frame.assign(kind=kind, **{c: None for c in columns if c not in frame and c != "kind"})[columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]  # a slice of about SLICE_BYTES
         if not held:
             return
         frame = pd.concat(held, ignore_index=True)
-        part = TaskContext.get().partitionId()
-        found: dict[str, list] = {"a": [], "b": []}
+        frame = frame.assign(slice=TaskContext.get().partitionId(), pos=np.arange(len(frame))).rename(columns={"id": "a"})
+        pairs = []
         end = runs(frame)
         for dim in frame["dim"].unique():
             at = np.flatnonzero((frame["dim"] == dim).to_numpy())
             # sorted by dim inside (pass, label), so the rows of one dim form runs; ends become places among them
             place = np.searchsorted(at, end[at])
-            a, b = window_links(unit(frame["vec"].iloc[at]), frame["id"].to_numpy(np.int64)[at], place, similarity, window)
-            found["a"].append(a)
-            found["b"].append(b)
-        pairs = pd.DataFrame({k: np.concatenate(v) for k, v in found.items()}).drop_duplicates()
-        yield pairs.assign(edge=pd.array([None] * len(pairs), "Int64"), side=None, **{"pass": None, "label": None, "dim": None, "vec": None})
-        for edge, side, rows in ((part - 1, 1, frame.head(window)), (part, 0, frame.tail(window))):
-            yield pd.DataFrame({"a": rows["id"], "b": None, "edge": edge, "side": side, "pass": rows["pass"], "label": rows["label"], "dim": rows["dim"], "vec": rows["vec"]})
-
-    found = checkpointed(ordered.mapInPandas(run, f"a long, b long, edge long, side int, pass int, label {kind}, dim int, vec array<double>"))
+            rows, ids = unit(frame["vec"].iloc[at]), frame["a"].to_numpy(np.int64)[at]
+            none = np.zeros(len(at), np.int64)
+            a, b, still, done, hit = follow(rows, ids, np.arange(len(at)) + 1, place, none, none > 0, rows, ids, similarity, window)
+            pairs.append(pd.DataFrame({"a": a, "b": b}))
+            still &= end[at] == len(frame)  # the run may go on in the next slice
+            yield shaped(frame.iloc[at[still]][["slice", "pass", "label", "dim", "a", "vec"]].assign(done=done[still], hit=hit[still]), OPEN)
+        yield shaped(pd.concat(pairs).drop_duplicates(), LINK)
+        yield shaped(frame[["slice", "pos", "pass", "label", "dim", "a"]], PLACE)
+
+    found = checkpointed(ordered.mapInPandas(run, types))
+    places = found.where(F.col("kind") == PLACE).select(F.col("slice").alias("target"), "pos", "pass", "label", "dim", F.col("a").alias("id"))
+    sizes = sorted(tuple(r) for r in found.where(F.col("kind") == PLACE).groupBy("slice").count().collect())
+    nexts = F.broadcast(spark.createDataFrame([(s, *after) for (s, _), after in zip(sizes, sizes[1:])], "slice long, target long, size long"))
+    work = ["origin", "target", "size", "lo", "take"]
+    state = ["pass", "label", "dim", "a", "done", "hit", "vec"]
 
     def across(frame: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"a": [], "b": []}, dtype=np.int64)]
-        for _, rows in frame.groupby(["pass", "label", "dim"]):
-            low, high = rows[rows["side"] == 0], rows[rows["side"] == 1]
-            if len(low) and len(high):
-                i, j = np.nonzero(unit(low["vec"]) @ unit(high["vec"]).T >= similarity)
-                a, b = low["a"].to_numpy(np.int64)[i], high["a"].to_numpy(np.int64)[j]
-                out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
-        return pd.concat(out)
-
-    edges = found.where("edge is not null").groupBy("edge").applyInPandas(across, "a long, b long")
-    return found.where("edge is null").select("a", "b").union(edges).distinct()
+        left, right = frame[frame["pos"].isna()], frame[frame["pos"].notna()].sort_values("pos")
+        # all left rows are of one pass, label and dim: the last of their slice
+        same = (right[["pass", "label", "dim"]] == left[["pass", "label", "dim"]].iloc[0]).all(axis=1).to_numpy()
+        end = len(same) if same.all() else int(same.argmin())
+        if not end:
+            return left.iloc[:0].assign(kind=LINK, b=None)[["kind", *work, *state, "b"]]
+        n = len(left)
+        a, b, still, done, hit = follow(
+            unit(left["vec"]), left["a"].to_numpy(np.int64), np.zeros(n, np.int64), np.full(n, end), left["done"].to_numpy(np.int64), left["hit"].to_numpy(bool),
+            unit(right["vec"].iloc[:end]), right["a"].to_numpy(np.int64), similarity, window,
+        )
+        still &= end == len(right)
+        pairs = pd.DataFrame({"a": a, "b": b}).assign(kind=LINK, **{c: None for c in [*work, *state] if c != "a"})
+        rest = left[still].assign(kind=OPEN, b=None, done=done[still], hit=hit[still])
+        return pd.concat([x[["kind", *work, *state, "b"]].astype(object) for x in (pairs, rest)])
+
+    out = [found.where(F.col("kind") == LINK).select("a", "b")]
+    waiting = found.where(F.col("kind") == OPEN).join(nexts, "slice")
+    waiting = waiting.select(F.col("slice").alias("origin"), "target", "size", F.lit(0).cast("long").alias("lo"), F.lit(window).cast("long").alias("take"), *state)
+    while True:
+        waiting = checkpointed(waiting)
+        parts = checkpointed(waiting.select(*work).distinct())
+        if parts.isEmpty():
+            return out[0].distinct() if len(out) == 1 else reduce(DataFrame.union, out).distinct()
+        chunk = places.join(small_side(parts, "40"), "target").where("pos >= lo and pos < lo + take").select(*work, "pos", "pass", "label", "dim", "id")
+        chunk = classes.select("id", "vec").join(small_side(checkpointed(chunk), "80"), "id")
+        chunk = chunk.select(*work, "pos", "pass", "label", "dim", F.col("id").alias("a"), F.lit(None).cast("int").alias("done"), F.lit(None).cast("boolean").alias("hit"), "vec")
+        both = waiting.select(*work, F.lit(None).cast("long").alias("pos"), *state).union(chunk)
+        step = both.groupBy(*work).applyInPandas(across, f"kind int, {' long, '.join(work)} long, pass int, label {kind}, dim int, a long, done int, hit boolean, vec array<double>, b long")
+        step = checkpointed(step)
+        out.append(step.where(F.col("kind") == LINK).select("a", "b"))
+        rest = step.where(F.col("kind") == OPEN).drop("kind", "b")
+        # twice as many rows of the same slice, or the first ones of the next
+        inside = rest.where("lo + take < size").withColumn("lo", F.expr("lo + take")).withColumn("take", F.expr("2 * take"))
+        beyond = rest.where("lo + take >= size").withColumn("slice", F.col("target")).drop("target", "size").join(nexts, "slice").withColumn("lo", F.lit(0).cast("long"))
+        waiting = inside.select(*work, *state).union(beyond.select(*work, *state))
 
 
 def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, passes: int = PASSES, bits: int = BITS, window: int = WINDOW) -> DataFrame:

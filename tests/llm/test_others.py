@@ -104,3 +104,23 @@ def test_embeddings(spark):
     assert all(found[i].kept == (found[i].component_id == i) for i in ids)
     assert all(found[i].n_links == 0 and found[i].kept for i in (1000, 1001, 1002, 1003, 1004, 1005, 1006, None))
     assert embeddings.near_duplicates(frame.where("false")).count() == 0
+
+
+def test_dense_clusters_cross_slices(spark):
+    rng = np.random.default_rng(2)
+    dense = rng.standard_normal(16)
+    rows = [(i, (dense + 0.02 * rng.standard_normal(16)).astype("f4").tolist(), 1) for i in range(120)]
+    rows += [(i, rng.standard_normal(16).astype("f4").tolist(), 1) for i in range(120, 240)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    unit = np.array([r[1] for r in rows], float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = {i: int(n) - 1 for i, n in enumerate((unit @ unit.T >= 0.98).sum(axis=1))}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for slices in ("2", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", slices)
+            found.append({r.vec_id: r.n_links for r in embeddings.near_duplicates(frame, passes=2, window=16).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == want and min(want[i] for i in range(120)) == 119
