@@ -28,6 +28,8 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style template noscript head title textarea svg iframe object canvas math".split())
+#: Elements that may stand in a head; any other start tag ends it.
+_IN_HEAD = frozenset("html head title base link meta script style noscript template basefont bgsound noframes".split())
 _P_CLOSERS = BLOCK - frozenset("button label option body html".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = {"li": frozenset(("ul", "ol", "menu", "dir")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("tr",)), "th": frozenset(("tr",)), "option": frozenset(("select",))}
@@ -78,7 +80,21 @@ class Blocks(HTMLParser):
             self.links -= tag == "a"
         del self.stack[i:]
 
+    def parse_html_declaration(self, i: int) -> int:
+        """Where a declaration at i ends. Marked sections that the parser gives up on are bogus comments."""
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
+    def end_head(self) -> None:
+        """Close a head that is open itself: a noscript, template or svg in it holds what it holds."""
+        if self.stack and self.stack[-1][0] == "head":
+            self.pop_to(len(self.stack) - 1)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in _IN_HEAD:
+            self.end_head()
         if tag in BLOCK:
             self.end_block()
             if tag in _P_CLOSERS:
@@ -122,10 +138,12 @@ class Blocks(HTMLParser):
             if self.stack[i][0] == tag:
                 self.pop_to(i)
                 break
-            if tag not in BLOCK and self.stack[i][0] in BLOCK:
-                break  # an inline end tag doesn't close a block
+            if tag not in BLOCK and tag not in UNSEEN and self.stack[i][0] in BLOCK:
+                break  # an inline end tag doesn't close a block, but that of an unseen element closes what is in it
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.end_head()
         if self.hidden <= 0:
             self.parts.append(data)
             if self.links > 0:
@@ -150,11 +168,8 @@ def kinds(names: str) -> frozenset[str]:
 def leaf_blocks(page: str) -> list[tuple[list[str], str]]:
     """(feature names, text) of each leaf block."""
     parser = Blocks()
-    try:
-        parser.feed(page)
-        parser.close()
-    except AssertionError:  # the parser gives up on some broken declarations; what it has read stands
-        pass
+    parser.feed(page)
+    parser.close()
     parser.end_block()
     out = []
     total = len(parser.blocks)

@@ -51,6 +51,20 @@ def test_html(spark, sf_dir):
     assert html.extract(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<p>one</p><![foo[ x ]]><p>two</p>", "<p>one</p><![ x><p>two</p>", "<p>one</p><!foo [x]><p>two</p><![if !IE]><![endif]>", "<p>one<![foo",
+        *[f"<div><p>one</p><{t}><p>x</{t}><p>two</p></div>" for t in ("noscript", "object", "template")],
+        "<div><p>one</p><noscript><div>x<p>y</noscript>two</div>", "<head><title>x</title><meta charset=a><p>one</p><p>two</p>", "<head><title>x</title>one<p>two",
+        "<head><noscript><img src=x></noscript><style>x</style></head><p>one<p>two",
+    ],
+)
+def test_html_goes_on(page):
+    found = [text for _, text in html.leaf_blocks(page)]
+    assert found[0].startswith("one") and (found[1:] == ["two"] or "two" not in page)
+
+
 def test_html_on_held_out_layouts(spark, sf_dir):
     rows = read(spark, sf_dir, "pages").select("html").collect()
     texts = sorted({t for r in rows for _, t in html.leaf_blocks(r.html) if len(t) > 20})
