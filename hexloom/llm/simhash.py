@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import checkpointed, components, sorted_groups, worker_memory
+from hexloom.llm.common import checkpointed, components, sorted_groups, with_key, worker_memory
 
 BUDGET = 4
 BLOCKS = 6
@@ -44,17 +44,22 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist())
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for every row; a null text has fingerprint zero."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sig: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) for every row; a null text has fingerprint zero.
+
+    sig: with the hash of the text in common.with_key as well.
+    """
+    own = ["doc_id", "sig"] if sig else ["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker_memory("simhash")
         for batch in batches:
             codes = np.array([fingerprint(t, shingle) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": codes.view(np.int64)})
+            yield batch[own].assign(fp=codes.view(np.int64))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(run, f"doc_id {kind}, fp long")
+    rows = with_key(docs, F.col("text").cast("binary").alias("text")).select(*own, "text")
+    return rows.mapInPandas(run, f"doc_id {kind}, {'sig long, ' if sig else ''}fp long")
 
 
 def block_keys(fp: str, blocks: int = BLOCKS, budget: int = BUDGET) -> F.Column:
@@ -163,6 +168,22 @@ def simhash_groups(docs: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS,
 
 
 def keep_firsts(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the one whose doc_id is the component. Rows with a null doc_id stay."""
-    groups = simhash_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(groups, docs["doc_id"] == F.col("__copy"), "left_anti")
+    """docs with one row of each group: that of the least doc_id, null last, then of the least hash of its text.
+
+    Rows are told apart by (doc_id, sig), as in with_key; of rows equal in both one stays. Fingerprints are linked by
+    themselves, so rows with a null doc_id are in groups like any other.
+    """
+    prints = checkpointed(fingerprints(docs, sig=True))
+    groups = link(prints.select(F.col("fp").alias("doc_id"), "fp")).withColumnRenamed("component_id", "component")
+    rows = prints.groupBy("doc_id", "sig", "fp").agg(F.count("*").alias("times")).join(groups, "fp")
+    rows = checkpointed(rows.select("component", F.struct(F.isnull("doc_id").alias("last"), "doc_id", "sig").alias("row"), "times"))
+    first = rows.groupBy(F.col("component").alias("of")).agg(F.min("row").alias("first"))
+    marks = rows.join(first, F.col("component") == F.col("of")).where("row <> first or times > 1")
+    marks = checkpointed(marks.select(F.col("row.doc_id").alias("__id"), F.col("row.sig").alias("__of"), F.expr("row = first").alias("__first")))
+    keyed = docs.withColumn("__sig", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sig") == F.col("__of"))
+    kept = keyed.join(marks, same, "left_anti").select(*docs.columns)
+    repeated = marks.where("__first")
+    if repeated.isEmpty():
+        return kept
+    return kept.union(keyed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__sig"]).select(*docs.columns))

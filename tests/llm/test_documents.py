@@ -209,5 +209,13 @@ def test_filters_keep_columns_and_clean_rows(odd_docs):
     assert 5 not in {r.doc_id for r in cut.collect()}
 
 
+def test_repeated_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, a), (None, d), (None, d), (None, d + " "), (4, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter((r.doc_id, r.text and r.text.strip()) for r in simhash.keep_firsts(docs).collect())
+    assert found == Counter([(1, a), (2, b), (3, c), (None, d), (4, None)])
+
+
 def test_sha_of_nothing(spark, sf_dir):
     assert hashlib.sha256(b"").hexdigest() in {r.kept_sha256 for r in QUERIES["op2_substring_dedup"](spark, sf_dir).collect()}
