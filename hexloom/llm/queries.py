@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexloom.llm import bytebpe, chat, embeddings, html, lines, packing, quality, simhash, substrings, toxicity
+from hexloom.llm import bytebpe, chat, embeddings, exact, html, lines, packing, quality, simhash, substrings, toxicity
 from hexloom.llm.common import read, words_joined
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,8 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_html_extraction")
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op12_exact_dedup", exact.ORACLE)
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(read(spark, sf_dir, "documents"))
