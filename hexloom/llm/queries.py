@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexloom.llm import bytebpe, chat, divergence, embeddings, exact, html, lines, packing, quality, simhash, substrings, toxicity
+from hexloom.llm import bytebpe, chat, divergence, embeddings, exact, html, lines, negatives, packing, quality, simhash, substrings, toxicity
 from hexloom.llm.common import read, words_joined
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,8 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_source_divergence", divergence.ORACLE)
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
+@query("op11_hard_negatives", negatives.ORACLE)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
