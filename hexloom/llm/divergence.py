@@ -10,7 +10,6 @@ rows, and what slices find is added up, as is a path that two slices share.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,23 +21,22 @@ from pyspark.sql import functions as F
 
 from hexloom.llm.common import checkpointed, small_side
 
-#: ASCII letters and all characters beyond ASCII.
+#: ASCII letters and all characters beyond ASCII. In UTF-8 these are the letters' bytes and all bytes from 80 on.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_TERM_BYTES = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
 #: Counters that a task holds before it hands them on.
-HELD_COUNTS = 200_000
+HELD_COUNTS = 400_000
 #: Node and ancestor combinations worked out at a time.
 COMBINATIONS = 1 << 18
 #: Numbers in the paths of a tree, three for each step: a slice of more of them builds several trees.
 TREE_NUMBERS = 2_000_000
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), n_docs: of parts of the table, still to be added up."""
-    word = re.compile(TERM)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -52,12 +50,13 @@ def term_counts(docs: DataFrame) -> DataFrame:
             found.clear()
 
         for batch in batches:
-            for lang, source, text in zip(*(column.to_pylist() for column in batch.columns)):
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts):
                 n, n_docs = found.setdefault((lang, source), (Counter(), Counter()))
                 held -= len(n)
-                own = Counter(word.findall(text.translate(_LOWER)))
-                n.update(own)
-                n_docs.update(own.keys())
+                terms = text.translate(_TERM_BYTES).split()
+                n.update(terms)
+                n_docs.update(set(terms))
                 held += len(n)
                 if held > HELD_COUNTS:
                     yield from out()
