@@ -1,6 +1,7 @@
 """Analytics over large tables of hexagonal grid cells, written as Spark DataFrame plans."""
 
 from hexloom.operators.attributes import extract_cell_ids, join_attributes
+from hexloom.operators.containment import cells_in_polygons, polygon_cover
 from hexloom.operators.counts import count_cells, hex_counts, tile_counts, tile_members, tile_pyramid
 from hexloom.operators.filters import apply_filters, parse_filters, predicate
 from hexloom.operators.layers import build_cell_pyramid, build_tile_index, hexagons, tile_cover
@@ -27,6 +28,7 @@ __all__ = [
     "build_cell_pyramid",
     "build_tile_index",
     "cells_in_polygon",
+    "cells_in_polygons",
     "count_cells",
     "eligible_columns",
     "equal_interval_buckets",
@@ -37,6 +39,7 @@ __all__ = [
     "histograms",
     "join_attributes",
     "parse_filters",
+    "polygon_cover",
     "predicate",
     "profile",
     "profile_file",

@@ -57,6 +57,27 @@ def multipolygon_parts(wkt: Column) -> Column:
     ).otherwise(F.array(wkt))
 
 
+def geojson_rings(text: Column) -> Column:
+    """All rings of a GeoJSON Polygon or MultiPolygon, as a geometry or a feature; NULL for other text."""
+    ring = "array<array<array<double>>>"
+    simple, several = (F.from_json(text, f"type string, coordinates {t}, geometry struct<type:string,coordinates:{t}>") for t in (ring, f"array<{ring}>"))
+    kind = F.coalesce(simple["geometry"]["type"], simple["type"])
+    parts = F.coalesce(several["geometry"]["coordinates"], several["coordinates"])
+    rings = F.when(kind == "Polygon", F.coalesce(simple["geometry"]["coordinates"], simple["coordinates"])).when(kind == "MultiPolygon", F.flatten(parts))
+    return F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))))
+
+
+def wkt_rings(wkt: Column) -> Column:
+    """All rings of a POLYGON or MULTIPOLYGON text; NULL for other text."""
+    rings = F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1))
+
+    def point(text: Column) -> Column:
+        xy = F.split(F.trim(text), r"\s+")
+        return F.struct(F.get(xy, 0).try_cast("double").alias("lon"), F.get(xy, 1).try_cast("double").alias("lat"))
+
+    return F.when(F.upper(F.ltrim(wkt)).rlike("^(MULTI)?POLYGON"), F.transform(rings, lambda ring: F.transform(F.split(ring, ","), point)))
+
+
 def wkt_to_ring(wkt: Column) -> Column:
     """Outer ring of a POLYGON text, NULL for other text."""
     body = F.split_part(F.split_part(wkt, F.lit("(("), F.lit(2)), F.lit(")"), F.lit(1))
@@ -102,14 +123,33 @@ def polygon_rings(feature: str | dict | Sequence[Ring]) -> list[list[tuple[float
     return rings
 
 
+def crosses_antimeridian(rings: Sequence[Ring]) -> bool:
+    """Whether an edge spans more than 180 degrees; it then runs the short way, over the antimeridian."""
+    return any(abs(a[0] - b[0]) > 180.0 for ring in rings for a, b in zip(ring, [*ring[1:], ring[0]]))
+
+
+def unwrapped(rings: Sequence[Ring], lon: Column) -> tuple[Sequence[Ring], Column]:
+    """Rings and longitudes in one piece: both moved to 0..360 where the polygon crosses the antimeridian."""
+    if not crosses_antimeridian(rings):
+        return rings, lon
+    east = [[(x + 360.0 if x < 0.0 else x, y) for x, y, *_ in ring] for ring in rings]
+    return east, F.when(lon < 0.0, lon + 360.0).otherwise(lon)
+
+
 def in_bounding_box(rings: Sequence[Ring], lon: Column, lat: Column) -> Column:
-    """Box around the outer ring: plain comparisons that reach the Parquet scan."""
-    xs, ys = [p[0] for p in rings[0]], [p[1] for p in rings[0]]
-    return lon.between(min(xs), max(xs)) & lat.between(min(ys), max(ys))
+    """Box around the outer ring: plain comparisons that reach the Parquet scan, also over the antimeridian."""
+    whole = unwrapped(rings, lon)[0]
+    xs, ys = [p[0] for p in whole[0]], [p[1] for p in whole[0]]
+    across = lon.between(min(xs), max(xs))
+    if max(xs) > 180.0:
+        across = (lon >= min(xs)) | (lon <= max(xs) - 360.0)
+    return across & lat.between(min(ys), max(ys))
 
 
 def in_polygon(rings: Sequence[Ring], lon: Column, lat: Column) -> Column:
     """Even-odd ray casting over all rings together, so holes are cut out."""
+    box = in_bounding_box(rings, lon, lat)
+    rings, lon = unwrapped(rings, lon)
     edges = []
     for ring in rings:
         for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]]):
@@ -121,9 +161,9 @@ def in_polygon(rings: Sequence[Ring], lon: Column, lat: Column) -> Column:
 
     if len(edges) <= 32:
         tests = [crosses(*(F.lit(e[k]) for k in ("x1", "y1", "x2", "y2"))) for e in edges]
-        return in_bounding_box(rings, lon, lat) & reduce(lambda a, b: a != b, tests)
+        return box & reduce(lambda a, b: a != b, tests)
     table = F.from_json(F.lit(json.dumps(edges)), "array<struct<x1:double,y1:double,x2:double,y2:double>>")
     odd = F.aggregate(
         table, F.lit(False), lambda acc, e: acc != crosses(e["x1"], e["y1"], e["x2"], e["y2"])
     )
-    return in_bounding_box(rings, lon, lat) & odd
+    return box & odd

@@ -501,6 +501,86 @@ def _(spark, d):
     return hl.cells_in_polygon(centers, feature).select("id")
 
 
+# Corners of the synthetic polygons (a star and a hole in it), in units of their size.
+_STAR_CORNERS = [(1.0, 0.1), (0.3, 0.4), (0.2, 1.1), (-0.3, 0.35), (-1.05, 0.2), (-0.35, -0.3), (-0.1, -1.2), (0.35, -0.33)]
+_HOLE_CORNERS = [(0.15, 0.02), (-0.02, 0.17), (-0.16, -0.03), (0.01, -0.14)]
+_SIZED = """SELECT c_custkey AS polygon_id, -82.0e0 + (c_custkey * 37 % 100) * 0.0013e0 AS cx, 24.5e0 + (c_custkey * 53 % 401) * 0.0093e0 AS cy,
+  CASE WHEN c_custkey % 97 = 0 THEN 0.9e0 ELSE 0.004e0 + (c_custkey % 11) * 0.003e0 END AS r FROM customer"""
+
+
+def _shifted(lon: str, shift: float) -> str:
+    moved = f"({lon} - {shift}e0)"
+    return f"CASE WHEN {moved} < -180e0 THEN {moved} + 360e0 ELSE {moved} END" if shift else lon
+
+
+def _polygons(spark, d, shift: float = 0.0) -> DataFrame:
+    """A star for each customer, every third with a hole."""
+    tables.table(spark, d, "customer").createOrReplaceTempView("polygon_customers")
+    sized = spark.sql(_SIZED.replace("FROM customer", "FROM polygon_customers"))
+
+    def ring(corners):
+        return F.array(*(F.struct(F.expr(_shifted(f"(cx + r * {x}e0)", shift)).alias("lon"), F.expr(f"cy + r * {y}e0").alias("lat")) for x, y in corners))
+
+    both = F.when(F.col("polygon_id") % 3 == 0, F.array(ring(_STAR_CORNERS), ring(_HOLE_CORNERS))).otherwise(F.array(ring(_STAR_CORNERS)))
+    return sized.select("polygon_id", both.alias("rings"))
+
+
+def _polygons_sql(shift: float = 0.0) -> str:
+    """Centres in stars by ray casting over all edges; a shifted case is tested in unshifted longitudes."""
+    edges = [(*a, *b, "true") for a, b in zip(_STAR_CORNERS, _STAR_CORNERS[1:] + _STAR_CORNERS[:1])]
+    edges += [(*a, *b, "polygon_id % 3 = 0") for a, b in zip(_HOLE_CORNERS, _HOLE_CORNERS[1:] + _HOLE_CORNERS[:1])]
+
+    def x(corner: float) -> str:
+        lon = _shifted(f"(cx + r * {corner}e0)", shift)
+        return f"(CASE WHEN wraps AND {lon} < 0 THEN {lon} + 360e0 ELSE {lon} END)" if shift else f"(cx + r * {corner}e0)"
+
+    tests = " + ".join(
+        f"CASE WHEN {when} AND ((cy + r * {y1}e0) > lat) <> ((cy + r * {y2}e0) > lat)"
+        f" AND lon < ({x(x2)} - {x(x1)}) * (lat - (cy + r * {y1}e0)) / ((cy + r * {y2}e0) - (cy + r * {y1}e0)) + {x(x1)} THEN 1 ELSE 0 END"
+        for x1, y1, x2, y2, when in edges
+    )
+    centre = _shifted("lon", shift)
+    wraps = f"abs(({_shifted('(cx + r * 1.0e0)', shift)}) - ({_shifted('(cx - r * 1.05e0)', shift)})) > 180" if shift else "false"
+    near = f"SELECT polygon_id, id, cx, cy, r, {wraps} AS wraps, {centre} AS seen, lat FROM sized JOIN centers ON lat BETWEEN cy - 1.3e0 * r AND cy + 1.3e0 * r AND lon BETWEEN cx - 1.2e0 * r AND cx + 1.2e0 * r"
+    return f"SELECT polygon_id, id FROM (SELECT *, CASE WHEN wraps AND seen < 0 THEN seen + 360e0 ELSE seen END AS lon FROM ({near})) WHERE ({tests}) % 2 = 1"
+
+
+def _dateline_centers(spark, d) -> DataFrame:
+    return tables.stored_geometry(spark, d).withColumn("lon", F.expr(_shifted("lon", _DATELINE)))
+
+
+_DATELINE = 98.01
+
+for _name, _shift in {"cells_in_polygons": 0.0, "cells_in_polygons_dateline": _DATELINE}.items():
+
+    @register(_name, sql(CELLS, HEXES, CENTERS, f"sized AS ({_SIZED})", query=_polygons_sql(_shift)))
+    def _(spark, d, shift=_shift):
+        centers = _dateline_centers(spark, d) if shift else tables.stored_geometry(spark, d)
+        return hl.cells_in_polygons(centers, _polygons(spark, d, shift))
+
+
+# a box over the antimeridian with a hole, in the longitudes of the shifted centres
+_DATELINE_RINGS = [[[179.9, 24.51], [-179.9, 24.51], [-179.9, 24.9], [179.9, 24.9]], [[179.96, 24.6], [-179.95, 24.6], [-179.95, 24.7], [179.96, 24.7]]]
+
+
+@register(
+    "select_polygon_dateline",
+    sql(
+        CELLS,
+        HEXES,
+        CENTERS,
+        f"moved AS (SELECT id, resolution, lat, {_shifted('lon', _DATELINE)} AS lon FROM centers)",
+        query="""SELECT r11_id, n, l_quantity FROM cells WHERE r9_id IN (SELECT id FROM (
+          SELECT *, CASE WHEN lon < 0 THEN lon + 360e0 ELSE lon END AS east FROM moved WHERE resolution = 9)
+          WHERE east BETWEEN 179.9e0 AND 180.1e0 AND lat BETWEEN 24.51e0 AND 24.9e0
+            AND NOT (east BETWEEN 179.96e0 AND 180.05e0 AND lat BETWEEN 24.6e0 AND 24.7e0))""",
+    ),
+)
+def _(spark, d):
+    feature = {"type": "Polygon", "coordinates": _DATELINE_RINGS}
+    return hl.select_cells_polygon(tables.stored_cells(spark, d), _dateline_centers(spark, d), feature, 9).select("r11_id", "n", "l_quantity")
+
+
 _NUMBERS = ("l_quantity", "l_extendedprice", "tax", "l_partkey")
 
 
