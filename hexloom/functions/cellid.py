@@ -141,9 +141,30 @@ def finest_range(cell: int) -> tuple[int, int]:
     return high & ~below, high
 
 
-def covering_ranges(families: list[int], most: int = 10) -> list[tuple[int, int]]:
-    """At most ``most`` id ranges that hold every finest id of the given cells, split at the widest gaps."""
-    bounds = sorted(finest_range(cell) for cell in families)
-    gaps = sorted(range(1, len(bounds)), key=lambda i: bounds[i - 1][1] - bounds[i][0])[: most - 1]
-    cuts = [0, *sorted(gaps), len(bounds)]
-    return [(bounds[a][0], max(high for _, high in bounds[a:b])) for a, b in zip(cuts, cuts[1:]) if a < b]
+def finest_bounds(cell: Column) -> tuple[Column, Column]:
+    """:func:`finest_range` as columns."""
+    high = cell.bitwiseAND(_long(~_RESOLUTION_MASK)).bitwiseOR(_long(FINEST << 52))
+    below = _unused_digit_bits(cell).bitwiseAND(_long(~unused_digits(FINEST)))
+    return high.bitwiseAND(F.bitwise_not(below)), high
+
+
+def ranges_without_gaps(spans: list[tuple[int, int]], gaps: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """At most ``most`` ranges that hold all ``spans`` (sorted) but for the widest gaps.
+
+    Gaps are those between spans and the given ones, each inside a span.  A gap that a second span reaches over (an
+    ancestor of the family) is none.
+    """
+    if not spans:
+        return []
+    merged = [list(spans[0])]
+    for low, high in spans[1:]:
+        if low <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], high)
+        else:
+            merged.append([low, high])
+    whole = [span for span in spans if any(o != span and o[0] <= span[0] and span[1] <= o[1] for o in spans)] if len(merged) < len(spans) else []
+    inside = [gap for gap in gaps if not any(low <= gap[0] and gap[1] <= high for low, high in whole)]
+    alone = inside + [(a[1], b[0]) for a, b in zip(merged, merged[1:])]
+    cuts = sorted(sorted(alone, key=lambda gap: gap[0] - gap[1])[: most - 1])
+    starts, ends = [merged[0][0], *(high for _, high in cuts)], [*(low for low, _ in cuts), merged[-1][1]]
+    return list(zip(starts, ends))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexloom.functions import cellid
-from hexloom.operators.joins import Size, lookup_side, row_bytes
+from hexloom.operators.joins import Size, key_bytes, lookup_side, row_bytes
 
 RANK_LEVELS = 6
 
@@ -33,23 +33,25 @@ def last_per_id(rows: DataFrame, order_by: Sequence[str]) -> DataFrame:
 
 
 def ranked(lookup: DataFrame, res: int) -> DataFrame:
-    """``lookup`` (distinct ``cell``) with ``rank`` 0..n-1 in id order, without one global sort.
+    """``lookup`` (distinct ``cell``) with ``rank`` 0..n-1 in id order, by prefix sums in two levels.
 
-    Ids of one resolution sort like their ancestors, so a rank is the number of cells in earlier
-    families plus the place within the family, at most 7^6 cells.  Only the family sizes (one
-    number per ancestor) pass through a single task.
+    Ids of one resolution sort like their ancestors, so a rank is the number of cells under earlier base cells, plus
+    those of earlier families under the same base cell, plus the place within the family, at most 7^6 cells.  The driver
+    gets the counts of the base cells, 122 numbers at most.
     """
     family = cellid.cell_to_parent(F.col("cell"), max(res - RANK_LEVELS, 0), checked=False)
     members = lookup.withColumn("family", family)
-    before = Window.orderBy("family").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        members.groupBy("family")
-        .agg(F.count(F.lit(1)).alias("size"))
-        .select("family", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    )
+    earlier = Window.partitionBy("base").orderBy("family").rowsBetween(Window.unboundedPreceding, -1)
+    base = cellid.base_cell(F.col("family"))
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size")).withColumn("base", base)
+    starts, total = [0] * cellid.BASE_CELLS, 0
+    for row in sizes.groupBy("base").agg(F.sum("size").alias("size")).orderBy("base").collect():
+        starts[row["base"]], total = total, total + row["size"]
+    before = F.coalesce(F.sum("size").over(earlier), F.lit(0)) + F.array(*(F.lit(n).cast("long") for n in starts))[F.col("base")]
+    offsets = sizes.select("family", before.alias("offset"))
     place = F.row_number().over(Window.partitionBy("family").orderBy("cell"))
     return members.withColumn("place", place).join(offsets, "family").select(
-        "attrs", (F.col("offset") + F.col("place") - 1).alias("rank")
+        "cell", "attrs", (F.col("offset") + F.col("place") - 1).alias("rank")
     )
 
 
@@ -86,17 +88,18 @@ def join_attributes(
     size = Size(rows, size)
     lookup = lookup.where(F.col("cell").isNotNull())
 
-    cell = cellid.string_to_cell(F.col("id"))
-    hits = fine_ids.withColumn("cell", cellid.cell_to_parent(cell, lowest)).join(
-        lookup_side(lookup, size), "cell", "left"
-    )
+    fine = fine_ids.select("id", cellid.cell_to_parent(cellid.string_to_cell(F.col("id")), lowest).alias("cell"))
     if not fallback:
+        hits = fine.join(lookup_side(lookup, size), "cell", "left")
         return hits.select("id", *(F.col(f"attrs.`{c}`").alias(c) for c in attributes))
-    # ids with a hit get a negative number that matches nothing and, unlike NULL, spreads over tasks
-    none = -1 - F.pmod(F.xxhash64("id"), F.lit(rows).cast("long"))
-    number = F.when(F.col("attrs").isNull(), fallback_number(F.col("id"), seed, rows)).otherwise(none)
-    numbered = hits.withColumn("rank", number)
-    spare = ranked(lookup, lowest).withColumnRenamed("attrs", "spare")
-    joined = numbered.join(lookup_side(spare, size), "rank", "left")
-    chosen = F.coalesce("attrs", "spare")
-    return joined.select("id", *(chosen[c].alias(c) for c in attributes))
+    # A row's key is its ancestor or, where that has no coarse row, the negative rank of a substitute.  Which ancestors
+    # have none is found among the distinct ones; the rows then meet the attributes once.
+    missing = fine.select("cell").distinct().join(lookup.select("cell"), "cell", "left_anti")
+    missing = missing.where(F.col("cell").isNotNull()).select(F.col("cell").alias("absent"))
+    missing = lookup_side(missing, key_bytes(missing.count()))
+    flagged = fine.join(missing, fine["cell"] == missing["absent"], "left")
+    substitute = -1 - fallback_number(F.col("id"), seed, rows)
+    keyed = flagged.select("id", F.when(F.col("absent").isNotNull() | F.col("cell").isNull(), substitute).otherwise(F.col("cell")).alias("key"))
+    both = ranked(lookup, lowest).select("attrs", F.explode(F.array("cell", -1 - F.col("rank"))).alias("key"))
+    joined = keyed.join(lookup_side(both, Size(2 * size.rows, 2 * size.bytes)), "key", "left")
+    return joined.select("id", *(F.col("attrs")[c].alias(c) for c in attributes))

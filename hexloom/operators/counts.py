@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hexloom.functions import cellid, tiles
 from hexloom.operators.filters import Filters, apply_filters, count_matching
-from hexloom.operators.joins import families_of, key_bytes, prune
+from hexloom.operators.joins import key_bytes, prune, scan_ranges
 from hexloom.operators.layers import roll_up
 
 
@@ -64,10 +64,10 @@ def tile_counts(
     res = tiles.resolution_for_zoom(z)
     key = f"r{res}_id"
     members = _tile_rows(tile_index, z, x, y)
-    rows, families = members.agg(F.count("id"), families_of(F.col("id"))).first()
+    rows, ranges = scan_ranges(members)
     if key_bytes(rows).fits():
         wanted = F.broadcast(members.withColumnRenamed("id", key))
-        inside = prune(cells, families).join(wanted, key, "left_semi")
+        inside = prune(cells, ranges).join(wanted, key, "left_semi")
         counts = _grouped(inside, key, filters)
     else:
         counts = _grouped(cells, key, filters).join(members, "id", "left_semi")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,21 +59,36 @@ def lookup_side(df: DataFrame, size: Size | None = None) -> DataFrame:
     return F.broadcast(df) if size.fits() else df
 
 
-PRUNING_RESOLUTION = 4
+#: Gaps are searched within ancestors of this resolution (288,122 in all) and between them.
+FAMILY_RESOLUTION = 4
+MOST_RANGES = 16
 
 
-def families_of(cell: Column, res: Column | None = None) -> Column:
-    """Aggregate: the distinct coarse ancestors of ids, at most the 288,122 cells of resolution 4."""
-    own = cellid.resolution(cell) if res is None else res
-    coarse = F.when(own > PRUNING_RESOLUTION, cellid.cell_to_parent(cell, PRUNING_RESOLUTION)).otherwise(cell)
-    return F.collect_set(coarse)
+def scan_ranges(ids: DataFrame, most: int = MOST_RANGES) -> tuple[int, list[tuple[int, int]]]:
+    """How many rows ``ids`` (LONG ``id``) has, and at most ``most`` ranges of finest ids that hold all descendants.
 
-
-def prune(cells: DataFrame, families: list[int]) -> DataFrame:
-    """``cells`` cut to a few id ranges around the families.
-
-    The ranges are plain comparisons on ``r11_id``: on clustered cells Parquet skips the row groups
-    outside.  They keep more than is wanted, never less; a join decides afterwards.
+    The ranges leave out the widest gaps. Gaps within a family come from a window per family, of which only the widest
+    ``most`` reach the driver; beside them it gets the bounds of each family.
+    """
+    cell = F.col("id")
+    family = F.when(cellid.resolution(cell) > FAMILY_RESOLUTION, cellid.cell_to_parent(cell, FAMILY_RESOLUTION)).otherwise(cell)
+    low, high = cellid.finest_bounds(cell)
+    rows = ids.select(family.alias("family"), low.alias("low"), high.alias("high"))
+    in_order = Window.partitionBy("family").orderBy("low")
+    reach = F.max("high").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    gaps = rows.select(reach.alias("low"), F.lead("low").over(in_order).alias("high")).where("high > low")
+    gaps = gaps.select(F.lit(0).cast("long").alias("rows"), "low", "high").orderBy(F.desc(F.col("high") - F.col("low")), "low").limit(most)
+    families = rows.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = families.select("rows", "low", "high").unionAll(gaps).collect()
+    spans = sorted((row["low"], row["high"]) for row in found if row["rows"])
+    return sum(row["rows"] for row in found), cellid.ranges_without_gaps(spans, [(row["low"], row["high"]) for row in found if not row["rows"]], most)
+
+
+def prune(cells: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
+    """``cells`` cut to a few ranges of ``r11_id``.
+
+    They are plain comparisons: on clustered cells Parquet skips the row groups and pages outside.  They keep more than
+    is wanted, never less; a join decides afterwards.
     """
-    ranges = [F.col("r11_id").between(low, high) for low, high in cellid.covering_ranges(families)]
-    return cells.where(reduce(Column.__or__, ranges)) if ranges else cells.where(F.lit(False))
+    tests = [F.col("r11_id").between(low, high) for low, high in ranges]
+    return cells.where(reduce(Column.__or__, tests)) if tests else cells.where(F.lit(False))

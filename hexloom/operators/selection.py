@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexloom.functions import cellid, geometry
-from hexloom.operators.joins import families_of, key_bytes, prune
+from hexloom.operators.joins import key_bytes, prune, scan_ranges
 
 COARSEST_STORED = 4
 
@@ -26,22 +26,16 @@ def _distinct_cells(ids: DataFrame) -> DataFrame:
     return ids.select(cellid.string_to_cell(F.col("id")).alias("id")).distinct()
 
 
-def _describe(selected: DataFrame) -> tuple[dict[int, int], list[int]]:
-    """How many ids each resolution has (at most sixteen numbers) and the coarse families they lie in.
-
-    An invalid id is an error.
-    """
+def _describe(selected: DataFrame) -> dict[int, int]:
+    """How many ids each resolution has (at most sixteen numbers). An invalid id is an error."""
     cell = F.col("id")
     counts = selected.groupBy(cellid.resolution(cell).alias("res")).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(~cellid.is_valid_cell(cell)).alias("invalid"),
-        families_of(cell).alias("families"),
+        F.count(F.lit(1)).alias("rows"), F.count_if(~cellid.is_valid_cell(cell)).alias("invalid")
     )
     found = counts.collect()
     if any(row["invalid"] for row in found):
         raise ValueError(f"invalid cell ids in the selection: {sum(row['invalid'] for row in found)}")
-    families = {family for row in found for family in row["families"]}
-    return {row["res"]: row["rows"] for row in found}, sorted(families)
+    return {row["res"]: row["rows"] for row in found}
 
 
 def _check_resolutions(rows: dict[int, int], finest: int) -> None:
@@ -84,11 +78,11 @@ def select_cells_compact(
     ids alone, and the wide rows meet the result in one semi-join.
     """
     selected = _distinct_cells(as_ids(cells, ids))
-    rows, families = _describe(selected)
+    rows = _describe(selected)
     _check_resolutions(rows, resolution)
     if not rows:
         return cells.where(F.lit(False))
-    cells = prune(cells, families)
+    cells = prune(cells, scan_ranges(selected)[1])
     if len(rows) == 1 and key_bytes(*rows.values()).fits():
         (res,) = rows
         if f"r{res}_id" in cells.columns:
@@ -124,7 +118,7 @@ def uncompact_cells(ids: DataFrame, resolution: int = cellid.FINEST) -> DataFram
     cell = F.col("id")
     own = cellid.resolution(cell)
     selected = _distinct_cells(ids)
-    rows, _ = _describe(selected)
+    rows = _describe(selected)
     _check_resolutions(rows, resolution)
     current = _drop_covered(selected, rows)
     for target in [r for r in (4, 8) if r < resolution] + [resolution]:
@@ -157,11 +151,11 @@ def select_cells_polygon(
     key = f"r{resolution}_id"
     wanted = centers.where(cellid.resolution(F.col("id")) == resolution)
     inside = cells_in_polygon(wanted, polygon).select("id").distinct()
-    count, families = inside.agg(F.count("id"), families_of(F.col("id"))).first()
+    count, ranges = scan_ranges(inside)
     inside = inside.withColumnRenamed("id", key)
     if key_bytes(count).fits():
         inside = F.broadcast(inside)
-    return prune(cells, families).join(inside, key, "left_semi").select(cells.columns)
+    return prune(cells, ranges).join(inside, key, "left_semi").select(cells.columns)
 
 
 def select_cells(cells: DataFrame, *, ids=None, feature=None, centers: DataFrame | None = None) -> DataFrame:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexloom.operators.filters import resolve_column
 
-RESULT = "property string, type string, value string, count long, min double, max double, avg double"
 KINDS = ("number", "string", "boolean")
 
 
@@ -41,35 +40,60 @@ def numeric_stats(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
     return cells.agg(F.array(*summaries).alias("rows")).select(F.inline("rows"))
 
 
-def value_counts(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows per value of each column; the group of nulls is there with count 0."""
-    texts = cells.select(*(resolve_column(cells, name).cast("string").alias(name) for name in columns))
-    return (
-        texts.unpivot([], [F.col(f"`{c}`") for c in columns], "property", "value")
-        .groupBy("property", "value")
-        .agg(F.count("value").alias("count"))
-    )
-
-
 def stats(cells: DataFrame, properties: Sequence[Mapping[str, str]]) -> DataFrame:
     """Long table of all requested statistics; ``properties`` are ``{"type", "column"}`` mappings.
 
     Number properties give one row with min, max and avg (NULL on an empty selection); string and
-    boolean ones give one row per value.
+    boolean ones give one row per value.  All come from one scan: rows are unpivoted by text property and grouped by
+    value, the numbers go along with the first of them, and the groups are merged to the rows asked for.
     """
     by_kind = _checked(cells, properties)
-    parts = []
-    if by_kind["number"]:
-        parts.append(numeric_stats(cells, by_kind["number"]).withColumn("type", F.lit("number")))
     kinds: dict[str, list[str]] = {}
     for kind in ("string", "boolean"):
         for column in by_kind[kind]:
             kinds.setdefault(column, []).append(kind)
-    if kinds:
-        asked = F.create_map(*(part for c, k in kinds.items() for part in (F.lit(c), F.array(*map(F.lit, k)))))
-        counts = value_counts(cells, list(kinds))
-        parts.append(counts.select("*", F.explode(asked[F.col("property")]).alias("type")))
-    result = cells.sparkSession.createDataFrame([], RESULT)
-    for part in parts:
-        result = result.unionByName(part, allowMissingColumns=True)
-    return result
+    numbers, texts = by_kind["number"], list(kinds)
+    if not texts:
+        return numeric_stats(cells, numbers).select(_result_row("number"))
+    values = [resolve_column(cells, c).cast("double").alias(f"n{k}") for k, c in enumerate(numbers)]
+    unpivoted = F.array(*(F.struct(F.lit(k).alias("text"), resolve_column(cells, c).cast("string").alias("value")) for k, c in enumerate(texts)))
+    first = [F.when(F.col("text") == 0, F.col(f"n{k}")).alias(f"n{k}") for k in range(len(numbers))]
+    rows = cells.select(F.inline(unpivoted), *values).select("text", "value", *first)
+    merged = [f(f"n{k}").alias(f"{name}{k}") for k in range(len(numbers)) for name, f in MERGED.items()]
+    groups = rows.groupBy("text", "value").agg(F.count("value").alias("count"), *merged)
+    if not numbers:
+        return _value_rows(groups, texts, kinds)
+    # a group gives a row for its value and, under the first text, one for the part that it has of each number
+    none = {name: F.lit(None).cast("double").alias(name) for name in ("min", "max", "sum")}
+    whole = F.struct("text", "value", "count", *none.values())
+    parts = [F.struct(F.lit(-1 - k).alias("text"), F.lit(None).cast("string").alias("value"), *(F.col(f"{name}{k}").alias(name) for name in MERGED)) for k in range(len(numbers))]
+    spread = groups.select(F.inline(F.when(F.col("text") == 0, F.array(whole, *parts)).otherwise(F.array(whole))))
+    asked = cells.sparkSession.createDataFrame([(-1 - k, None, None, None, None, None) for k in range(len(numbers))], PARTIAL)
+    final = spread.unionAll(asked).groupBy("text", "value").agg(
+        F.coalesce(F.sum("count"), F.lit(0)).alias("count"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("sum").alias("sum")
+    )
+    names = F.array(*(F.lit(c) for c in reversed(numbers)))
+    averaged = final.withColumn("avg", F.try_divide("sum", "count"))
+    number = F.struct(
+        names[F.col("text") + len(numbers)].alias("property"), F.lit("number").alias("type"), "value",
+        F.lit(None).cast("long").alias("count"), "min", "max", "avg",
+    )
+    of_text = F.array(*(F.array(*(F.struct(F.lit(c).alias("property"), F.lit(kind).alias("type"), "value", "count", "min", "max", "avg") for kind in kinds[c])) for c in texts))
+    return averaged.select(F.inline(F.when(F.col("text") < 0, F.array(number)).otherwise(of_text[F.greatest("text", F.lit(0))])))
+
+
+PARTIAL = "text int, value string, count long, min double, max double, sum double"
+
+#: What is kept of a number in a group; all can be merged.
+MERGED = {"count": F.count, "min": F.min, "max": F.max, "sum": F.sum}
+
+
+def _result_row(kind: str) -> Column:
+    nothing = [F.lit(None).cast("string").alias("value"), F.lit(None).cast("long").alias("count")]
+    return F.inline(F.array(F.struct("property", F.lit(kind).alias("type"), *nothing, "min", "max", "avg")))
+
+
+def _value_rows(groups: DataFrame, texts: Sequence[str], kinds: Mapping[str, list[str]]) -> DataFrame:
+    none = [F.lit(None).cast("double").alias(name) for name in ("min", "max", "avg")]
+    rows = F.array(*(F.array(*(F.struct(F.lit(c).alias("property"), F.lit(kind).alias("type"), "value", "count", *none) for kind in kinds[c])) for c in texts))
+    return groups.select(F.inline(rows[F.col("text")]))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.functions import geometry
+from hexloom.functions import cellid, geometry
 from hexloom.operators.profile import BUCKET_TYPE, EMPTY_BREAKS
 
 STORED_LEVELS = [f"r{res}_id" for res in range(11, 3, -1)]
@@ -22,27 +22,49 @@ ATTRIBUTES_SCHEMA = (
 VALUES_SCHEMA = "attribute string, value string, count long"
 
 
+#: Rows of one ancestor of this resolution go to one task, unless they are too many.
+PLACED_RESOLUTION = 7
+#: Rows in a Parquet page: range predicates skip pages within a row group.
+PAGE_ROWS = 1024
+#: Paths of the index are placed by all their digits but the last so many.
+PLACED_DIGITS = 8
+
+
+def _placed(rows: DataFrame, keys: list[Column], partitions: int | None = None) -> DataFrame:
+    """Rows of equal keys brought together without a sampling pass.
+
+    The shuffle is a rebalance: AQE splits the tasks of frequent keys and merges small ones. Where a row goes depends on
+    its own values, so a repeated task writes equal rows.
+    """
+    names = {f"_place{k}": key for k, key in enumerate(keys)}
+    return rows.withColumns(names).hint("rebalance", *([partitions] if partitions else []), *names)
+
+
 def write_cells(cells: DataFrame, path: str, partitions: int | None = None) -> None:
     """Cells as Parquet clustered by ``r11_id``.
 
-    Ids sort by place, so each row group covers a narrow id range at every stored level and range
-    predicates skip the others.  The row number, the same on every attempt for cells read from files,
-    spreads one cell with very many rows over several files.
+    Ids sort by place, so each page covers a narrow id range at every stored level and range predicates skip the others.
+    The input is computed once.
     """
-    keys = [F.col("r11_id"), F.monotonically_increasing_id()]
-    ranged = cells.repartitionByRange(*([partitions] if partitions else []), *keys)
-    ranged.sortWithinPartitions("r11_id").write.mode("overwrite").parquet(path)
+    family = cellid.cell_to_parent(F.col("r11_id"), PLACED_RESOLUTION, checked=False)
+    placed = _placed(cells, [family], partitions).sortWithinPartitions("r11_id").select(cells.columns)
+    placed.write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(path)
+
+
+def _ordered_index(tile_index: DataFrame) -> DataFrame:
+    area = F.expr(f"substring(geohash, 1, length(geohash) - {PLACED_DIGITS})")
+    return _placed(tile_index, [F.col("resolution"), area]).sortWithinPartitions("resolution", "geohash", "id").select(tile_index.columns)
 
 
 def write_tile_index(tile_index: DataFrame, path: str) -> None:
-    """Tile index as Parquet, one folder per resolution, sorted by quadkey for prefix skipping."""
-    ranged = tile_index.repartitionByRange("resolution", "geohash", "id")
-    ranged.sortWithinPartitions("resolution", "geohash").write.mode("overwrite").partitionBy("resolution").parquet(path)
+    """Tile index as Parquet, one folder per resolution, sorted by quadkey for prefix skipping; computed once."""
+    _ordered_index(tile_index).write.mode("overwrite").partitionBy("resolution").parquet(path)
 
 
 def write_cell_pyramid(layers: DataFrame, path: str) -> None:
-    """Hexagon layers as Parquet, one folder per resolution."""
-    layers.write.mode("overwrite").partitionBy("resolution").parquet(path)
+    """Hexagon layers as Parquet, one folder per resolution, its rows brought together by their area."""
+    placed = _placed(layers, [F.col("resolution"), F.col("r5_id")]).sortWithinPartitions("resolution", "id").select(layers.columns)
+    placed.write.mode("overwrite").partitionBy("resolution").parquet(path)
 
 
 def export_csv(cells: DataFrame, path: str) -> None:

@@ -95,3 +95,23 @@ def test_families_are_grouped_without_more_shuffles(cells):
 
 def test_shared_folder_follows_the_session(spark):
     assert tables.shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_ranks_in_two_levels(spark):
+    from hexloom.operators import attributes
+
+    ids = [(base << 45) | (1 << 59) | (9 << 52) | (((k * 7919) % 8**9 & 0o666666666) << 18) | ((1 << 18) - 1) for base in (0, 3, 34, 121) for k in range(300)]
+    lookup = spark.createDataFrame([(i, {"v": i}) for i in set(ids)], "cell long, attrs struct<v:long>")
+    found = attributes.ranked(lookup, 9)
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.cell for r in found.orderBy("rank").collect()] == sorted(set(ids))
+    assert [r["rank"] for r in found.orderBy("rank").collect()] == list(range(len(set(ids))))
+
+
+def test_rows_meet_attributes_once(spark, no_broadcast):
+    import hexloom as hl
+
+    fine = spark.createDataFrame([(f"8b44e1a0b{k:03x}fff",) for k in range(64)], "id string")
+    coarse = spark.createDataFrame([("8944e1a0b03ffff", "a"), ("8944e1a0b0fffff", "b")], "id string, v string")
+    joined = hl.join_attributes(fine, coarse)
+    assert joined.count() == 64 and joined.where("v is null").count() == 0

@@ -74,14 +74,29 @@ def test_bad_resolution():
         cellid.cell_to_parent(F.lit(1), 16)
 
 
-def test_covering_ranges_hold_all_descendants(spark):
+def test_scan_ranges_hold_all_descendants(spark):
     import hexloom as hl
+    from hexloom.operators.joins import scan_ranges
 
-    texts = ["8944e1a0b2fffff", "8a44e1a0b0c7fff", "8b44e1a0b2c3fff"]
+    texts = ["8944e1a0b2fffff", "8a44e1a0b0c7fff", "8b44e1a0b2c3fff", "8b44e1a0b2c3fff", "8b45000000c3fff"]
     ids = spark.createDataFrame([(t,) for t in texts], "id string")
+    cells = [r.id for r in hl.uncompact_cells(ids).collect()]
+    lengths = []
     for most in (1, 2, 10):
-        ranges = cellid.covering_ranges([int(t, 16) for t in texts], most)
-        assert len(ranges) <= most and ranges == sorted(ranges)
-        for row in hl.uncompact_cells(ids).collect():
-            assert any(low <= row["id"] <= high for low, high in ranges)
-    assert cellid.covering_ranges([]) == []
+        rows, ranges = scan_ranges(ids.select(cellid.string_to_cell(F.col("id")).alias("id")), most)
+        assert rows == 5 and len(ranges) <= most and ranges == sorted(ranges)
+        assert all(any(low <= c <= high for low, high in ranges) for c in cells)
+        lengths.append(sum(high - low for low, high in ranges))
+    assert lengths[0] > lengths[1] > lengths[2] and min(r[0] for r in ranges) == min(cells) and max(r[1] for r in ranges) == max(cells)
+    assert scan_ranges(ids.select(F.lit(1).cast("long").alias("id")).where("false")) == (0, [])
+
+
+def test_a_gap_under_a_selected_ancestor_is_none(spark):
+    from hexloom.operators.joins import scan_ranges
+
+    texts = ["8344e1fffffffff", "8b44e1a0b2c3fff", "8b44e1a0ffc3fff", "8b45000000c3fff"]
+    ids = spark.createDataFrame([(int(t, 16),) for t in texts], "id long")
+    low, high = cellid.finest_range(int(texts[0], 16))
+    assert low <= int(texts[1], 16) <= high
+    _, ranges = scan_ranges(ids)
+    assert any(a <= low and high <= b for a, b in ranges) and len(ranges) == 2

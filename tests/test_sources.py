@@ -69,16 +69,24 @@ def test_export_has_no_hierarchy(spark, cells, tmp_path):
 
 
 def test_clustered_cells_are_pruned_and_spread(spark, cells, tmp_path):
-    """Files cover disjoint id ranges, except that one very frequent cell is spread over several."""
-    hot = cells.limit(1).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(6000)))).drop("_n")
-    sources.write_cells(cells.unionByName(hot), str(tmp_path / "c"), 6)
+    """Rows of a file are in id order, families stay together, and one very frequent cell is spread over several files."""
+    hot = cells.limit(1).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(6000))))
+    hot = hot.withColumn("l_extendedprice", F.sqrt("_n")).withColumn("n", F.xxhash64("_n")).drop("_n").repartition(8)
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        sources.write_cells(cells.unionByName(hot), str(tmp_path / "c"), 6)
+    finally:
+        for k in small:
+            spark.conf.unset(k)
     stored = spark.read.parquet(str(tmp_path / "c"))
-    files = stored.groupBy("_metadata.file_path").agg(F.min("r11_id").alias("lo"), F.max("r11_id").alias("hi"), F.count("*").alias("n"))
-    rows = sorted(files.collect(), key=lambda r: (r["lo"], r["hi"]))
-    assert all(a["hi"] <= b["lo"] for a, b in zip(rows, rows[1:]))
-    total = sum(r["n"] for r in rows)
-    assert total == cells.count() + 6000 and max(r["n"] for r in rows) < total / 3
-
+    files = stored.groupBy("_metadata.file_path").agg(F.count("*").alias("n"), F.collect_list("r11_id").alias("ids")).collect()
+    assert all(f["ids"] == sorted(f["ids"]) for f in files)
+    total = sum(f["n"] for f in files)
+    assert total == cells.count() + 6000 and max(f["n"] for f in files) < total / 3
+    holding = stored.where(F.col("r7_id") != hot.first()["r7_id"]).groupBy("r7_id").agg(F.count_distinct("_metadata.file_path").alias("files"))
+    assert holding.agg(F.max("files")).first()[0] <= 2
 
 def test_tile_index_pushdown(spark, tile_index):
     plan = hl.tile_members(tile_index, 10, 279, 439)._jdf.queryExecution().executedPlan().toString()
@@ -148,3 +156,65 @@ def test_bad_feature_ids_fail_even_a_count(spark):
 
     with pytest.raises(Exception, match="invalid cell id"):
         hl.extract_cell_ids(spark.createDataFrame([("zz",)], "GRID_ID string")).count()
+
+
+def _leaves(plan) -> list:
+    """Leaf nodes of an executed plan, inside adaptive stages too."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _leaves(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _leaves(plan.plan())
+    if name == "ReusedExchangeExec":
+        return []
+    children = plan.children()
+    if children.size():
+        return [leaf for i in range(children.size()) for leaf in _leaves(children.apply(i))]
+    return [plan]
+
+
+def _scanned_rows(df) -> int:
+    df.collect()
+    scans = [leaf for leaf in _leaves(df._jdf.queryExecution().executedPlan()) if "r11_id" in leaf.toString()]
+    return sum(leaf.metrics().apply("numOutputRows").value() for leaf in scans)
+
+
+def test_a_deep_tile_reads_few_rows(spark, tmp_path):
+    from hexloom.plans import tables
+
+    sf_dir = "/root/testdata/sf0.1"
+    sources.write_cells(tables.cells(spark, sf_dir), str(tmp_path / "cells"))
+    stored = spark.read.parquet(str(tmp_path / "cells"))
+    total = stored.count()
+    in_tile = stored.where("n between 800000 and 802800 and n % 64 < 44").select("r11_id").distinct()
+    key = F.lit("11301320233102")
+    index = in_tile.select(F.col("r11_id").alias("id"), F.lit(11).alias("resolution"), key.alias("geohash"))
+    x, y = (sum((int(d) >> bit & 1) << (13 - i) for i, d in enumerate("11301320233102")) for bit in (0, 1))
+    counted = hl.tile_counts(stored, index, 14, x, y)
+    read = _scanned_rows(counted)
+    assert counted.agg(F.sum("all_count")).first()[0] == stored.join(in_tile, "r11_id").count()
+    assert read < total / 10, (read, total)
+
+
+def test_stores_compute_their_input_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    from hexloom.plans import tables
+
+    cells = tables.cells(spark, "/root/testdata/sf0.001")
+    watched = cells.mapInArrow(count, cells.schema)
+    rows = cells.count()
+    for turn in (1, 2):
+        sources.write_cells(watched, str(tmp_path / f"cells{turn}"))
+        assert seen.value == turn * rows
+    first, second = (spark.read.parquet(str(tmp_path / f"cells{turn}")) for turn in (1, 2))
+    assert first.exceptAll(second).count() == 0 and second.count() == rows
+    index = hl.build_tile_index(first, tables.cell_geometry(hl.hexagons(first)))
+    seen.value = 0
+    sources.write_tile_index(index.mapInArrow(count, index.schema), str(tmp_path / "tiles"))
+    assert seen.value == spark.read.parquet(str(tmp_path / "tiles")).count()
