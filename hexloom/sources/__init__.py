@@ -1,6 +1,7 @@
 from hexloom.sources.readers import (
     build_cells,
     coarse_position,
+    csv_with_verdicts,
     narrow_schema,
     read_cells_csv,
     read_coarse_csv,
@@ -28,6 +29,7 @@ __all__ = [
     "STORED_LEVELS",
     "build_cells",
     "coarse_position",
+    "csv_with_verdicts",
     "export_csv",
     "geojson_features",
     "narrow_schema",

@@ -37,6 +37,54 @@ def narrow_schema(schema: T.StructType, id_column: str) -> T.StructType:
 QUOTES = {"quote": '"', "escape": '"'}
 
 
+#: What a CSV field of each type may look like besides empty; others are bad values.
+_BOOLEANS = r"(?i)^\s*(true|false)\s*$"
+
+
+def _lines(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """Lines of the files but for their headers (column ``_row``), and the header."""
+    text = spark.read.text(path).where("length(trim(value)) > 0")
+    header = text.select("value").first()
+    if header is None:
+        raise ValueError(f"no header line in {path}")
+    return text.where(F.col("value") != header["value"]).withColumnRenamed("value", "_row"), header["value"]
+
+
+def csv_with_verdicts(spark: SparkSession, path: str, schema: T.StructType, id_column: str = ID_COLUMN) -> DataFrame:
+    """Rows of a cell CSV with ``_problem`` (NULL: none) and ``_row``, the line as it stands in the file.
+
+    Short rows are padded with NULL, which is no problem. A problem is a quote that is still open at the end of its line
+    (a stray line break), a line of more fields than the header has, or a field that isn't of its column's type.
+    The header names the columns, whatever their order in ``schema``; columns without a type are text.
+    """
+    lines, header = _lines(spark, path)
+    names = spark.createDataFrame([(header,)], "h string").select(F.from_csv("h", F.schema_of_csv(F.lit(header)), {"sep": ","})).first()[0]
+    names = [str(name) for name in names]
+    types = {f.name: f.dataType for f in schema}
+    if id_column not in names:
+        raise ValueError(f"no column {id_column!r} in the header of {path}")
+    fields = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))] + [T.StructField("_more", T.StringType())])
+    parsed = lines.select("_row", F.from_csv("_row", fields.simpleString()[7:-1].replace(":", " ").replace(",", ", "), QUOTES).alias("f"))
+    bare = F.regexp_replace("_row", '[^"]', "")
+    problems = [
+        F.when(F.length(bare) % 2 == 1, F.lit("an open quote")),
+        F.when(F.col("f._more").isNotNull(), F.lit("more fields than the header")),
+    ]
+    columns = []
+    for k, name in enumerate(names):
+        field, kind = F.col(f"f.c{k}"), T.StringType() if name == id_column else types.get(name, T.StringType())
+        value = field
+        if not isinstance(kind, T.StringType):
+            blank = F.when(F.trim(field) == "", None).otherwise(F.trim(field))
+            value = blank.try_cast(kind)
+            if isinstance(kind, T.BooleanType):
+                value = F.when(field.rlike(_BOOLEANS), value)
+            bad = blank.isNotNull() & value.isNull()
+            problems.append(F.when(bad, F.concat(F.lit(f"no {kind.simpleString()} in column {name}: "), field)))
+        columns.append(value.alias("id" if name == id_column else name))
+    return parsed.select(*columns, F.coalesce(*problems).alias("_problem"), "_row")
+
+
 def read_cells_csv(
     spark: SparkSession,
     path: str,
@@ -47,14 +95,22 @@ def read_cells_csv(
     """Cell CSV with a header; ``id_column`` becomes ``id``, short rows are padded with NULL.
 
     Without a ``schema`` the types are inferred from the whole file, a pass of its own: give one for
-    large inputs.  Quotes inside quoted fields are doubled, as RFC 4180 has it.  ``multi_line`` allows line
-    breaks inside quotes; a file is then read by one task.
+    large inputs.  Quotes inside quoted fields are doubled, as RFC 4180 has it.  A value that isn't of its column's
+    type, an open quote or a surplus field raises an error that shows the line; ``csv_with_verdicts`` keeps such rows
+    and says what is wrong with them.  ``multi_line`` allows line breaks inside quotes; a file is then read by one task,
+    without these checks.
     """
     if schema is None:
         inferred = spark.read.csv(path, header=True, inferSchema=True, multiLine=multi_line, **QUOTES).schema
         schema = narrow_schema(inferred, id_column)
-    rows = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE", multiLine=multi_line, **QUOTES)
-    return rows.withColumnRenamed(id_column, "id")
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if multi_line:
+        rows = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE", multiLine=True, **QUOTES)
+        return rows.withColumnRenamed(id_column, "id")
+    judged = csv_with_verdicts(spark, path, schema, id_column)
+    problem = F.raise_error(F.concat(F.lit("bad CSV line ("), F.col("_problem"), F.lit("): "), F.col("_row")))
+    return judged.where(F.when(F.col("_problem").isNull(), F.lit(True)).otherwise(problem.cast("boolean"))).drop("_problem", "_row")
 
 
 def with_hierarchy(rows: DataFrame) -> DataFrame:

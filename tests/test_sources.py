@@ -218,3 +218,30 @@ def test_stores_compute_their_input_once(spark, tmp_path):
     seen.value = 0
     sources.write_tile_index(index.mapInArrow(count, index.schema), str(tmp_path / "tiles"))
     assert seen.value == spark.read.parquet(str(tmp_path / "tiles")).count()
+
+
+TYPES = "GRID_ID string, depth double, n bigint, reef boolean, name string"
+
+
+def test_bad_csv_values_raise_with_their_line(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("GRID_ID,depth,n,reef,name\na,1.5,3,TRUE,x\nb,oops,3,TRUE,x\n")
+    with pytest.raises(Exception, match="no double in column depth: oops.*b,oops,3,TRUE,x"):
+        sources.read_cells_csv(spark, str(tmp_path / "c.csv"), schema=TYPES).collect()
+    (tmp_path / "d.csv").write_text('GRID_ID,depth,n,reef,name\na,1.5,3,TRUE,"stray\nbreak"\n')
+    with pytest.raises(Exception, match="an open quote"):
+        sources.read_cells_csv(spark, str(tmp_path / "d.csv"), schema=TYPES).count()
+
+
+def test_csv_verdicts(spark, tmp_path):
+    lines = [
+        'GRID_ID,depth,n,reef,"na,me"', 'a,1.5,3,TRUE,"x, ""y"""', "b", "c, 2 ,,false,", "d,1,2.5,true,", "e,1,2,yes,", "f,1,2,true,z,more", 'g,1,2,true,"open', "h,1e3,-4,False,\"\"", "i,nope,x,true,",
+    ]
+    (tmp_path / "c.csv").write_text("\n".join(lines) + "\n\n")
+    schema = sources.narrow_schema(spark.createDataFrame([], TYPES.replace("name", "`na,me`")).schema, "GRID_ID")
+    rows = {r.id: r for r in sources.csv_with_verdicts(spark, str(tmp_path / "c.csv"), schema).collect()}
+    assert {k for k, r in rows.items() if r._problem is None} == {"a", "b", "c", "h"}
+    assert tuple(rows["a"])[:5] == ("a", 1.5, 3, True, 'x, "y"') and tuple(rows["b"])[:5] == ("b", None, None, None, None)
+    assert tuple(rows["c"])[:5] == ("c", 2.0, None, False, None) and rows["h"].depth == 1000.0 and rows["h"].n == -4
+    assert rows["d"]._problem == "no bigint in column n: 2.5" and rows["e"]._problem == "no boolean in column reef: yes"
+    assert rows["f"]._problem == "more fields than the header" and rows["g"]._problem == "an open quote"
+    assert rows["i"]._problem.startswith("no double in column depth") and rows["i"]._row == "i,nope,x,true,"
