@@ -42,7 +42,7 @@ def close_polygon_wkt(wkt: Column) -> Column:
 
 def id_to_polygon(id_text: Column, multipolygon: Column) -> Column:
     """The closed single polygon of a hexagon: ``(id, wkt)`` from its multipolygon text; the first part counts."""
-    return F.struct(id_text.alias("id"), close_polygon_wkt(multipolygon_parts(multipolygon)[0]).alias("wkt"))
+    return F.struct(id_text.alias("id"), close_polygon_wkt(F.get(multipolygon_parts(multipolygon), 0)).alias("wkt"))
 
 
 def multipolygon_parts(wkt: Column) -> Column:

@@ -56,6 +56,20 @@ SQL_FUNCTIONS = {
         " points -> concat('(', array_join(points, ', '), if(element_at(points, -1) = points[0], '', concat(', ', points[0])), ')')),"
         " ', '), ')') ELSE wkt END",
     ),
+    "polygon_from_multipolygon_wkt": (
+        "wkt STRING",
+        "ARRAY<STRING>",
+        "CASE WHEN upper(ltrim(wkt)) LIKE 'MULTIPOLYGON%EMPTY' THEN array()"
+        " WHEN upper(ltrim(wkt)) LIKE 'MULTIPOLYGON%' THEN transform(split(regexp_replace(wkt,"
+        r" r'(?i)^\s*MULTIPOLYGON\s*\(\s*\(\(|\)\)\s*\)\s*$', ''), r'\)\)\s*,\s*\(\('),"
+        " part -> concat('POLYGON ((', trim(part), '))')) ELSE array(wkt) END",
+    ),
+    # uses the two above: create them in this order
+    "h3_id_to_simple_polygon": (
+        "id STRING, multipolygon STRING",
+        "STRUCT<id: STRING, wkt: STRING>",
+        "named_struct('id', id, 'wkt', close_polygon_wkt(get(polygon_from_multipolygon_wkt(multipolygon), 0)))",
+    ),
 }
 
 

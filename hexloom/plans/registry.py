@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -273,12 +275,12 @@ def _(spark, d):
 @register(
     "tile_cover",
     over_tiles("SELECT geohash, id, resolution, zoom FROM tile_index").replace(
-        "FROM vertices)", "FROM (SELECT * REPLACE (15 AS zoom) FROM vertices WHERE resolution = 9))"
+        "FROM vertices)", "FROM (SELECT * REPLACE (zoom + 1 AS zoom) FROM vertices))"
     ),
 )
 def _(spark, d):
-    located = tables.cell_geometry(hl.hexagons(tables.cells(spark, d)).where("resolution = 9"))
-    return hl.tile_cover(located.withColumn("zoom", F.lit(15)))
+    located = tables.cell_geometry(hl.hexagons(tables.cells(spark, d)))
+    return hl.tile_cover(located.withColumn("zoom", tiles.resolution_to_zoom(F.col("resolution")) + 1))
 
 
 @register("tile_index", over_tiles("SELECT geohash, id, resolution, zoom FROM tile_index"))
@@ -459,7 +461,7 @@ _STAR = [
 ]
 
 
-def _polygon_sql(rings: list, res: int) -> str:
+def _polygon_sql(rings: list, res: int | str) -> str:
     sides = ", ".join(
         f"({a[0]!r}e0, {a[1]!r}e0, {b[0]!r}e0, {b[1]!r}e0)" for ring in rings for a, b in zip(ring, ring[1:] + ring[:1])
     )
@@ -493,10 +495,10 @@ for _name, (_rings, _res) in _POLYGONS.items():
 
 @register(
     "cells_in_polygon",
-    sql(CELLS, HEXES, CENTERS, query=_polygon_sql([_BOX, _HOLE], 9)),
+    sql(CELLS, HEXES, CENTERS, query=_polygon_sql([_BOX, _HOLE], "resolution")),
 )
 def _(spark, d):
-    centers = tables.stored_geometry(spark, d).where("resolution = 9")
+    centers = tables.stored_geometry(spark, d)
     feature = {"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [_BOX, _HOLE]}}
     return hl.cells_in_polygon(centers, feature).select("id")
 
@@ -657,18 +659,14 @@ def _(spark, d):
 
 
 def _histogram_sql(column: str, bins: int = 49) -> str:
+    """Each value joined to the bin whose bounds it lies between; the last bin has the maximum too."""
     return f"""
-      SELECT CAST(b AS INTEGER) AS bin, lo + (b - 1) * w AS bin_start,
-        CASE WHEN b = {bins} THEN hi ELSE lo + b * w END AS bin_end, coalesce(c, 0) AS count
-      FROM (SELECT lo, hi, (hi - lo) / {bins}e0 AS w
-            FROM (SELECT CAST(min({column}) AS DOUBLE) AS lo, CAST(max({column}) AS DOUBLE) AS hi FROM cells))
-      CROSS JOIN range(1, {bins + 1}) r(b)
-      LEFT JOIN (SELECT CASE WHEN hi = lo OR v = hi THEN {bins}
-                        ELSE least({bins}, 1 + CAST(floor((v - lo) / ((hi - lo) / {bins}e0)) AS INTEGER)) END AS k,
-                   count(*) AS c
-                 FROM (SELECT CAST({column} AS DOUBLE) AS v, min(CAST({column} AS DOUBLE)) OVER () AS lo,
-                         max(CAST({column} AS DOUBLE)) OVER () AS hi FROM cells)
-                 WHERE v IS NOT NULL GROUP BY 1) ON k = b"""
+      SELECT CAST(bin AS INTEGER) AS bin, low AS bin_start, high AS bin_end, count(v) AS count
+      FROM (SELECT bin, least_v + (bin - 1) * step AS low, CASE bin WHEN {bins} THEN most_v ELSE least_v + bin * step END AS high
+            FROM (SELECT unnest(generate_series(1, {bins})) AS bin, least_v, most_v, (most_v - least_v) / {bins}e0 AS step
+                  FROM (SELECT CAST(min({column}) AS DOUBLE) AS least_v, CAST(max({column}) AS DOUBLE) AS most_v FROM cells)))
+      LEFT JOIN (SELECT CAST({column} AS DOUBLE) AS v FROM cells) ON v >= low AND (bin = {bins} OR v < high)
+      GROUP BY bin, low, high"""
 
 
 @register("histogram", over_cells(_histogram_sql("l_extendedprice")))
@@ -909,7 +907,7 @@ def _(spark, d):
 
 _TEXT_SQL = """texts AS (SELECT id, 'POLYGON((' || string_agg(CAST(CAST(round((lon + {shift}) * 1e6) AS BIGINT) AS VARCHAR)
   || ' ' || CAST(CAST(round(lat * 1e6) AS BIGINT) AS VARCHAR), ', ' ORDER BY k) || '))' AS wkt
-  FROM vertices WHERE resolution = 9 GROUP BY id)"""
+  FROM vertices GROUP BY id)"""
 
 
 def _open_wkt(ring, shift: float = 0.0):
@@ -933,7 +931,7 @@ def _open_wkt(ring, shift: float = 0.0):
     ),
 )
 def _(spark, d):
-    rings = tables.stored_geometry(spark, d).where("resolution = 9")
+    rings = tables.stored_geometry(spark, d)
     return rings.select("id", geometry.close_polygon_wkt(_open_wkt(F.col("ring"))).alias("wkt"))
 
 
@@ -951,7 +949,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    rings = tables.stored_geometry(spark, d).where("resolution = 9")
+    rings = tables.stored_geometry(spark, d)
     first = F.regexp_replace(_open_wkt(F.col("ring")), "^POLYGON", "")
     second = F.regexp_replace(_open_wkt(F.col("ring"), 1.0), "^POLYGON", "")
     both = F.concat(F.lit("MULTIPOLYGON ("), first, F.lit(", "), second, F.lit(")"))
@@ -961,15 +959,15 @@ def _(spark, d):
 _COARSE_SQL = """
 coarse_rows AS (
   SELECT lower(hex(r9_id)) AS id, r9_id AS cell, n, l_extendedprice AS p, flag AS f
-  FROM cells WHERE l_quantity >= 49),
+  FROM cells WHERE (r9_id >> 18) % 3 <> 0),
 coarse AS (
   SELECT id, cell, p, f, row_number() OVER (ORDER BY cell) - 1 AS place, count(*) OVER () AS total
   FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, p DESC) AS rn FROM coarse_rows) WHERE rn = 1)"""
 
 
 def _coarse(cells: DataFrame) -> DataFrame:
-    """Coarse rows of some hexagons only, ids repeated: the last by (n, p) counts."""
-    return cells.where("l_quantity >= 49").select(
+    """All rows of the hexagons that the table has, two thirds of them; ids are repeated, the last by (n, p) counts."""
+    return cells.where("shiftright(r9_id, 18) % 3 <> 0").select(
         cellid.cell_to_string(F.col("r9_id")).alias("id"),
         F.col("l_extendedprice").alias("p"),
         F.col("flag").alias("f"),
@@ -1045,3 +1043,131 @@ def _(spark, d):
     sources.write_profile(hl.profile(cells, _versions(spark, d)), hl.profile_values(cells), folder)
     attributes, _ = sources.read_profile(spark, folder)
     return _flat(attributes)
+
+
+# --- batches, filter tables, sketches, texts ---------------------------------------------------
+
+
+@register("tile_index_append", over_tiles("SELECT geohash, id, resolution, zoom FROM tile_index"))
+def _(spark, d):
+    cells, geo, folder = tables.stored_cells(spark, d), tables.stored_geometry(spark, d), tables.shared_folder(spark)
+    for batch, part in (("first", "n % 3 = 0"), ("second", "n % 3 > 0"), ("first", "n % 3 < 2")):
+        sources.append_tile_index(cells.where(part), geo, folder, batch)
+    return sources.read_tile_index(spark, folder).drop("batch")
+
+
+#: Every filter of the filter queries and one for each pair of a quantity and a flag, as rows.
+_FILTER_ROWS = [(name, filters, where) for name, (filters, where) in _FILTERS.items()] + [
+    (f"{low}-{flag}", {"l_quantity": {"min": low}, "flag": {"choices": [flag]}}, f"l_quantity >= {low} AND flag = '{flag}'")
+    for low in range(1, 51, 7)
+    for flag in "ANR"
+]
+
+
+@register(
+    "count_filters",
+    over_cells(
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS filter_id, count(DISTINCT r11_id) AS count FROM cells WHERE {where}" for name, _, where in _FILTER_ROWS
+        )
+    ),
+)
+def _(spark, d):
+    rows = [(name, None if filters is None else json.dumps(filters)) for name, filters, _ in _FILTER_ROWS]
+    return hl.count_filters(tables.cells(spark, d), spark.createDataFrame(rows, "filter_id string, filter string"))
+
+
+@register(
+    "filter_dispatch",
+    over_cells(
+        "SELECT 'number' AS shape, count(DISTINCT r11_id) AS count FROM cells WHERE l_quantity >= 30"
+        " UNION ALL SELECT 'boolean', count(DISTINCT r11_id) FROM cells WHERE discounted"
+    ),
+)
+def _(spark, d):
+    shapes = {
+        "number": {"l_quantity": {"choices": ["1"], "bool": True, "min": 30}},
+        "boolean": {"discounted": {"choices": ["false"], "bool": True}},
+    }
+    counts = [hl.count_cells(tables.cells(spark, d), f).select(F.lit(shape).alias("shape"), "count") for shape, f in shapes.items()]
+    return counts[0].unionAll(counts[1])
+
+
+_SKETCHED_SQL = " UNION ALL ".join(
+    f"SELECT r{r}_id AS id, CAST({r} AS INTEGER) AS resolution, count(DISTINCT l_partkey) AS parts, true AS close FROM cells GROUP BY r{r}_id"
+    for r in tiles.STOPS
+)
+
+
+@register("distinct_sketch_pyramid", over_cells(_SKETCHED_SQL))
+def _(spark, d):
+    """The exact count of each hexagon, and whether the sketch's is within a tenth (six standard errors) of it."""
+    cells = tables.cells(spark, d)
+    levels = F.array(*(F.struct(F.col(f"r{r}_id").alias("id"), F.lit(r).alias("resolution")) for r in tiles.STOPS))
+    exact = cells.select(F.inline(levels), "l_partkey").groupBy("id", "resolution").agg(F.count_distinct("l_partkey").alias("parts"))
+    guess = hl.distinct_sketch_pyramid(cells, "l_partkey").select("id", F.hll_sketch_estimate("sketch").alias("guess"))
+    close = F.abs(F.col("guess") - F.col("parts")) <= 0.1 * F.col("parts")
+    return exact.join(guess, "id").select("id", "resolution", "parts", close.alias("close"))
+
+
+@register("approximate_count", over_cells(f"SELECT count(DISTINCT r11_id) AS cells, true AS close FROM cells WHERE {_MIXED_SQL}"))
+def _(spark, d):
+    cells = tables.cells(spark, d)
+    exact = hl.count_cells(cells, _MIXED).select(F.lit(1).alias("one"), F.col("count").alias("cells"))
+    guess = hl.approximate_count(cells, _MIXED).select(F.lit(1).alias("one"), F.col("count").alias("guess"))
+    return exact.join(guess, "one").select("cells", (F.abs(F.col("guess") - F.col("cells")) <= 0.1 * F.col("cells")).alias("close"))
+
+
+@register(
+    "inline_ids",
+    over_cells("SELECT r11_id, n FROM cells WHERE r11_id IN (SELECT r11_id FROM cells WHERE n % 97 = 5) OR r7_id = (SELECT max(r7_id) FROM cells)"),
+)
+def _(spark, d):
+    """Ids given as literals, of two resolutions."""
+    cells = tables.stored_cells(spark, d)
+    some = [r.id for r in cells.where("n % 97 = 5").select("id").distinct().collect()]
+    last = cells.agg(cellid.cell_to_string(F.max("r7_id"))).first()[0]
+    return hl.select_cells(cells, ids=[*some, last]).select("r11_id", "n")
+
+
+@register("bucket_counts", over_cells(re.sub(r"round\(count\(v\) / any_value\(total\), 9\)", "CAST(count(v) AS DOUBLE)", _bucket_sql("l_extendedprice", 49) + " UNION ALL " + _bucket_sql("tax", 49))))
+def _(spark, d):
+    return hl.equal_interval_buckets(tables.cells(spark, d), ["l_extendedprice", "tax"]).withColumn("count", F.col("count").cast("double"))
+
+
+@register(
+    "csv_quoted",
+    "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name || ', \"' || c_mktsegment || '\"' AS name, c_acctbal AS balance, CAST(c_nationkey AS BIGINT) AS nation,"
+    " CASE WHEN c_custkey % 5 > 0 THEN c_acctbal > 0 END AS paid FROM customer",
+)
+def _(spark, d):
+    """Texts with commas and quotes, written as CSV and read back with a type for each column."""
+    folder = tables.shared_folder(spark)
+    named = tables.table(spark, d, "customer").selectExpr(
+        "cast(c_custkey as string) as GRID_ID", "c_name || ', \"' || c_mktsegment || '\"' as name", "c_acctbal as balance",
+        "c_nationkey as nation", "case when c_custkey % 5 > 0 then c_acctbal > 0 end as paid",
+    )
+    named.write.csv(folder, header=True, quote='"', escape='"')
+    kinds = {"bigint": "bigint", "int": "bigint", "double": "double"}
+    nation = kinds[dict(named.dtypes)["nation"]]
+    return sources.read_cells_csv(spark, folder, schema=f"GRID_ID string, name string, balance double, nation {nation}, paid boolean")
+
+
+@register(
+    "id_to_polygon",
+    sql(
+        CELLS,
+        HEXES,
+        CENTERS,
+        VERTICES,
+        _TEXT_SQL.format(shift="0e0"),
+        query="""SELECT lower(hex(id)) AS id, 'POLYGON((' || regexp_extract(wkt, '\\(\\((.*)\\)\\)', 1) || ', '
+          || regexp_extract(wkt, '\\(\\(([^,]*),', 1) || '))' AS wkt FROM texts""",
+    ),
+)
+def _(spark, d):
+    """Each hexagon's multipolygon text as one closed polygon, by the SQL function."""
+    register_sql_functions(spark)
+    several = F.concat(F.lit("MULTIPOLYGON ("), F.regexp_replace(_open_wkt(F.col("ring")), "^POLYGON", ""), F.lit(")"))
+    texts = tables.stored_geometry(spark, d).select(cellid.cell_to_string(F.col("id")).alias("id"), several.alias("multipolygon"))
+    return texts.select(F.expr("h3_id_to_simple_polygon(id, multipolygon)").alias("polygon")).select("polygon.*")

@@ -99,7 +99,7 @@ def cell_geometry(hexes: DataFrame) -> DataFrame:
 def coarse_attributes(cell_rows: DataFrame) -> DataFrame:
     """Attributes of resolution-9 hexagons, some of the hexagons missing."""
     return (
-        cell_rows.where("l_quantity >= 49")
+        cell_rows.where("shiftright(r9_id, 18) % 3 <> 0")
         .groupBy("r9_id")
         .agg(F.min("l_extendedprice").alias("q"), F.max("flag").alias("f"))
         .select(cellid.cell_to_string(F.col("r9_id")).alias("id"), "q", "f")

@@ -1,3 +1,4 @@
+from hexloom.sources.index import append_tile_index, read_tile_index
 from hexloom.sources.readers import (
     build_cells,
     coarse_position,
@@ -27,6 +28,7 @@ from hexloom.sources.writers import (
 
 __all__ = [
     "STORED_LEVELS",
+    "append_tile_index",
     "build_cells",
     "coarse_position",
     "csv_with_verdicts",
@@ -39,6 +41,7 @@ __all__ = [
     "read_id_csv",
     "read_id_list",
     "read_profile",
+    "read_tile_index",
     "row_count",
     "with_hierarchy",
     "write_cell_pyramid",

@@ -51,14 +51,15 @@ def write_cells(cells: DataFrame, path: str, partitions: int | None = None) -> N
     placed.write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(path)
 
 
-def _ordered_index(tile_index: DataFrame) -> DataFrame:
+def ordered_index(tile_index: DataFrame) -> DataFrame:
+    """Index rows brought together by resolution and area and sorted by quadkey."""
     area = F.expr(f"substring(geohash, 1, length(geohash) - {PLACED_DIGITS})")
     return _placed(tile_index, [F.col("resolution"), area]).sortWithinPartitions("resolution", "geohash", "id").select(tile_index.columns)
 
 
 def write_tile_index(tile_index: DataFrame, path: str) -> None:
     """Tile index as Parquet, one folder per resolution, sorted by quadkey for prefix skipping; computed once."""
-    _ordered_index(tile_index).write.mode("overwrite").partitionBy("resolution").parquet(path)
+    ordered_index(tile_index).write.mode("overwrite").partitionBy("resolution").parquet(path)
 
 
 def write_cell_pyramid(layers: DataFrame, path: str) -> None:

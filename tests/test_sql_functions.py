@@ -44,3 +44,12 @@ def test_close(spark, text):
         geometry.close_polygon_wkt(F.col("v")), F.expr("close_polygon_wkt(v)")
     ).first()
     assert row[0] == row[1]
+
+
+@pytest.mark.parametrize("text", ["MULTIPOLYGON (((1 2, 3 4, 5 6), (1 1, 2 2, 3 1)), ((7 8, 9 9, 1 0)))", "multipolygon empty", "POLYGON((1 2, 3 4, 5 6))", None])
+def test_polygons_of_a_hexagon(spark, text):
+    parts, polygon, want_parts, want = spark.createDataFrame([("8944e1a0b03ffff", text)], "id string, v string").select(
+        F.expr("polygon_from_multipolygon_wkt(v)"), F.expr("h3_id_to_simple_polygon(id, v)"),
+        geometry.multipolygon_parts(F.col("v")), F.struct("id", geometry.close_polygon_wkt(F.get(geometry.multipolygon_parts(F.col("v")), 0)).alias("wkt")),
+    ).first()
+    assert parts == want_parts and tuple(polygon) == tuple(want)
