@@ -24,42 +24,50 @@ from hexloom.llm.common import checkpointed, worker_memory
 CAPACITY = 4096
 END_ID = 1
 GROUP_BINS = 512
-#: Fillings that are looked at for one bin, and search steps for a group, after which the incumbent stands.
-FILLINGS, STEPS = 64, 20_000
-#: Chunks, and words, that a task remembers about.
-KNOWN_CHUNKS = 350_000
+#: Sets of lengths that are looked at for a group, after which the incumbent stands.
+STEPS = 20_000
+#: Distinct chunks, and words, that a task remembers (about 200 bytes each), and characters that are tokenised at a time.
+KNOWN_WORDS = 500_000
+BLOCK_CHARS = 2_000_000
 
 
-class Chunks(dict):
-    """Little-endian 32-bit token ids of each white-space-separated chunk.
+class Words:
+    """Little-endian 32-bit token ids of each lower-cased chunk between white space, and of each word in them.
 
-    Chunks share their words, so new chunks are cut into the words that the tokenizer cuts them into and new words go
-    to it in rows, divided again at the tokens that end a word. A chunk that lower-casing or composing characters
-    could cut otherwise goes to the tokenizer as it is.
+    Chunks share their words, so only new words go to the tokenizer, in rows that are divided again at the tokens that
+    end a word. A text goes to it as a whole where cutting it here could differ: where lower-casing or composing characters
+    depends on their neighbours, at separators that Python alone takes for white space, and where it may hold one of the
+    tokenizer's added tokens.
     """
 
     #: Fixed value: how the tokenizer file cuts a lower-cased chunk.
     CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    MARKS = frozenset(".,;:!?")
+    #: Characters that are white space in Python and not in the tokenizer.
+    ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cut = regex.compile(self.CUT).findall
+        added = {token.content[:2] for token in self.tokenizer.get_added_tokens_decoder().values()}
+        self.odd = regex.compile("|".join(map(regex.escape, [*self.ODD_SPACES, "Σ", *sorted(added)]))).search
         self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def learn_words(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > KNOWN_CHUNKS:
-            self.words.clear()
+        """Makes all of words known."""
         new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > KNOWN_WORDS:
+            self.words.clear()
+            new = list(words)
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
             rows = [part[i : i + 100] for i in range(0, len(part), 100)]
@@ -67,7 +75,7 @@ class Chunks(dict):
                 ids = np.array(found.ids, "<u4")
                 stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
                 if len(stops) != len(row):
-                    self.words.update(zip(row, self.ids(row)))
+                    self.words.update(zip(row, self.whole(row)))
                     continue
                 data, start = ids.tobytes(), 0
                 for word, stop in zip(row, stops):
@@ -75,49 +83,61 @@ class Chunks(dict):
                     start = stop
 
     def learn(self, chunks: set[str]) -> None:
-        """Makes all of chunks known."""
-        new = chunks.difference(self)
-        if len(self) + len(new) > KNOWN_CHUNKS:  # what this block needs stays, frequent chunks among it
-            kept = {c: self[c] for c in chunks if c in self}
-            self.clear()
-            self.update(kept)
-        odd, cuts = [], {}
-        for chunk in new:
-            low = chunk.lower()
-            if not chunk.isascii() and (len(low) != len(chunk) or "Σ" in chunk or not is_normalized("NFC", chunk)):
-                odd.append(chunk)
+        """Makes chunks known, all of them new; what else is known may be forgotten."""
+        cuts = {}
+        for chunk in chunks:  # nearly all are letters, or letters and a mark
+            if chunk.isalpha():
+                cuts[chunk] = [chunk]
+            elif chunk[-1] in self.MARKS and chunk[:-1].isalpha():
+                cuts[chunk] = [chunk[:-1], chunk[-1]]
             else:
-                cuts[chunk] = self.cut(low)
-        self.learn_words({w for words in cuts.values() for w in words})
+                cuts[chunk] = self.cut(chunk)
+        self.learn_words(set().union(*cuts.values()))
+        if len(self.chunks) + len(cuts) > KNOWN_WORDS:
+            self.chunks.clear()
         known = self.words
-        self.update((c, known[w[0]] if len(w) == 1 else b"".join([known[x] for x in w])) for c, w in cuts.items())
-        if odd:
-            self.update(zip(odd, self.ids(odd)))
-
-
-#: Characters that str.split() takes for white space and the tokenizer's \s doesn't.
-_ODD_SPACES = "\x1c\x1d\x1e\x1f"
-
+        self.chunks.update((c, known[w[0]] if len(w) == 1 else b"".join([known[x] for x in w])) for c, w in cuts.items())
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """The token ids of each text, as the tokenizer file at path gives them, 4 bytes each.
-
-    The tokenizer never joins characters over white space and its normalisation is the same in every place, so the
-    ids of a text are those of its chunks. Texts with separators on which Python and the tokenizer differ go whole.
-    """
-    known = worker_memory(("packing", path), lambda: Chunks(path))
-    out: list[bytes] = []
-    for at in range(0, len(texts), 1000):
-        block = texts[at : at + 1000]
-        whole = {i for i, t in enumerate(block) if any(c in t for c in _ODD_SPACES)}
-        chunks: set[str] = set()
-        for i, text in enumerate(block):
-            if i not in whole:
-                chunks.update(text.split())
-        known.learn(chunks)
-        get = known.__getitem__
-        out += [known.ids([t])[0] if i in whole else b"".join(map(get, t.split())) for i, t in enumerate(block)]
-    return out
+    def ids(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = []
+        open_: list[tuple[int, list[str], list[bytes | None], list[int]]] = []  # texts with chunks that aren't known
+        new: set[str] = set()
+        get = self.chunks.get
+        for text in texts:
+            low = text.lower()
+            if self.odd(text) or (not text.isascii() and (len(low) != len(text) or not is_normalized("NFC", text))):
+                out.append(self.whole([text])[0])
+                continue
+            chunks = low.split()
+            found = list(map(get, chunks))
+            if None in found:
+                gaps = [i for i, ids in enumerate(found) if ids is None]
+                new.update([chunks[i] for i in gaps])
+                open_.append((len(out), chunks, found, gaps))
+                out.append(None)
+            else:
+                out.append(b"".join(found))
+        if new:
+            self.learn(new)
+        for place, chunks, found, gaps in open_:
+            for i in gaps:
+                found[i] = self.chunks[chunks[i]]
+            out[place] = b"".join(found)
+        return out
+
+
+def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
+    """The token ids of each text, as the tokenizer file at path gives them, 4 bytes each."""
+    words = worker_memory(("packing", path), lambda: Words(path))
+    block: list[str] = []
+    size = 0
+    for text in texts:
+        block.append(text)
+        size += len(text)
+        if size > BLOCK_CHARS:
+            yield from words.ids(block)
+            block, size = [], 0
+    yield from words.ids(block)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -127,7 +147,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, row, ids in zip(batch["doc_id"], batch["row"], token_bytes(batch["text"].tolist(), tokenizer_path)):
+            for doc_id, row, ids in zip(batch["doc_id"], batch["row"], token_bytes(batch["text"], tokenizer_path)):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
@@ -157,104 +177,106 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(left: list[int], counts: Counter, room: int, limit: int) -> list[tuple[int, ...]]:
-    """Undominated sets of lengths that fit into room, the least waste first, at most limit of them.
+def fillings(left: list[int], counts: dict[int, int], room: int) -> Iterator[tuple[int, ...] | None]:
+    """All undominated sets of lengths that fit into room, as they are asked for; None for each set looked at besides.
+
+    left: the distinct lengths, ascending, with their counts; neither may change meanwhile. Larger lengths are tried first.
+    A filling is dominated, and left out, if a length that it doesn't use fits beside it or in place of a smaller one
+    that it uses: any packing with it can be changed to one with the other and as many bins.
+    """
+
+    def spare(at: int, chosen: tuple[int, ...]) -> bool:
+        return counts[left[at]] > chosen.count(left[at])
+
+    def grow(top: int, room: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...] | None]:
+        yield None
+        fitting = bisect_right(left, room)
+        for at in range(min(top, fitting - 1), -1, -1):
+            if spare(at, chosen):
+                yield from grow(at, room - left[at], (*chosen, left[at]))
+        more = any(spare(at, chosen) for at in range(fitting))
+        if not more and not any(spare(at, chosen) for x in set(chosen) for at in range(bisect_right(left, x), bisect_right(left, x + room))):
+            yield chosen
+
+    return grow(len(left) - 1, room, ())
 
-    left: the distinct lengths, ascending. Larger lengths are tried first. A filling is dominated, and left out, if a
-    single length that it doesn't use fits in place of one that it uses: that exchange wastes less.
+
+def lower_bound(lengths: list[int], capacity: int) -> int:
+    """Bins that lengths need at least: those over capacity - k are alone, those over half too, and the rest fills them.
+
+    The largest over all k up to half the capacity; with k = 0 it is the total over the capacity.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    looked = 0
-
-    def grow(room: int, top: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal looked
-        at = bisect_right(left, min(top, room)) - 1
-        tried = False
-        while at >= 0 and looked < 4 * limit and len(found) < limit:
-            x = left[at]
-            if chosen.count(x) < counts[x]:
-                tried = True
-                if not grow(room - x, x, (*chosen, x)):
-                    return False
-                if room - x >= 0 and len(chosen) >= 3:
-                    break
-            at -= 1
-        if not tried:
-            looked += 1
-            if not any((at := bisect_right(left, x + room) - 1) >= 0 and left[at] > x and counts[left[at]] > chosen.count(left[at]) for x in set(chosen)):
-                found.append((room, chosen))
-            return room > 0
-        return True
-
-    grow(room, room, ())
-    return [c for _, c in sorted(found)] or [()]
+    sizes = np.sort(np.asarray(lengths, np.int64))
+    if not len(sizes):
+        return 0
+    sums = np.append(0, np.cumsum(sizes))
+    half = np.searchsorted(sizes, capacity // 2, "right")  # lengths up to half the capacity stand before it
+    small = np.unique(np.append(0, sizes[:half]))
+    low = np.searchsorted(sizes, small, "left")
+    high = np.searchsorted(sizes, capacity - small, "right")
+    alone, large = len(sizes) - high, high - half
+    rest = (sums[half] - sums[low]) - (large * capacity - (sums[high] - sums[half]))
+    return int((alone + large + np.maximum(0, -(-rest // capacity))).max())
 
 
 def complete_bins(lengths: list[int], capacity: int = CAPACITY, steps: int = STEPS) -> list[list[int]]:
     """Bins of as few as found: branch and bound over the fillings of the bin of the largest length left.
 
-    Best-fit decreasing is the first incumbent. A branch is left when its bins and the lower bound of what remains
-    (total length over capacity) don't beat the incumbent: that is the waste it may still make. The search ends at the
-    lower bound, or after the given number of steps with the incumbent.
+    Best-fit decreasing is the first incumbent. A branch is left when its bins and the lower bound of what remains don't
+    beat the incumbent, which is to say when it has wasted too much. The search ends at the lower bound of all, when no
+    branch is left (the incumbent is optimal then), or after the given number of steps (sets looked at) with the incumbent.
     """
     incumbent = best_fit(lengths, capacity)
-    total = sum(lengths)
-    bound = -(-total // capacity)
-    if len(incumbent) <= bound:
-        return incumbent
+    bound = lower_bound(lengths, capacity)
     counts = Counter(lengths)
     left = sorted(counts)
     done: list[list[int]] = []
-    branches: list[tuple[Iterator, int]] = []
-    rest = total
+    rest = sum(lengths)
 
-    def take(items) -> None:
+    def take(items: list[int]) -> None:
         for x in items:
             counts[x] -= 1
             if not counts[x]:
                 left.pop(bisect_left(left, x))
 
-    def give(items) -> None:
+    def give(items: list[int]) -> None:
         for x in items:
             if not counts[x]:
                 insort(left, x)
             counts[x] += 1
 
-    def options() -> Iterator[tuple[int, ...]]:
-        x = left[-1]
-        take([x])
-        found = fillings(left, counts, capacity - x, FILLINGS)
-        give([x])
-        return iter([(x, *f) for f in found])
-
-    branches.append((options(), 0))
-    for _ in range(steps):
-        if not branches:
-            break
-        choice = next(branches[-1][0], None)
+    def options() -> Iterator[list[int] | None]:
+        first = left[-1]
+        take([first])
+        found = fillings(left[:], dict(counts), capacity - first)
+        give([first])
+        return (f if f is None else [first, *f] for f in found)
+
+    def hopeless() -> bool:
+        best = len(incumbent) - len(done)
+        return -(-rest // capacity) >= best or (len(left) <= 200 and lower_bound(list(counts.elements()), capacity) >= best)
+
+    branches, over = [options()] if lengths else [], []
+    while branches and steps and len(incumbent) > bound:
+        steps -= 1
+        choice = next(branches[-1], over)
         if choice is None:
-            branches.pop()
-            if done:
-                back = done.pop()
-                give(back)
-                rest += sum(back)
             continue
-        take(choice)
-        done.append(list(choice))
-        rest -= sum(choice)
-        if len(done) + -(-rest // capacity) >= len(incumbent):
-            back = done.pop()
-            give(back)
-            rest += sum(back)
-        elif not left:
-            incumbent = [list(b) for b in done]
-            if len(incumbent) <= bound:
-                break
+        if choice is not over:
+            take(choice)
+            done.append(choice)
+            rest -= sum(choice)
+            if not left and len(done) < len(incumbent):
+                incumbent = [list(b) for b in done]
+            if left and not hopeless():
+                branches.append(options())
+                continue
+        else:
+            branches.pop()
+        if done:
             back = done.pop()
             give(back)
             rest += sum(back)
-        else:
-            branches.append((options(), 0))
     return incumbent
 
 
@@ -279,10 +301,11 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     A null or empty text is one piece that holds end_id alone; a null doc_id stays null; repeated rows are packed
     each for themselves. An empty table gives an empty result. Other columns are not read.
     """
-    found = checkpointed(pieces(docs, tokenizer_path, capacity, end_id))
+    # a number of its own for each piece deals out repeated rows as well; from the checkpoint on it stays
+    found = checkpointed(pieces(docs, tokenizer_path, capacity, end_id).withColumn("number", F.monotonically_increasing_id()))
     total = found.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(total / (capacity * group_bins)))
-    dealt = found.withColumn("group", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
+    dealt = found.withColumn("group", F.pmod(F.xxhash64("row", "piece", "number"), F.lit(groups)))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         group = int(frame["group"].iloc[0])

@@ -105,7 +105,6 @@ def test_packing(spark, sf_dir, odd_docs, frame):
 
     docs = odd_docs if frame == "odd" else read(spark, sf_dir, "documents")
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for i, t in texts(docs):
         ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
@@ -125,6 +124,57 @@ def test_packing(spark, sf_dir, odd_docs, frame):
     assert len(held) <= -(-sum(r.length for r in rows) // 4096) + 1
 
 
+def test_token_ids_equal_a_plain_tokenizer():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(WORDS)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "Σ", "ΑΣ b", "it's", "IT'S", "don't", "12a", "e\u0301", "É", "İ", "ß", "ﬁ", "\x1c", "\x85", "\u3000", "\n\n", " ", "...", "a" * 300, "漢字", "🙂", "1,000.5", "_", "w00t"]
+    rng = np.random.default_rng(8)
+    texts_ = ["", *parts] + ["".join(rng.choice([*parts, " "], rng.integers(1, 12))) for _ in range(3000)]
+    found = list(packing.token_bytes(texts_, WORDS))
+    for text, ids in zip(texts_, found, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def fewest_bins(lengths, capacity):
+    """The optimum by trying every place of every length, equal bins once."""
+    best = len(lengths)
+
+    def put(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(lengths):
+            best = len(bins)
+            return
+        for room in sorted(set(bins)):
+            if room >= lengths[i]:
+                rest = list(bins)
+                rest.remove(room)
+                put(i + 1, [*rest, room - lengths[i]])
+        put(i + 1, [*bins, capacity - lengths[i]])
+
+    lengths = sorted(lengths, reverse=True)
+    put(0, [])
+    return best
+
+
+def test_bin_completion_is_optimal():
+    rng = np.random.default_rng(4)
+    assert len(packing.complete_bins([1, 8, 8, 11, 11, 15, 17, 42, 49, 64, 74], 100, 10**6)) == 3
+    better = 0
+    for _ in range(150):
+        sizes = rng.integers(1, rng.choice([30, 60, 80]), rng.integers(1, 12)).tolist()
+        bins = packing.complete_bins(sizes, 100, 10**6)
+        assert sorted(x for b in bins for x in b) == sorted(sizes) and all(sum(b) <= 100 for b in bins)
+        best = fewest_bins(sizes, 100)
+        assert packing.lower_bound(sizes, 100) <= best == len(bins) <= len(packing.best_fit(sizes, 100)), sizes
+    for _ in range(200):
+        sizes = rng.integers(15, 60, 24).tolist()
+        better += len(packing.complete_bins(sizes, 100)) < len(packing.best_fit(sizes, 100))
+    assert better > 0
+
+
 def test_bin_completion_beats_best_fit():
     lengths = [6, 6, 5, 5, 5, 4, 4, 4, 3, 3, 3, 2]  # 50 in bins of 10
     assert len(packing.complete_bins(lengths, 10)) == 5
