@@ -228,6 +228,33 @@ def test_site_lines(spark, odd_docs):
     assert all(r.n_lines == 4 and r.n_dropped == 2 and r.kept == f"text {r.doc_id}\n" for r in rows)
     assert lines.without_site_lines(odd_docs).columns == odd_docs.columns
     assert lines.without_site_lines(odd_docs).count() == odd_docs.count()
+    names = ("host", "lines", "n_lines", "n_dropped", "kept", "line", "pages", "total", "page", "copies")
+    clashing = docs.selectExpr("*", *[f"7 as {c}" for c in names])
+    assert sorted((r.doc_id, r.kept, r.host, r.lines) for r in lines.drop_site_lines(clashing).collect()) == sorted((r.doc_id, r.kept, 7, 7) for r in rows)
+    cut = lines.without_site_lines(clashing)
+    assert cut.columns == clashing.columns and {tuple(r)[3:] for r in cut.collect()} == {(7,) * len(names)}
+
+
+def test_lines_of_small_hosts_and_of_copies(spark):
+    """Plain counting: a nine-page host loses its menu, copies are one page, edited copies on two pages keep their lines."""
+    rows = [(f"h{h}", f"Menu\nhost {h} text {i}") for h in range(10) for i in range(9)]
+    rows += [("copies", "Article\nof many copies")] * 40 + [("copies", f"page {i}") for i in range(20)]
+    rows += [("edited", f"Article\nedited {i}") for i in range(2)] + [("edited", f"page {i}") for i in range(4)]
+    rows += [("big", f"page {i}" + "\noften" * (i < 64) + "\nseldom" * (i < 63)) for i in range(500)] + [(None, "Menu\nx"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    pages, total = {}, {}
+    for s, t in {(s, t or "") for s, t in rows}:
+        total[s] = total.get(s, 0) + 1
+        for line in set(t.split("\n")):
+            pages[s, line] = pages.get((s, line), 0) + 1
+
+    def kept(s, t):
+        bad = lambda n: n >= 3 and 10 * n > total[s] and (10 * n - total[s]) ** 2 > 36 * total[s]
+        return None if t is None else "\n".join(x for x in t.split("\n") if not (x.strip() and bad(pages[s, x])))
+
+    got = {r.doc_id: r.kept for r in lines.drop_site_lines(docs).collect()}
+    assert got == {i: kept(s, t) for i, (s, t) in enumerate(rows)}
+    assert got[0] == "host 0 text 0" and got[90] == "Article\nof many copies" and got[150] == "Article\nedited 0"
 
 
 def test_quality(spark, odd_docs):
