@@ -7,7 +7,7 @@ first character, and one more where there are some already, so that taking one a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The template's strings.
@@ -33,56 +33,60 @@ def unescaped_role(role: F.Column) -> F.Column:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_spans (start, length in characters, from 0) of turns (conv_id, turn, role, text).
+    """conv_id, formatted, loss_spans (start, length in characters; byte_start, byte_length in UTF-8; all from 0) of turns (conv_id, turn, role, text).
 
     Rows are sorted by turn, then role and text; null turns come first; null texts and roles are empty. Adjacent turns
     of one role are one block. Repeated rows are turns of their own. A null conv_id is a conversation. An empty table
-    gives an empty result; other columns are not read. A conversation is one row, so its turns meet in one task.
+    gives an empty result; other columns are not read. A conversation is one row, so its turns meet in one task, where
+    windows over its sorted turns (they spill) find the blocks and places; time grows with the turns. Turns are shuffled once.
     """
-    struct = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(struct)).alias("turns"))
-    plain = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escaped(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss")))
-    chats = chats.withColumn("turns", plain)
-    first = F.transform("turns", lambda t, i: (i == 0) | (t["role"] != F.get("turns", i - 1)["role"]))
-    chats = chats.withColumn("first", first)
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = rows.select("conv_id", "role", "text", F.row_number().over(order).alias("n"), F.lag("role").over(order).alias("before"))
+    opens = F.col("before").isNull() | (F.col("before") != F.col("role"))
     # what stands before each text: the end of the block before and the head of the next, or the mark of a turn
-    before = F.transform(
-        "turns",
-        lambda t, i: F.when(~F.get("first", i), F.lit(TURN)).otherwise(
-            F.concat(F.when(i == 0, F.lit(START)).otherwise(F.lit(END)), F.lit("<|"), escaped_role(t["role"]), F.lit("|>"))
-        ),
+    head = F.concat(F.when(F.col("n") == 1, F.lit(START)).otherwise(F.lit(END)), F.lit("<|"), escaped_role(F.col("role")), F.lit("|>"))
+    rows = rows.select(
+        "conv_id", "n", opens.cast("int").alias("opens"), F.when(opens, head).otherwise(F.lit(TURN)).alias("head"),
+        escaped(F.col("text")).alias("text"), (F.col("role") == "assistant").alias("loss"),
     )
-    chats = chats.withColumn("before", before)
-    parts = F.zip_with("before", "turns", lambda b, t: F.concat(b, t["text"]))
-    chats = chats.withColumn("formatted", F.concat(F.array_join(parts, ""), F.lit(END)))
-    sizes = F.zip_with("before", "turns", lambda b, t: F.struct(F.length(b).alias("b"), F.length(t["text"]).alias("t"), t["loss"].alias("loss")))
-    chats = chats.withColumn("sizes", sizes)
-    empty = F.expr("struct(0 AS at, cast(array() AS array<struct<start: int, length: int>>) AS spans)")
-    spans = F.aggregate(
-        "sizes",
-        empty,
-        lambda a, s: F.struct(
-            (a["at"] + s["b"] + s["t"]).alias("at"),
-            F.when(s["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + s["b"]).alias("start"), s["t"].alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
+    so_far = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select(
+        "*",
+        F.sum("opens").over(so_far).alias("block"),
+        F.sum(F.length("head") + F.length("text")).over(so_far).alias("end"),
+        F.sum(F.octet_length("head") + F.octet_length("text")).over(so_far).alias("byte_end"),
+    )
+    span = F.struct(
+        (F.col("end") - F.length("text")).cast("int").alias("start"), F.length("text").alias("length"),
+        (F.col("byte_end") - F.octet_length("text")).cast("int").alias("byte_start"), F.octet_length("text").alias("byte_length"),
     )
-    return chats.select("conv_id", "formatted", spans["spans"].alias("loss_spans"))
+    turn = F.struct("n", F.concat("head", "text").alias("part"), F.when(F.col("loss"), span).alias("span"))
+    blocks = rows.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    blocks = blocks.select("conv_id", F.struct("block", F.array_join("turns.part", "").alias("part"), F.array_compact("turns.span").alias("spans")).alias("block"))
+    chats = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list("block")).alias("blocks"))
+    return chats.select("conv_id", F.concat(F.array_join("blocks.part", ""), F.lit(END)).alias("formatted"), F.flatten("blocks.spans").alias("loss_spans"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text), loss_text, formatted_chars, read from formatted and loss_spans alone."""
+    """conv_id, turns (role, text), loss_text, formatted_chars, read from formatted and loss_spans alone.
+
+    Spans are read by their bytes, as finding a character means reading all text before it.
+    """
     blocks = F.split(F.expr(f"substring(formatted, {len(START) + 1})"), END, -1)
     blocks = F.slice(blocks, 1, F.size(blocks) - 1)
-    turns = F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.transform(
-                F.split(F.regexp_extract(b, r"(?s)^<\|.*?\|>(.*)$", 1), r"<\|turn\|>", -1),
-                lambda t: F.struct(unescaped_role(F.regexp_extract(b, r"(?s)^<\|(.*?)\|>", 1)).alias("role"), unescaped(t).alias("text")),
-            ),
-        )
+    split = F.transform(
+        blocks,
+        lambda b: F.struct(
+            unescaped_role(F.regexp_extract(b, r"(?s)^<\|(.*?)\|>", 1)).alias("role"),
+            F.split(F.regexp_extract(b, r"(?s)^<\|.*?\|>(.*)$", 1), r"<\|turn\|>", -1).alias("texts"),
+        ),
     )
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring("formatted", s["start"] + 1, s["length"]))), "")
+    turns = F.flatten(F.transform(split, lambda b: F.transform(b["texts"], lambda t: F.struct(b["role"].alias("role"), unescaped(t).alias("text")))))
+    # the text as bytes is an element of an array, so that it is converted once for all spans
+    whole = F.array(F.col("formatted").cast("binary"))
+    masked = F.transform(whole, lambda w: F.transform("loss_spans", lambda s: unescaped(F.substring(w, s["byte_start"] + 1, s["byte_length"]).cast("string"))))
+    loss = F.array_join(F.flatten(masked), "")
     return chats.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
@@ -101,8 +105,7 @@ def digests(chats: DataFrame) -> DataFrame:
 
 def with_control_case(spark: SparkSession, turns: DataFrame) -> DataFrame:
     """turns and conversation -1, whose two texts are full of control strings."""
-    text = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql("SELECT -1L AS conv_id, n AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(n, role)")
     return turns.select("conv_id", "turn", "role", "text").union(extra)
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -31,6 +32,25 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.format_chats(turns.where("false"))).count() == 0
     first = chat.digests(chats).where("conv_id = 2").first()
     assert first.n_turns == 1 and first.turns_sha256 == hashlib.sha256(b"\n\n").hexdigest() and first.loss_chars == 0
+    for r in chats.collect():
+        spans = [(s.start, s.length, s.byte_start, s.byte_length) for s in r.loss_spans]
+        assert [r.formatted[a : a + n] for a, n, _, _ in spans] == [r.formatted.encode()[a : a + n].decode() for _, _, a, n in spans]
+
+
+def test_chat_of_very_many_turns(spark):
+    """Two conversations of 40,000 turns, of changing roles and of one role, beside short ones."""
+    turns = spark.range(80_200).selectExpr(
+        "case when id < 40000 then 1 when id < 80000 then 2 else id end as conv_id", "id as turn",
+        "if(id < 40000, if(id % 2 = 0, 'user', 'assistant'), 'assistant') as role", "concat('ü text <s> ', id) as text",
+    )
+    start = time.monotonic()
+    got = {r.conv_id: r for r in chat.digests(chat.format_chats(turns)).collect()}
+    assert time.monotonic() - start < 60
+    assert len(got) == 202 and got[1].n_turns == got[2].n_turns == 40_000
+    for c, of, marked in ((1, range(40_000), range(1, 40_000, 2)), (2, range(40_000, 80_000), range(40_000, 80_000))):
+        role = (lambda i: "assistant") if c == 2 else (lambda i: ("user", "assistant")[i % 2])
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{role(i)}\nü text <s> {i}\n" for i in of).encode()).hexdigest()
+        assert got[c].loss_sha256 == hashlib.sha256("".join(f"ü text <s> {i}" for i in marked).encode()).hexdigest()
 
 
 PAGE = """<html><head><title>T &amp; t</title><script>var x="</p>";</script></head><body><header><p>Site name</p></header>
