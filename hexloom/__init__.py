@@ -13,6 +13,7 @@ from hexloom.operators.profile import (
     histograms,
     profile,
     profile_file,
+    profile_value_chunks,
     profile_values,
 )
 from hexloom.operators.selection import (
@@ -48,6 +49,7 @@ __all__ = [
     "predicate",
     "profile",
     "profile_file",
+    "profile_value_chunks",
     "profile_values",
     "select_cells",
     "select_cells_compact",

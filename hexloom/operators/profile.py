@@ -28,6 +28,7 @@ SKIPPED_NAME_PATTERNS = [r"^r.*.id$", r"^Hex.", r"^Shape.", r"^id_1$"]
 # How many values of an attribute a file profile lists.
 LISTED_VALUES = {"number": 10, "string": 50, "boolean": 50}
 
+VALUE_CHUNKS = "attribute string, bucket long, chunk long, values map<string,long>"
 BUCKET_TYPE = "array<struct<break:double,count:long>>"
 DOCUMENT_COLUMNS = (
     "position", "key", "attribute", "type", "count", "countDistinct", "min", "max", "values", "stats"
@@ -451,6 +452,30 @@ def profile_values(cells: DataFrame) -> DataFrame:
     return value_frequencies(cells, names)
 
 
+def profile_value_chunks(cells: DataFrame, size: int = 10_000) -> DataFrame:
+    """All value frequencies of the text and boolean attributes in rows of at most ``size`` values.
+
+    Rows are ``(attribute, bucket, chunk, values)`` with a map as in :func:`profile`.  A value's bucket
+    depends on its hash, with one bucket per ``size`` distinct values of its column; a bucket that got more is cut in
+    value order into chunks.  So neither a row nor a task holds the values of a whole column, and
+    the map form of :func:`profile` can be left to columns of few values.  A column without values has no row.  The driver gets
+    one count per column.  ``size`` below 1 is an error.
+    """
+    if size < 1:
+        raise ValueError(f"chunks need a size of at least 1, not {size}")
+    names = [name for name, kind in eligible_columns(cells, skip_id=True) if kind in ("string", "boolean")]
+    if not names:
+        return cells.sparkSession.createDataFrame([], VALUE_CHUNKS)
+    frequencies = value_frequencies(cells, names)
+    distinct = {r["attribute"]: r["countDistinct"] for r in value_summary(frequencies).collect()}
+    buckets = F.create_map(*(F.lit(v) for name in names for v in (name, -(-distinct.get(name, 1) // size))))
+    bucket = F.pmod(F.xxhash64("value"), buckets[F.col("attribute")].cast("long"))
+    place = F.row_number().over(Window.partitionBy("attribute", "bucket").orderBy("value"))
+    rows = frequencies.withColumn("bucket", bucket).withColumn("chunk", F.floor((place - 1) / size).cast("long"))
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "count"))))
+    return rows.groupBy("attribute", "bucket", "chunk").agg(entries.alias("values"))
+
+
 def profile_file(rows: DataFrame, listed: dict[str, int] = LISTED_VALUES) -> DataFrame:
     """Profile of a cell file (see ``sources.read_cells_csv``), with population deviation.
 

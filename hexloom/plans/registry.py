@@ -769,6 +769,16 @@ def _(spark, d):
     return hl.profile_values(tables.cells(spark, d))
 
 
+@register(
+    "profile_value_chunks",
+    over_cells(f"SELECT *, true AS bounded FROM ({_values_sql()} UNION ALL SELECT 'cell_text', id, count(*) FROM cells GROUP BY id)"),
+)
+def _(spark, d):
+    cells = tables.cells(spark, d).withColumn("cell_text", F.col("id"))
+    chunks = hl.profile_value_chunks(cells, size=1000)
+    return chunks.select("attribute", F.explode("values").alias("value", "count"), (F.size("values") <= 1000).alias("bounded"))
+
+
 @register(
     "profile_histogram",
     over_cells(

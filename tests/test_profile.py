@@ -68,6 +68,26 @@ def test_many_values_stay_out_of_the_map(spark, table):
     assert values[("s", "a")] == 2 and values[("b", "null")] == 1
 
 
+@pytest.mark.parametrize("size", [1, 7, 100_000])
+def test_value_chunks_are_bounded_and_whole(spark, size):
+    """A column of all-distinct values beside one with a hot value, a null column and booleans with nulls."""
+    table = spark.range(3000).selectExpr(
+        "concat('v', id) as many", "if(id % 3 = 0, 'hot', concat('w', id % 50)) as few", "cast(null as string) as none", "if(id % 5 = 0, null, id % 2 = 0) as flag"
+    )
+    chunks = hl.profile_value_chunks(table, size).collect()
+    assert all(1 <= len(r["values"]) <= size for r in chunks)
+    listed = [(r["attribute"], v, n) for r in chunks for v, n in r["values"].items()]
+    assert sorted(listed) == sorted(tuple(r) for r in hl.profile_values(table).select("attribute", "value", "count").collect())
+    assert len(listed) == len({(a, v) for a, v, _ in listed}) and ("few", "hot", 1000) in listed and ("flag", "null", 600) in listed
+
+
+def test_value_chunks_of_nothing(spark, table):
+    assert hl.profile_value_chunks(table.where("false"), 5).where("attribute <> 'b'").count() == 0
+    assert hl.profile_value_chunks(spark.range(3).toDF("n"), 5).count() == 0
+    with pytest.raises(ValueError, match="at least 1"):
+        hl.profile_value_chunks(table, 0)
+
+
 @pytest.mark.parametrize("values", [[], [0]])
 def test_no_version(spark, table, values):
     with pytest.raises(ValueError):
