@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,9 +29,12 @@ BLOCK = frozenset(
     "th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style template noscript head title textarea svg iframe object canvas math".split())
+UNSEEN = frozenset("script style template head title textarea svg iframe annotation annotation-xml".split())
+#: Elements whose end tags close the blocks that are open in them.
+_WHOLE = UNSEEN | frozenset("noscript object canvas math".split())
 #: Elements that may stand in a head; any other start tag ends it.
 _IN_HEAD = frozenset("html head title base link meta script style noscript template basefont bgsound noframes".split())
+_P_SCOPE = frozenset("button td th table".split())
 _P_CLOSERS = BLOCK - frozenset("button label option body html".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = {"li": frozenset(("ul", "ol", "menu", "dir")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("tr",)), "th": frozenset(("tr",)), "option": frozenset(("select",))}
@@ -50,36 +55,80 @@ WORDS = {
     "meta": "meta byline author date time tags category",
 }
 _KINDS = [(start, kind) for kind, starts in WORDS.items() for start in starts.split()]
-_NOTICE = re.compile(r"\b(cookies?|consent|subscribe|newsletter|sign (in|up)|log ?in|advertisement|sponsored|all rights reserved|privacy|terms)\b", re.I)
+_NOTICE = re.compile(r"\b(cookies?|consent|subscribe|newsletter|sign (in|up)|log ?in|advertisement|sponsored|all rights reserved|privacy|terms|enable javascript)\b", re.I)
+_COMMENT = re.compile(r"<!--(?:-?>|.*?--!?>)", re.S)
 MAIN, OTHER = 1, 0
 #: Marks of main text in labelled pages.
 OPEN, CLOSE = "\ue000", "\ue001"
 
 
+class Element(NamedTuple):
+    """An open element: its tag, the block element it is or stands in, and the features of it and its ancestors."""
+
+    tag: str
+    leaf: str
+    features: frozenset[str]
+
+
+_ROOT = Element("", "none", frozenset(["bias"]))
+
+
 class Blocks(HTMLParser):
-    """blocks: (features, text) of each leaf block in page order."""
+    """blocks: (innermost open element, text, share of linked characters) of each leaf block in page order.
+
+    The work grows with the page, whatever stays open: an element shares the features of its parent where it adds none,
+    and places of open elements are known by tag, so that no tag walks the open elements.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, frozenset[str]]] = []
+        self.stack: list[Element] = []
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.open_blocks: list[int] = []
         self.hidden = 0
         self.parts: list[str] = []
         self.linked = 0
         self.links = 0
-        self.blocks: list[tuple[list[tuple[str, frozenset[str]]], str, float]] = []
+        self.blocks: list[tuple[Element, str, float]] = []
 
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append((self.stack.copy(), text, min(1.0, self.linked / len(text))))
+            self.blocks.append((self.stack[-1] if self.stack else _ROOT, text, min(1.0, self.linked / len(text))))
         self.parts, self.linked = [], 0
 
+    def push(self, tag: str, names: str) -> None:
+        above = self.stack[-1] if self.stack else _ROOT
+        own = {"class:" + kind for kind in kinds(names)} if names else set()
+        if tag in _SEEN_TAGS:
+            own.add("in:" + tag)
+        self.places[tag].append(len(self.stack))
+        if tag in BLOCK:
+            self.open_blocks.append(len(self.stack))
+        self.hidden += tag in UNSEEN
+        self.links += tag == "a"
+        self.stack.append(Element(tag, tag if tag in BLOCK else above.leaf, above.features if own <= above.features else above.features | own))
+
     def pop_to(self, i: int) -> None:
-        for tag, _ in self.stack[i:]:
+        for tag, _, _ in self.stack[i:]:
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.open_blocks.pop()
             self.hidden -= tag in UNSEEN
             self.links -= tag == "a"
         del self.stack[i:]
 
+    def last(self, tag: str) -> int:
+        """Place of the innermost open element of a tag, -1 if there is none."""
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def close_open(self, tag: str, barrier: frozenset[str]) -> None:
+        """Close the innermost open element of a tag, unless one of the barrier is open in it."""
+        i = self.last(tag)
+        if i >= 0 and all(self.last(other) < i for other in barrier):
+            self.pop_to(i)
+
     def parse_html_declaration(self, i: int) -> int:
         """Where a declaration at i ends. Marked sections that the parser gives up on are bogus comments."""
         try:
@@ -87,9 +136,14 @@ class Blocks(HTMLParser):
         except AssertionError:
             return self.parse_bogus_comment(i)
 
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """Where a comment at i ends: at --> or --!>, or at once in <!--> and <!--->."""
+        found = _COMMENT.match(self.rawdata, i)
+        return found.end() if found else -1
+
     def end_head(self) -> None:
         """Close a head that is open itself: a noscript, template or svg in it holds what it holds."""
-        if self.stack and self.stack[-1][0] == "head":
+        if self.stack and self.stack[-1].tag == "head":
             self.pop_to(len(self.stack) - 1)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -98,48 +152,31 @@ class Blocks(HTMLParser):
         if tag in BLOCK:
             self.end_block()
             if tag in _P_CLOSERS:
-                i = self.last("p", frozenset(("button", "td", "th", "table")))
-                if i >= 0:
-                    self.pop_to(i)
+                self.close_open("p", _P_SCOPE)
             for other in _CLOSES.get(tag, ()):
-                i = self.last(other, _SCOPE[tag])
-                if i >= 0:
-                    self.pop_to(i)
-            if tag == "body":
-                self.pop_to(next((i for i, (t, _) in enumerate(self.stack) if t == "head"), len(self.stack)))
+                self.close_open(other, _SCOPE[tag])
+            if tag == "body" and self.places.get("head"):
+                self.pop_to(self.places["head"][0])
         elif tag == "br":
             self.parts.append("\n")
-        if tag in VOID:
-            return
-        names = " ".join(v for k, v in attrs if k in ("class", "id", "role", "itemprop") and v)
-        self.stack.append((tag, kinds(names) if names else frozenset()))
-        self.hidden += tag in UNSEEN
-        self.links += tag == "a"
+        if tag not in VOID:
+            self.push(tag, " ".join(v for k, v in attrs if k in ("class", "id", "role", "itemprop") and v))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
             self.handle_endtag(tag)
 
-    def last(self, tag: str, barrier: frozenset[str]) -> int:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                return i
-            if self.stack[i][0] in barrier:
-                return -1
-        return -1
-
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.end_block()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.pop_to(i)
-                break
-            if tag not in BLOCK and tag not in UNSEEN and self.stack[i][0] in BLOCK:
-                break  # an inline end tag doesn't close a block, but that of an unseen element closes what is in it
+        i = self.last(tag)
+        # an inline end tag doesn't close a block, but that of an element that is seen or unseen as a whole closes what is in it
+        inner = self.open_blocks[-1] if self.open_blocks else -1
+        if i >= 0 and (tag in BLOCK or tag in _WHOLE or inner < i):
+            if inner > i:
+                self.end_block()
+            self.pop_to(i)
 
     def handle_data(self, data: str) -> None:
         if data.strip():
@@ -160,7 +197,7 @@ def kinds(names: str) -> frozenset[str]:
         words = re.findall(r"[a-z]+(?:-[a-z]+)*", re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower())
         parts = {p for w in words for p in (w, *w.split("-"))}
         found = frozenset(kind for start, kind in _KINDS if any(p == start or (len(start) > 3 and p.startswith(start)) for p in parts))
-        if len(_kinds) < 50_000:
+        if len(_kinds) < 50_000 and len(names) < 200:
             _kinds[names] = found
     return found
 
@@ -173,13 +210,8 @@ def leaf_blocks(page: str) -> list[tuple[list[str], str]]:
     parser.end_block()
     out = []
     total = len(parser.blocks)
-    for i, (stack, text, linked) in enumerate(parser.blocks):
-        names = ["bias"]
-        tags = {t for t, _ in stack if t in _SEEN_TAGS}
-        names += ["in:" + t for t in tags]
-        names += ["class:" + k for _, ks in stack for k in ks]
-        leaf = next((t for t, _ in reversed(stack) if t in BLOCK), "none")
-        names.append("leaf:" + leaf)
+    for i, (element, text, linked) in enumerate(parser.blocks):
+        names = [*element.features, "leaf:" + element.leaf]
         size = len(text)
         names.append("size:" + str(min(6, size.bit_length() - 2 if size > 3 else 0)))
         names.append("linked:" + ("none" if linked == 0 else "some" if linked < 0.5 else "most"))
@@ -195,7 +227,7 @@ def leaf_blocks(page: str) -> list[tuple[list[str], str]]:
             names.append("first")
         if i == total - 1:
             names.append("last")
-        out.append((sorted(set(names)), text))
+        out.append((sorted(names), text))
     return out
 
 
@@ -323,7 +355,7 @@ def labelled_page(texts: list[str], pick: random.Random) -> str:
         return pick.choice([named("div", "ad", "ads", "advert", "sponsored", "promo-box", "ad-slot"), named("aside", "ad", "promo")]) + sentence(3, 25) + "</div>"
 
     def notice() -> str:
-        text = pick.choice(["We use cookies. ", "Subscribe to our newsletter. ", "", "Please accept our terms. "]) + sentence(3, 15)
+        text = pick.choice(["We use cookies. ", "Subscribe to our newsletter. ", "", "Please accept our terms. ", "Please enable JavaScript. "]) + sentence(3, 15)
         return named("div", "cookie-notice", "consent", "gdpr", "notice", "newsletter", "alert", "popup") + f"<p>{text}</p><button>{words(1, 2)}</button></div>"
 
     def form() -> str:
@@ -373,9 +405,15 @@ def labelled_chains(texts: list[str], number: int = LABELLED, seed: int = 11) ->
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model fitted on labelled layouts with the texts of at most sample pages, those of the least hash of page_id."""
-    short = pages.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS)).select("page_id", "html")
-    rows = short.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(sample).collect()
+    """A model fitted on labelled layouts with the texts of at most sample pages, those of the least hash of page_id.
+
+    Ids and hashes of pages are ranked first; only the chosen pages come to the driver, copies under one id once.
+    """
+    short = pages.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS)).select("page_id", "html", F.xxhash64("html").alias("sig"))
+    chosen = short.select("page_id", "sig").distinct().orderBy(F.xxhash64("page_id"), "page_id", "sig").limit(sample)
+    same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sig") == F.col("_sig"))
+    found = short.join(F.broadcast(chosen.toDF("_id", "_sig")), same, "left_semi")  # at most sample narrow rows
+    rows = found.groupBy("page_id", "sig").agg(F.first("html").alias("html")).collect()
     texts = sorted({text.replace("<", " ").replace("&", " ").replace(OPEN, " ").replace(CLOSE, " ") for row in rows for _, text in leaf_blocks(row["html"]) if len(text) > 20})
     return fit(labelled_chains(texts or ["Some plain words stand here, and others follow them in a row."]))
 
@@ -384,7 +422,8 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text for every row of pages (page_id, url, html).
 
     text: the blocks of main text in page order, joined by line feeds, with character references decoded and white
-    space inside a block made one space. Null and empty pages have an empty text. Null ids and urls and repeated rows
+    space inside a block made one space. What a browser without scripts shows counts as text: noscript, object, canvas
+    and math too. Time and memory grow with the length of a page, however many elements stay open. Null and empty pages have an empty text. Null ids and urls and repeated rows
     come out as they are; an empty table gives an empty result; other columns are not read.
     """
     model = model or train(pages)

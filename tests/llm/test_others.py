@@ -1,4 +1,5 @@
 import hashlib
+import re
 import time
 from collections import defaultdict
 
@@ -75,8 +76,8 @@ def test_html(spark, sf_dir):
     "page",
     [
         "<p>one</p><![foo[ x ]]><p>two</p>", "<p>one</p><![ x><p>two</p>", "<p>one</p><!foo [x]><p>two</p><![if !IE]><![endif]>", "<p>one<![foo",
-        *[f"<div><p>one</p><{t}><p>x</{t}><p>two</p></div>" for t in ("noscript", "object", "template")],
-        "<div><p>one</p><noscript><div>x<p>y</noscript>two</div>", "<head><title>x</title><meta charset=a><p>one</p><p>two</p>", "<head><title>x</title>one<p>two",
+        *[f"<div><p>one</p><{t}><p>x</{t}><p>two</p></div>" for t in ("style", "svg", "template")],
+        "<div><p>one</p><template><div>x<p>y</template>two</div>", "<p>one<!-- x --!><p>two", "<p>one<!--><p>two", "<p>one<!---><p>two<!-- x <p> -->", "<head><title>x</title><meta charset=a><p>one</p><p>two</p>", "<head><title>x</title>one<p>two",
         "<head><noscript><img src=x></noscript><style>x</style></head><p>one<p>two",
     ],
 )
@@ -85,6 +86,33 @@ def test_html_goes_on(page):
     assert found[0].startswith("one") and (found[1:] == ["two"] or "two" not in page)
 
 
+def test_html_keeps_what_shows_without_scripts():
+    def texts(page):
+        return [text for _, text in html.leaf_blocks(page)]
+
+    assert texts("<p>as <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> says</p>") == ["as x=2 says"]
+    for tag in ("noscript", "object", "canvas"):
+        assert texts(f"<article><p>one <{tag}>two</{tag}> three</p><{tag}><p>four</{tag}>five</article>") == ["one two three", "four", "five"]
+    assert texts("<head><noscript><style>x</style>y</noscript></head><body>one") == ["one"]
+
+
+@pytest.mark.parametrize("piece", ["<div>one ", "<font>one ", "<a href=x>one ", "<p><b>one ", "<i>one<p>two ", "<li><span>one ", "<table><tr><td>one "])
+def test_html_with_very_many_open_elements(piece):
+    started = time.process_time()
+    blocks = html.leaf_blocks("<article>" + piece * 40_000 + "</article><footer>end</footer>")
+    assert time.process_time() - started < 30
+    assert " ".join(text for _, text in blocks).split() == re.sub("<[^>]*>", " ", piece * 40_000).split() + ["end"]
+    assert all("in:article" in names for names, _ in blocks[:-1]) and "in:article" not in blocks[-1][0] and "in:footer" in blocks[-1][0]
+
+
+def test_html_trains_on_few_rows(spark):
+    """Copies of a page fill no sample, null ids and hosts of copies included."""
+    page = "<article><p>" + "some words of a page " * 5 + "</p></article>"
+    rows = [(None, page)] * 50 + [(7, page)] * 500 + [(i, page.replace("page", f"page{i}")) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    assert html.train(pages, sample=4).weights == html.train(pages.dropDuplicates(), sample=4).weights
+
+
 def test_html_on_held_out_layouts(spark, sf_dir):
     rows = read(spark, sf_dir, "pages").select("html").collect()
     texts = sorted({t for r in rows for _, t in html.leaf_blocks(r.html) if len(t) > 20})
