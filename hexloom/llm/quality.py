@@ -10,7 +10,8 @@ from hexloom.llm.common import checkpointed, small_side
 MIN_WORDS = 50
 #: A host whose shrunk rate of failing documents is over this is rejected.
 MAX_RATE = 0.6
-_SPACE = r"[\\x20\\x09-\\x0D]"
+#: The hash of the window that begins at word i, which is w.
+WINDOW_HASH = "xxhash64(w, words[i + 1], words[i + 2])"
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -18,22 +19,25 @@ def measures(docs: DataFrame) -> DataFrame:
 
     Repeated three-word windows are found without expanding the text into rows: the hash of each window, its low bits
     replaced by its place, makes one long, and in the sorted array of them repeats are neighbours. A text of n words
-    leaves 64 - log2(n) bits to the hash.
+    leaves 64 - log2(n) bits to the hash, so neighbours may differ; the words of all that have an equal neighbour are
+    then sorted and compared themselves, which makes the count exact for texts of any length.
     """
     words = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
     words = words.withColumn("words", F.expr(rf"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"))
     words = words.withColumn("n_words", F.size("words").cast("long"))
     words = words.withColumn("bits", F.expr("cast(ceil(log2(n_words + 1)) as int)"))
     lines = words.withColumn("lines", F.expr(rf"filter(split(text, '\n', -1), l -> l rlike '[^\\x20\\x09-\\x0D]')"))
-    hashed = lines.withColumn("windows", F.expr("CASE WHEN n_words < 3 THEN array() ELSE array_sort(transform(slice(words, 1, size(words) - 2), (w, i) -> shiftleft(xxhash64(w, words[i + 1], words[i + 2]), bits) + i)) END".replace("array_sort(", "sort_array(")).cast("array<long>"))
+    hashed = lines.withColumn("windows", F.expr("CASE WHEN n_words < 3 THEN array() ELSE array_sort(transform(slice(words, 1, size(words) - 2), (w, i) -> shiftleft({WINDOW_HASH}, bits) + i)) END".replace("array_sort(", "sort_array(").replace("{WINDOW_HASH}", WINDOW_HASH)).cast("array<long>"))
     return _counted(hashed)
 
 
 def _counted(hashed: DataFrame) -> DataFrame:
     place = "(x - shiftleft(shiftright(x, bits), bits))"
     places = f"filter(windows, (x, j) -> (j > 0 AND shiftright(x, bits) = shiftright(windows[j - 1], bits)) OR (j < size(windows) - 1 AND shiftright(x, bits) = shiftright(windows[j + 1], bits)))"
-    found = hashed.withColumn("repeats", F.expr(places))
-    found = found.withColumn("at", F.expr(f"sort_array(transform(repeats, x -> {place}))"))
+    found = hashed.withColumn("likely", F.expr(f"transform({places}, x -> cast({place} as int))"))
+    found = found.withColumn("same", F.expr("sort_array(transform(likely, x -> struct(concat_ws(' ', words[x], words[x + 1], words[x + 2]) AS window, x AS at)))"))
+    equal = "(j > 0 AND x.window = same[j - 1].window) OR (j < size(same) - 1 AND x.window = same[j + 1].window)"
+    found = found.withColumn("at", F.expr(f"sort_array(transform(filter(same, (x, j) -> {equal}), x -> x.at))"))
     covered = "CASE WHEN size(at) = 0 THEN 0L ELSE 3L + aggregate(sequence(1, size(at)), 0L, (sum, j) -> sum + CASE WHEN j < size(at) THEN least(3L, at[j] - at[j - 1]) ELSE 0L END) END"
     out = found.select(
         "doc_id",
@@ -56,8 +60,8 @@ def host_verdicts(measured: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     hosts = measured.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("total"), F.expr("count_if(base_failed)").alias("failed"))
     prior = hosts.agg(F.expr("avg(failed / total)").alias("mean"), F.expr("var_pop(failed / total)").alias("spread"), F.avg("total").alias("size"))
     weight = "CASE WHEN spread > 0 AND mean * (1 - mean) > spread THEN mean * (1 - mean) / spread - 1 ELSE size END"
-    prior = prior.select("mean", F.expr(weight).alias("weight"))
-    shrunk = hosts.withColumn("all", F.lit(1)).join(F.broadcast(prior.withColumn("all", F.lit(1))), "all")  # one row
+    prior = prior.select(F.struct("mean", F.expr(weight).alias("weight")))
+    shrunk = hosts.withColumn("prior", prior.scalar()).select("*", "prior.*")
     return shrunk.select("host", F.expr(f"(failed + mean * weight) / (total + weight) > {max_rate}").alias("rejected"))
 
 

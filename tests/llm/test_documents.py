@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -257,6 +258,20 @@ def test_lines_of_small_hosts_and_of_copies(spark):
     assert got[0] == "host 0 text 0" and got[90] == "Article\nof many copies" and got[150] == "Article\nedited 0"
 
 
+@pytest.mark.parametrize("window_hash", [quality.WINDOW_HASH, "0L", "length(w) % 2"])
+def test_repeated_windows_are_exact(spark, monkeypatch, window_hash):
+    """Equal hashes of different windows count for nothing, as they must in very long texts."""
+    monkeypatch.setattr(quality, "WINDOW_HASH", window_hash)
+    pick = random.Random(4)
+    texts = [" ".join(pick.choice("a bb ccc d ee".split()) for _ in range(n)) for n in (0, 1, 2, 3, 4, 7, 30, 300) for _ in range(3)] + ["a b c " * 400, None]
+    rows = quality.measures(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")).collect()
+    for row in rows:
+        words = (texts[row.doc_id] or "").split()
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        times = Counter(windows)
+        assert row.n_repeat_words == len({i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(3)})
+
+
 def test_quality(spark, odd_docs):
     rows = quality.judge(odd_docs).collect()
     assert len(rows) == odd_docs.count()
