@@ -72,6 +72,12 @@ def max_version(versions: DataFrame) -> int:
 # --- binning -----------------------------------------------------------------------------------
 
 
+def finite(value: Column) -> Column:
+    """The value, NULL if it is NaN or infinite."""
+    size = F.abs(value.cast("double"))
+    return F.when(~F.isnan(size) & (size < float("inf")), value)
+
+
 def bin_number(value: Column, low: Column, high: Column, bins: int) -> Column:
     """1-based equal-width bin; the maximum and constant columns go to the last bin."""
     width = (high - low) / F.lit(float(bins))
@@ -116,21 +122,25 @@ def _as_double(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _bounds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Smallest and largest value per column: one row per column."""
+    """Smallest and largest finite value per column: one row per column."""
     values = _as_double(df, columns)
     rows = [
-        F.struct(F.lit(c).alias("attribute"), F.min(f"`{c}`").alias("low"), F.max(f"`{c}`").alias("high"))
+        F.struct(F.lit(c).alias("attribute"), F.min(finite(F.col(f"`{c}`"))).alias("low"), F.max(finite(F.col(f"`{c}`"))).alias("high"))
         for c in columns
     ]
     return values.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def _fill_bins(bounds: DataFrame, counts: DataFrame, bins: int) -> DataFrame:
-    """All bins of every column, empty ones with 0.  Both sides have at most columns x bins rows."""
+    """All bins of every column, empty ones with 0, and the bin NULL where values are in none.
+
+    Both sides have at most columns x bins rows.
+    """
     every = bounds.select("*", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     filled = every.join(F.broadcast(counts), ["attribute", "bin"], "left")
+    unbinned = bounds.join(F.broadcast(counts.where("bin IS NULL")), "attribute").select(*filled.columns)
     start, end = bin_edges(F.col("low"), F.col("high"), F.col("bin"), bins)
-    return filled.select(
+    return filled.unionByName(unbinned).select(
         "attribute",
         "bin",
         start.alias("bin_start"),
@@ -140,10 +150,13 @@ def _fill_bins(bounds: DataFrame, counts: DataFrame, bins: int) -> DataFrame:
 
 
 def histograms(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> DataFrame:
-    """Equal-width histograms of several columns in long form, every bin present."""
+    """Equal-width histograms of several columns in long form, every bin present.
+
+    NaN and infinite values are in no bin: they are counted in a row of the bin NULL, there if a column has any.
+    """
     bounds = _bounds(df, columns)
     values = unpivot(_as_double(df, columns), columns)
-    number = bin_number(F.col("value"), F.col("low"), F.col("high"), bins)
+    number = bin_number(finite(F.col("value")), F.col("low"), F.col("high"), bins)
     counts = (
         values.join(F.broadcast(bounds), "attribute")  # one row per column of the schema
         .groupBy("attribute", number.alias("bin"))
@@ -160,11 +173,12 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
 def equal_interval_buckets(df: DataFrame, columns: Sequence[str], bins: int = BINS, fraction: bool = False) -> DataFrame:
     """Lower-closed buckets ``(attribute, break, count)`` and a closing ``(max, NULL)`` row.
 
-    ``fraction=True`` gives shares of the non-null rows.
+    ``fraction=True`` gives shares of the non-null rows.  NaN and infinite values are counted in a row whose bin and
+    break are NULL.
     """
     bounds = _bounds(df, columns)
     values = unpivot(_as_double(df, columns), columns)
-    number = bucket_number(F.col("value"), F.col("low"), F.col("high"), bins)
+    number = bucket_number(finite(F.col("value")), F.col("low"), F.col("high"), bins)
     counts = (
         values.join(F.broadcast(bounds), "attribute")
         .groupBy("attribute", number.alias("bin"))
@@ -191,14 +205,19 @@ MOMENTS = (
 
 
 def numeric_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, min, max, avg and both standard deviations: one row per column, no data shuffle."""
+    """count, min, max, avg and both standard deviations: one row per column, no data shuffle.
+
+    NaN and infinite values count, but have no part in the other figures.
+    """
+    floating = {f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
     rows = []
     for name in columns:
-        column = resolve_column(df, name)
+        every = resolve_column(df, name)
+        column = finite(every) if name in floating else every
         rows.append(
             F.struct(
                 F.lit(name).alias("attribute"),
-                F.count(column).alias("count"),
+                F.count(every).alias("count"),
                 F.min(column).cast("double").alias("min"),
                 F.max(column).cast("double").alias("max"),
                 F.avg(column).alias("avg"),
@@ -230,7 +249,7 @@ def _value_groups(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
 def _binned_groups(groups: list[DataFrame], moments: DataFrame, bins: int) -> DataFrame:
     """Rows and distinct values per bin, from the value groups: ``columns x bins`` rows."""
     bounds = F.broadcast(moments.select("attribute", F.col("min").alias("low"), F.col("max").alias("high")))
-    number = bin_number(F.col("value").cast("double"), F.col("low"), F.col("high"), bins)
+    number = bin_number(finite(F.col("value").cast("double")), F.col("low"), F.col("high"), bins)
     parts = [
         group.join(bounds, "attribute")
         .groupBy("attribute", number.alias("bin"))
@@ -306,9 +325,16 @@ def value_summary(frequencies: DataFrame) -> DataFrame:
 
 
 def number_text(value: Column) -> Column:
-    """Number as a map key: whole numbers without a fraction part."""
-    whole = (value == F.floor(value)) & (F.abs(value) < F.lit(1e15))
-    return F.when(whole, value.cast("double").try_cast("long").cast("string")).otherwise(value.cast("string"))
+    """Number as a map key: whole numbers without a fraction part, others from 1e-6 up to 1e15 as plain decimals."""
+    text, size = value.cast("string"), F.abs(value.cast("double"))
+    whole = (value == F.floor(value)) & (size < F.lit(1e15))
+    # the shortest digits of the number have at most 17 places, the first of them the sixth after the point
+    plain = F.rtrim(text.try_cast("decimal(38, 23)").cast("string"), F.lit("0"))
+    return (
+        F.when(whole, value.cast("double").try_cast("long").cast("string"))
+        .when(text.contains("E") & (size >= 1e-6) & (size < 1e15), plain)
+        .otherwise(text)
+    )
 
 
 def _text_groups(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:

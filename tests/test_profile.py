@@ -168,7 +168,11 @@ def test_buckets_of_two_values(spark):
     assert [row["count"] for row in rows] == [1, 0, 0, 1, None]
 
 
-@pytest.mark.parametrize("value, text", [(5.0, "5"), (0.25, "0.25"), (-3.0, "-3"), (1e15, "1.0E15")])
+NUMBER_TEXTS = [(5.0, "5"), (0.25, "0.25"), (-3.0, "-3"), (1e15, "1.0E15"), (0.0001, "0.0001"), (-1.2345e-6, "-0.0000012345"), (1e-6, "0.000001")]
+NUMBER_TEXTS += [(12345678.5, "12345678.5"), (-123456789012345.12, "-123456789012345.12"), (0.00012345678901234567, "0.00012345678901234567"), (1e-7, "1.0E-7"), (float("nan"), "NaN"), (float("-inf"), "-Infinity"), (None, None)]
+
+
+@pytest.mark.parametrize("value, text", NUMBER_TEXTS)
 def test_number_text(spark, value, text):
     assert spark.createDataFrame([(value,)], "v double").select(prof.number_text(F.col("v"))).first()[0] == text
 
@@ -182,3 +186,34 @@ def test_odd_names_and_narrow_numbers(spark):
     summary = {r["attribute"]: r for r in prof.numeric_summary(df, ["a.b c", "n o", "f"]).collect()}
     assert [summary[c]["countDistinct"] for c in ("a.b c", "n o", "f")] == [2, 2, 1]
     assert hl.histogram(df, "n o", 2).count() == 2
+
+
+def test_number_text_of_the_least_long(spark):
+    values = spark.createDataFrame([(-(2**63),), (2**63 - 1,), (2**53 + 1,), (None,)], "v long")
+    assert [r[0] for r in values.select(prof.number_text(F.col("v"))).collect()] == [str(-(2**63)), str(2**63 - 1), str(2**53 + 1), None]
+
+
+def test_not_finite_values_spoil_no_bins(spark):
+    """NaN and infinities are in no bin, have no part in the moments and are counted."""
+    nan, inf = float("nan"), float("inf")
+    values = [1.0, 2.0, 2.5, 4.0, None]
+    plain = spark.createDataFrame([(v, 1.0, i) for i, v in enumerate(values)], "v double, w double, n long")
+    odd = plain.unionByName(spark.createDataFrame([(nan, nan, 9), (nan, inf, 9), (-inf, -inf, 9)], plain.schema))
+    for bins in (1, 3, 10):
+        want, got = (sorted(map(tuple, hl.histogram(d, "v", bins).where("bin IS NOT NULL").collect())) for d in (plain, odd))
+        assert got == want and sum(r[-1] for r in got) == 4
+        assert [tuple(r) for r in hl.histogram(odd, "v", bins).where("bin IS NULL").collect()] == [(None, None, None, 3)]
+        assert hl.histogram(plain, "v", bins).where("bin IS NULL").isEmpty()
+        want, got = (sorted(map(tuple, hl.equal_interval_buckets(d, ["v", "w"], bins).where("bin IS NOT NULL").collect()), key=str) for d in (plain, odd))
+        assert got == want
+        assert sorted(r["count"] for r in hl.equal_interval_buckets(odd, ["v", "w"], bins).where("bin IS NULL").collect()) == [3, 3]
+    shares = hl.equal_interval_buckets(odd, ["v"], 3, fraction=True).where("count IS NOT NULL").collect()
+    assert sum(r["count"] for r in shares) == pytest.approx(1) and {r["bin"]: r["count"] for r in shares}[None] == pytest.approx(3 / 7)
+    want, got = ({r["attribute"]: r for r in prof.numeric_summary(d, ["v", "w"]).collect()} for d in (plain, odd))
+    for name in "vw":
+        assert got[name]["histogram"] == want[name]["histogram"] and got[name]["count"] == want[name]["count"] + 3
+        assert [got[name][c] for c in ("min", "max", "avg", "stddev_samp")] == [want[name][c] for c in ("min", "max", "avg", "stddev_samp")]
+    assert [got[c]["countDistinct"] - want[c]["countDistinct"] for c in "vw"] == [2, 3]
+    only = spark.createDataFrame([(nan,), (inf,)], "v double")
+    assert [tuple(r) for r in hl.histogram(only, "v", 2).where("count > 0").collect()] == [(None, None, None, 2)]
+    assert prof.numeric_summary(only, ["v"]).first()["min"] is None
