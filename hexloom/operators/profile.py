@@ -136,11 +136,13 @@ def _fill_bins(bounds: DataFrame, counts: DataFrame, bins: int) -> DataFrame:
 
     Both sides have at most columns x bins rows.
     """
-    every = bounds.select("*", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
-    filled = every.join(F.broadcast(counts), ["attribute", "bin"], "left")
-    unbinned = bounds.join(F.broadcast(counts.where("bin IS NULL")), "attribute").select(*filled.columns)
+    numbers = F.array_append(F.sequence(F.lit(1), F.lit(bins)), F.lit(None).cast("int"))
+    every = bounds.select("*", F.explode(numbers).alias("bin"))
+    found = counts.select(F.col("attribute").alias("of"), F.col("bin").alias("number"), "count")
+    same = (F.col("attribute") == F.col("of")) & F.col("bin").eqNullSafe(F.col("number"))
+    filled = every.join(F.broadcast(found), same, "left").where("bin IS NOT NULL OR count IS NOT NULL")
     start, end = bin_edges(F.col("low"), F.col("high"), F.col("bin"), bins)
-    return filled.unionByName(unbinned).select(
+    return filled.select(
         "attribute",
         "bin",
         start.alias("bin_start"),
