@@ -59,6 +59,15 @@ def lookup_side(df: DataFrame, size: Size | None = None) -> DataFrame:
     return F.broadcast(df) if size.fits() else df
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by the hash of ``keys`` in ``spark.sql.shuffle.partitions`` parts, which AQE doesn't merge.
+
+    For steps whose rows shrink much in a shuffle, as ids do, or grow after it: AQE sizes tasks by their compressed bytes,
+    and some megabytes of ids would become a task that spills many times as much.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 #: Gaps are searched within ancestors of this resolution (288,122 in all) and between them.
 FAMILY_RESOLUTION = 4
 MOST_RANGES = 16

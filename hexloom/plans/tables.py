@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,29 +117,29 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/hexloom-{uuid.uuid4().hex}"
 
 
-_stored: dict[tuple[str, str], str] = {}
+_stored: dict[tuple[str, str, str], str] = {}
 
 
-def _store(spark: SparkSession, sf_dir: str) -> str:
-    """Cells, geometry and tile index written once per session and data folder, as a deployment has them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _store(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> DataFrame:
+    """A table that ``write`` puts into a folder once per session and data folder, when it is first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
-        folder = shared_folder(spark)
-        write_cells(cells(spark, sf_dir), f"{folder}/cells")
-        rows = spark.read.parquet(f"{folder}/cells")
-        cell_geometry(hexagons(rows)).write.parquet(f"{folder}/geometry")
-        write_tile_index(build_tile_index(rows, spark.read.parquet(f"{folder}/geometry")), f"{folder}/tiles")
+        folder = f"{shared_folder(spark)}/{name}"
+        write(folder)
         _stored[key] = folder
-    return _stored[key]
+    return spark.read.parquet(_stored[key])
 
 
 def stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{_store(spark, sf_dir)}/cells")
+    return _store(spark, sf_dir, "cells", lambda folder: write_cells(cells(spark, sf_dir), folder))
 
 
 def stored_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{_store(spark, sf_dir)}/geometry")
+    return _store(spark, sf_dir, "geometry", lambda folder: cell_geometry(hexagons(cells(spark, sf_dir))).write.parquet(folder))
 
 
 def stored_tile_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{_store(spark, sf_dir)}/tiles")
+    def write(folder: str) -> None:
+        write_tile_index(build_tile_index(stored_cells(spark, sf_dir), stored_geometry(spark, sf_dir)), folder)
+
+    return _store(spark, sf_dir, "tiles", write)

@@ -9,9 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexloom.operators.joins import key_bytes, lookup_side
-from hexloom.operators.layers import hexagons, tile_cover
-from hexloom.functions import geometry, tiles
+from hexloom.operators.joins import dealt, key_bytes, lookup_side
+from hexloom.operators.layers import cover_hexagons, hexagons
 from hexloom.sources.writers import ordered_index
 
 INDEX_SCHEMA = "geohash string, id long, zoom int, resolution int, batch string"
@@ -40,10 +39,9 @@ def append_tile_index(cells: DataFrame, cell_geometry: DataFrame, path: str, bat
     spark = cells.sparkSession
     known = read_tile_index(spark, path).where(F.col("batch") != batch).select("id").distinct()
     known = lookup_side(known, key_bytes(known.count()))
-    fresh = hexagons(cells).join(known, "id", "left_anti").join(cell_geometry.select("id", "ring"), "id", "left")
-    located = fresh.withColumn("ring", geometry.required_ring("id")).withColumn("zoom", tiles.resolution_to_zoom(F.col("resolution")))
+    fresh = dealt(hexagons(cells), "id").join(known, "id", "left_anti")
     staged = f"{path.rstrip('/')}-staged-{batch}-{uuid.uuid4().hex}"
-    ordered_index(tile_cover(located)).write.parquet(staged)
+    ordered_index(cover_hexagons(fresh, cell_geometry)).write.parquet(staged)
     rows = spark.read.parquet(staged).withColumn("batch", F.lit(batch))
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("resolution", "batch")
     writer.parquet(path)
