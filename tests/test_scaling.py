@@ -70,3 +70,31 @@ def test_empty_rings_have_no_tiles_and_missing_ones_fail(spark, lines, ring, row
     else:
         assert index.where("resolution = 6").count() == rows
         assert index.where("resolution = 7").count() > 0
+
+
+def test_a_csv_line_is_parsed_once(spark, lines):
+    from hexloom import sources
+
+    sources.export_csv(tables.cells(spark, lines), f"{lines}/csv")
+    rows = sources.read_cells_csv(spark, f"{lines}/csv", id_column="id")
+    assert plan(rows).count("from_csv") == 1
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, tables.cells(spark, lines).drop(*sources.STORED_LEVELS).collect()))
+
+
+def test_lines_with_and_without_quotes_are_read_alike(spark, tmp_path):
+    from hexloom import sources
+
+    fields = ["", " ", "x", " y ", "1", "a b", "\\", "'"]
+    rows = [f"{a},{b},{c}" for a in fields for b in fields for c in fields] + ["k", "k,", "k,m", "k,m,n,", "k,m,n,,", "k,m,n,,p", "k,m,n,o", ",,,"]
+    whole = "GRID_ID string, a string, b string"
+    for name, lines_ in (("plain", rows), ("quoted", ['"q",' + row for row in rows])):
+        header = "GRID_ID,a,b" if name == "plain" else "first,GRID_ID,a,b"
+        (tmp_path / f"{name}.csv").write_text("\n".join([header, *lines_]) + "\n")
+
+    def read(name: str) -> list:
+        schema = sources.narrow_schema(spark.createDataFrame([], whole).schema, "GRID_ID")
+        judged = sources.csv_with_verdicts(spark, str(tmp_path / f"{name}.csv"), schema)
+        return sorted((str(r.id), str(r.a), str(r.b), str(r._problem), r._row.removeprefix('"q",')) for r in judged.collect())
+
+    assert read("plain") == read("quoted")
+    assert len(read("plain")) == len([row for row in rows if row.strip(" ")])
