@@ -98,3 +98,20 @@ def test_lines_with_and_without_quotes_are_read_alike(spark, tmp_path):
 
     assert read("plain") == read("quoted")
     assert len(read("plain")) == len([row for row in rows if row.strip(" ")])
+
+
+def test_masks_and_rows_count_the_same(spark, lines, monkeypatch):
+    import json
+
+    from hexloom.operators import filter_table
+
+    specs = [None, {}, {"l_quantity": {"min": 3, "max": 6}}, {"discounted": {"bool": False}}, {"flag": {"choices": ["A", "N"]}}]
+    specs += [{"flag": {"min": 1}}, {"l_quantity": {"choices": ["3.0"]}}, {"l_quantity": {"bool": True}}] + [{"l_partkey": {"max": 100 + k}} for k in range(70)]
+    table = spark.createDataFrame([(k, None if s is None else json.dumps(s)) for k, s in enumerate(specs)], "filter_id long, filter string")
+    cells = tables.cells(spark, lines)
+    by_masks = hl.count_filters(cells, table)
+    assert "bit_or" in plan(by_masks)
+    monkeypatch.setattr(filter_table, "MOST_MASKS", 0)
+    by_rows = hl.count_filters(cells, table)
+    assert "bit_or" not in plan(by_rows)
+    assert sorted(map(tuple, by_masks.collect())) == sorted(map(tuple, by_rows.collect()))
