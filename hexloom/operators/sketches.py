@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hexloom.functions import cellid, tiles
 from hexloom.operators.filters import Filters, apply_filters, resolve_column
+from hexloom.operators.joins import dealt
 from hexloom.operators.layers import COARSEST_STOP
 
 #: 2^12 registers: a standard error of 1.04 / sqrt(4096), about 1.6 %, in 4 kB at most.
@@ -33,6 +34,6 @@ def distinct_sketch_pyramid(cells: DataFrame, column: str, registers: int = REGI
     per_cell = located.groupBy("r11_id").agg(F.hll_sketch_agg("value", F.lit(registers)).alias("sketch"))
     cell = F.col("r11_id")
     levels = F.array(*(F.struct(F.lit(res).alias("resolution"), cellid.cell_to_parent(cell, res, checked=False).alias("id")) for res in tiles.STOPS))
-    families = per_cell.withColumn("family", cellid.cell_to_parent(cell, COARSEST_STOP, checked=False)).repartition("family")
-    grouped = families.select("family", "sketch", F.inline(levels)).groupBy("family", "id", "resolution")
+    families = per_cell.withColumn("family", cellid.cell_to_parent(cell, COARSEST_STOP, checked=False))
+    grouped = dealt(families, "family").select("family", "sketch", F.inline(levels)).groupBy("family", "id", "resolution")
     return grouped.agg(F.hll_union_agg("sketch").alias("sketch")).select("id", "resolution", "sketch")

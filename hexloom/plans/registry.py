@@ -16,6 +16,7 @@ from hexloom.functions import cellid, geometry, tiles
 from hexloom.functions.sql import register_sql_functions
 from hexloom.operators import profile as prof
 from hexloom.operators.attributes import join_attributes
+from hexloom.operators.joins import dealt
 from hexloom.operators.stats import stats
 from hexloom.plans import tables
 from hexloom.plans.oracle import CELLS, CENTERS, HEXES, QUADKEY, VERTICES, over_cells, over_tiles, parent, sql
@@ -1113,8 +1114,12 @@ _SKETCHED_SQL = " UNION ALL ".join(
 def _(spark, d):
     """The exact count of each hexagon, and whether the sketch's is within a tenth (six standard errors) of it."""
     cells = tables.cells(spark, d)
-    levels = F.array(*(F.struct(F.col(f"r{r}_id").alias("id"), F.lit(r).alias("resolution")) for r in tiles.STOPS))
-    exact = cells.select(F.inline(levels), "l_partkey").groupBy("id", "resolution").agg(F.count_distinct("l_partkey").alias("parts"))
+    above = {r: cellid.cell_to_parent(F.col("r11_id"), r, checked=False) for r in tiles.STOPS}
+    levels = F.array(*(F.struct(cell.alias("id"), F.lit(r).alias("resolution")) for r, cell in above.items()))
+    # values of a cell move once, by the coarsest hexagon, and are spread to all resolutions there
+    values = dealt(cells.select("r11_id", "l_partkey").distinct().withColumn("family", above[min(tiles.STOPS)]), "family")
+    spread = values.select("family", F.inline(levels), "l_partkey").groupBy("family", "id", "resolution")
+    exact = spread.agg(F.count_distinct("l_partkey").alias("parts")).select("id", "resolution", "parts")
     guess = hl.distinct_sketch_pyramid(cells, "l_partkey").select("id", F.hll_sketch_estimate("sketch").alias("guess"))
     close = F.abs(F.col("guess") - F.col("parts")) <= 0.1 * F.col("parts")
     return exact.join(guess, "id").select("id", "resolution", "parts", close.alias("close"))

@@ -115,3 +115,11 @@ def test_masks_and_rows_count_the_same(spark, lines, monkeypatch):
     by_rows = hl.count_filters(cells, table)
     assert "bit_or" not in plan(by_rows)
     assert sorted(map(tuple, by_masks.collect())) == sorted(map(tuple, by_rows.collect()))
+
+
+def test_values_of_sketches_move_once_per_cell(spark, lines):
+    from hexloom.plans import registry
+
+    text = plan(registry.QUERIES["distinct_sketch_pyramid"](spark, lines))
+    assert text.count("REPARTITION_BY_NUM") >= 2
+    assert hl.distinct_sketch_pyramid(tables.cells(spark, lines), "l_partkey").where("resolution = 11").count() == 160
