@@ -123,3 +123,31 @@ def test_values_of_sketches_move_once_per_cell(spark, lines):
     text = plan(registry.QUERIES["distinct_sketch_pyramid"](spark, lines))
     assert text.count("REPARTITION_BY_NUM") >= 2
     assert hl.distinct_sketch_pyramid(tables.cells(spark, lines), "l_partkey").where("resolution = 11").count() == 160
+
+
+@pytest.fixture
+def stars(spark):
+    ring = [(0.0, 0.0), (3.0, 1.0), (1.0, 4.0)]
+    rows = [(k, [[{"lon": x + k / 10, "lat": y} for x, y in ring]]) for k in range(20)]
+    polygons = spark.createDataFrame(rows, "polygon_id long, rings array<array<struct<lon:double,lat:double>>>")
+    centers = spark.range(400).selectExpr("id", "(id % 20) * 0.3 as lon", "(id div 20) * 0.2D as lat")
+    return centers.withColumn("lon", F.col("lon").cast("double")), polygons
+
+
+def test_a_cover_beyond_the_bound_is_not_broadcast_by_sparks_estimate(spark, stars, monkeypatch):
+    from hexloom.operators import joins
+
+    small = hl.cells_in_polygons(*stars)
+    assert "BroadcastHashJoin" in plan(small)
+    want = sorted(map(tuple, small.collect()))
+    monkeypatch.setattr(joins, "MAX_BROADCAST_BYTES", 0)
+    large = hl.cells_in_polygons(*stars)
+    assert sorted(map(tuple, large.collect())) == want and len(want) > 100
+    assert "SortMergeJoin" in plan(large) and "Broadcast" not in plan(large)
+
+
+def test_centres_have_keys_of_the_zooms_with_tiles_only(stars):
+    centers, polygons = stars
+    text = plan(hl.cells_in_polygons(centers, polygons))
+    assert "substring(finest" in text and ", 1, 14)" in text and ", 1, 2)" not in text
+    assert hl.cells_in_polygons(centers, polygons.limit(0)).count() == 0
