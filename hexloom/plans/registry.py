@@ -960,11 +960,12 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    rings = tables.stored_geometry(spark, d)
+    rings = tables.geometry(spark, d)
     first = F.regexp_replace(_open_wkt(F.col("ring")), "^POLYGON", "")
     second = F.regexp_replace(_open_wkt(F.col("ring"), 1.0), "^POLYGON", "")
     both = F.concat(F.lit("MULTIPOLYGON ("), first, F.lit(", "), second, F.lit(")"))
-    return rings.select("id", F.posexplode(geometry.multipolygon_parts(both)).alias("part", "wkt"))
+    texts = rings.select("id", both.alias("text"))  # a column, so that the function's uses of it don't build the text again
+    return texts.select("id", F.posexplode(geometry.multipolygon_parts(F.col("text"))).alias("part", "wkt"))
 
 
 _COARSE_SQL = """
@@ -1184,5 +1185,5 @@ def _(spark, d):
     """Each hexagon's multipolygon text as one closed polygon, by the SQL function."""
     register_sql_functions(spark)
     several = F.concat(F.lit("MULTIPOLYGON ("), F.regexp_replace(_open_wkt(F.col("ring")), "^POLYGON", ""), F.lit(")"))
-    texts = tables.stored_geometry(spark, d).select(cellid.cell_to_string(F.col("id")).alias("id"), several.alias("multipolygon"))
+    texts = tables.geometry(spark, d).select(cellid.cell_to_string(F.col("id")).alias("id"), several.alias("multipolygon"))
     return texts.select(F.expr("h3_id_to_simple_polygon(id, multipolygon)").alias("polygon")).select("polygon.*")

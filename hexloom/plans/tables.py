@@ -134,8 +134,13 @@ def stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _store(spark, sf_dir, "cells", lambda folder: write_cells(cells(spark, sf_dir), folder))
 
 
+def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of :func:`stored_geometry`, for a query that reads them once: rings are long and compress badly."""
+    return cell_geometry(hexagons(cells(spark, sf_dir)))
+
+
 def stored_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _store(spark, sf_dir, "geometry", lambda folder: cell_geometry(hexagons(cells(spark, sf_dir))).write.parquet(folder))
+    return _store(spark, sf_dir, "geometry", lambda folder: geometry(spark, sf_dir).write.parquet(folder))
 
 
 def stored_tile_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,3 +151,32 @@ def test_centres_have_keys_of_the_zooms_with_tiles_only(stars):
     text = plan(hl.cells_in_polygons(centers, polygons))
     assert "substring(finest" in text and ", 1, 14)" in text and ", 1, 2)" not in text
     assert hl.cells_in_polygons(centers, polygons.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name, texts", [("multipolygon_parts", 2), ("id_to_polygon", 1)])
+def test_texts_are_built_once_from_geometry_that_is_not_stored(spark, lines, name, texts):
+    from hexloom.plans import registry
+
+    frame = registry.QUERIES[name](spark, lines)
+    assert plan(frame).count("concat_ws") == texts
+    assert frame.count() == texts * tables.geometry(spark, lines).count() > 160
+    assert not any(folder == lines for _, folder, _ in tables._stored)
+
+
+def test_conditions_on_the_cell_do_not_read_the_id_again(spark, lines):
+    from hexloom.operators.attributes import join_attributes, last_per_id
+    from hexloom.plans import registry
+
+    cells = tables.cells(spark, lines)
+    lookup = last_per_id(registry._coarse(cells), ["n", "price"])
+    assert plan(lookup.select("cell").where("cell is not null")).count("RLIKE") == 1
+    joined = join_attributes(cells.select("id"), registry._coarse(cells), order_by=["n", "price"], seed="7")
+    assert joined.count() == 160 and joined.where("p is null").count() == 0
+
+
+def test_attributes_may_be_called_cell(spark):
+    from hexloom.operators.attributes import join_attributes
+
+    coarse = spark.createDataFrame([("8944e1a0b2fffff", 7)], "id string, cell int")
+    fine = spark.createDataFrame([("8b44e1a0b2c3fff",), ("no id",), (None,)], "id string")
+    assert [r.cell for r in join_attributes(fine, coarse).collect()] == [7, 7, 7]
