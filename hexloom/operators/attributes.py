@@ -24,20 +24,29 @@ def extract_cell_ids(features: DataFrame, attribute: str = "GRID_ID") -> DataFra
     return checked.select(value.alias("id"))
 
 
+def _with_cell(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_cell``, the LONG of the text ``id``.
+
+    It is output of a generator: conditions on the cell, as joins add them, would otherwise be pushed down to the scan and
+    work out the id again for each use of it in them, which cost more than the whole rest of a pass.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(cellid.string_to_cell(F.col("id")).alias("_cell")))))
+
+
 def last_per_id(rows: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """One row per ``id``: the last in ``order_by``.  An aggregate, so repeated ids combine map-side."""
     values = [c for c in rows.columns if c != "id" and c not in order_by]
     order = F.struct(*order_by) if order_by else F.struct(*values)
     latest = F.max_by(F.struct(*values), order).alias("attrs")
-    return rows.groupBy(cellid.string_to_cell(F.col("id")).alias("cell")).agg(latest)
+    return _with_cell(rows).groupBy(F.col("_cell").alias("cell")).agg(latest)
 
 
-def ranked(lookup: DataFrame, res: int) -> DataFrame:
+def ranked(lookup: DataFrame, res: int, bases: dict[int, int] | None = None) -> DataFrame:
     """``lookup`` (distinct ``cell``) with ``rank`` 0..n-1 in id order, by prefix sums in two levels.
 
     Ids of one resolution sort like their ancestors, so a rank is the number of cells under earlier base cells, plus
     those of earlier families under the same base cell, plus the place within the family, at most 7^6 cells.  The driver
-    gets the counts of the base cells, 122 numbers at most.
+    gets the counts of the base cells, 122 numbers at most, unless they are given as ``bases``.
     """
     family = cellid.cell_to_parent(F.col("cell"), max(res - RANK_LEVELS, 0), checked=False)
     members = lookup.withColumn("family", family)
@@ -45,8 +54,10 @@ def ranked(lookup: DataFrame, res: int) -> DataFrame:
     base = cellid.base_cell(F.col("family"))
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size")).withColumn("base", base)
     starts, total = [0] * cellid.BASE_CELLS, 0
-    for row in sizes.groupBy("base").agg(F.sum("size").alias("size")).orderBy("base").collect():
-        starts[row["base"]], total = total, total + row["size"]
+    if bases is None:
+        bases = dict(map(tuple, sizes.groupBy("base").agg(F.sum("size")).collect()))
+    for number in sorted(bases):
+        starts[number], total = total, total + bases[number]
     before = F.coalesce(F.sum("size").over(earlier), F.lit(0)) + F.array(*(F.lit(n).cast("long") for n in starts))[F.col("base")]
     offsets = sizes.select("family", before.alias("offset"))
     place = F.row_number().over(Window.partitionBy("family").orderBy("cell"))
@@ -77,10 +88,12 @@ def join_attributes(
     """
     attributes = [c for c in coarse.columns if c != "id" and c not in order_by]
     lookup = last_per_id(coarse, order_by)
-    res = cellid.resolution(F.col("cell"))
-    rows, size, lowest, highest = lookup.agg(
-        F.count("cell"), F.coalesce(F.sum(row_bytes(lookup.schema)), F.lit(0)), F.min(res), F.max(res)
-    ).first()
+    # one pass for all that is asked of the table: a row per resolution and base cell, 1,952 at most and one without id
+    keys = [cellid.resolution(F.col("cell")).alias("res"), cellid.base_cell(F.col("cell")).alias("base")]
+    counts = lookup.groupBy(*keys).agg(F.count("cell").alias("rows"), F.sum(row_bytes(lookup.schema)).alias("bytes")).collect()
+    rows, size = (sum(row[c] for row in counts) for c in ("rows", "bytes"))
+    found = [row["res"] for row in counts if row["res"] is not None]
+    lowest, highest = min(found, default=None), max(found, default=None)
     if lowest != highest:
         raise ValueError(f"coarse ids mix resolutions {lowest} to {highest}")
     if not rows:
@@ -88,7 +101,7 @@ def join_attributes(
     size = Size(rows, size)
     lookup = lookup.where(F.col("cell").isNotNull())
 
-    fine = fine_ids.select("id", cellid.cell_to_parent(cellid.string_to_cell(F.col("id")), lowest).alias("cell"))
+    fine = _with_cell(fine_ids.select("id")).select("id", cellid.cell_to_parent(F.col("_cell"), lowest).alias("cell"))
     if not fallback:
         hits = fine.join(lookup_side(lookup, size), "cell", "left")
         return hits.select("id", *(F.col(f"attrs.`{c}`").alias(c) for c in attributes))
@@ -100,6 +113,7 @@ def join_attributes(
     flagged = fine.join(missing, fine["cell"] == missing["absent"], "left")
     substitute = -1 - fallback_number(F.col("id"), seed, rows)
     keyed = flagged.select("id", F.when(F.col("absent").isNotNull() | F.col("cell").isNull(), substitute).otherwise(F.col("cell")).alias("key"))
-    both = ranked(lookup, lowest).select("attrs", F.explode(F.array("cell", -1 - F.col("rank"))).alias("key"))
+    bases = {row["base"]: row["rows"] for row in counts if row["base"] is not None}
+    both = ranked(lookup, lowest, bases).select("attrs", F.explode(F.array("cell", -1 - F.col("rank"))).alias("key"))
     joined = keyed.join(lookup_side(both, Size(2 * size.rows, 2 * size.bytes)), "key", "left")
     return joined.select("id", *(F.col("attrs")[c].alias(c) for c in attributes))
