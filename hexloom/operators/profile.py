@@ -10,7 +10,7 @@ the histogram falls out of the same groups.  Text and boolean columns are groupe
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hexloom.operators.filters import resolve_column
+from hexloom.operators.joins import dealt
 
 BINS = 49
 
@@ -230,7 +231,29 @@ def numeric_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
-def _value_groups(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
+def _counted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows per ``(attribute, value)`` of columns of one type, in one shuffle of groups."""
+    return unpivot(df, columns).groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _counted_apart(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """:func:`_counted` for columns of very many values: both groupings are in a given number of tasks.
+
+    The groups of a scan task grow with its file split and those of a merged task with what AQE calls small, as ids compress
+    well. Here rows are dealt out first and counted where they are, so a frequent value is one row per task all the same,
+    and the counts are dealt out by value. The generator keeps the parts of the first shuffle for the first grouping.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = [F.col(f"`{c}`") for c in columns]
+    part = F.pmod(F.xxhash64(*own), F.lit(parts)).cast("int").alias("part")
+    rows = df.select(*(c.alias(f"v{k}") for k, c in enumerate(own)), part).repartitionById(parts, "part")
+    pairs = F.array(*(F.struct(F.lit(c).alias("attribute"), F.col(f"v{k}").alias("value")) for k, c in enumerate(columns)))
+    groups = rows.select("part", F.inline(pairs)).where("value IS NOT NULL").groupBy("part", "attribute", "value")
+    counts = dealt(groups.agg(F.count(F.lit(1)).alias("count")), "attribute", "value")
+    return counts.groupBy("attribute", "value").agg(F.sum("count").alias("count"))
+
+
+def _value_groups(df: DataFrame, columns: Sequence[str], counted: Callable = _counted) -> list[DataFrame]:
     """Rows per ``(attribute, value)`` of numeric columns, one frame per data type.
 
     BIGINT values are not cast: beyond 2^53 a cast to double would merge them.
@@ -243,8 +266,7 @@ def _value_groups(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
     ):
         if chosen:
             typed = df.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c in chosen))
-            groups = unpivot(typed, chosen).groupBy("attribute", "value")
-            frames.append(groups.agg(F.count(F.lit(1)).alias("count")))
+            frames.append(counted(typed, chosen))
     return frames
 
 
@@ -353,8 +375,9 @@ def _as_frequencies(groups: list[DataFrame], words: DataFrame | None) -> DataFra
 
 def all_frequencies(df: DataFrame, by_type: dict[str, list[str]]) -> DataFrame:
     """Rows per non-null value of columns of all types: ``(attribute, value, count)``."""
-    words = _text_groups(df, by_type["string"] + by_type["boolean"])
-    return _as_frequencies(_value_groups(df, by_type["number"]), words)
+    texts = by_type["string"] + by_type["boolean"]
+    words = _counted_apart(df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in texts)), texts) if texts else None
+    return _as_frequencies(_value_groups(df, by_type["number"], _counted_apart), words)
 
 
 def top_values(frequencies: DataFrame, limits: dict[str, int]) -> DataFrame:

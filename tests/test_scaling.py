@@ -179,4 +179,16 @@ def test_attributes_may_be_called_cell(spark):
 
     coarse = spark.createDataFrame([("8944e1a0b2fffff", 7)], "id string, cell int")
     fine = spark.createDataFrame([("8b44e1a0b2c3fff",), ("no id",), (None,)], "id string")
-    assert [r.cell for r in join_attributes(fine, coarse).collect()] == [7, 7, 7]
+    assert [r.cell for r in join_attributes(fine, coarse).collect()] == [7, 7, None]
+
+
+def test_top_values_are_counted_in_a_given_number_of_tasks(spark):
+    from hexloom.operators import profile as prof
+
+    rows = [(k % 5, float(k % 3), f"t{k % 4}", k % 2 == 0) for k in range(60)] + [(None, float("nan"), None, None), (0, -0.0, "", None)]
+    frame = spark.createDataFrame(rows, "part long, x double, v0 string, b boolean")
+    found = prof.all_frequencies(frame, {"number": ["part", "x"], "string": ["v0"], "boolean": ["b"]})
+    assert plan(found).count("REPARTITION_BY_NUM") == 6 and "ENSURE_REQUIREMENTS" not in plan(found)
+    counts = {(r.attribute, r.value): r["count"] for r in found.collect()}
+    assert counts[("part", "0")] == 13 and counts[("x", "0")] == 21 and counts[("v0", "t1")] == 15 and counts[("b", "true")] == 30
+    assert len(counts) == found.count() == 5 + 4 + 5 + 2
