@@ -81,14 +81,13 @@ def wkt_rings(wkt: Column) -> Column:
 def wkt_to_ring(wkt: Column) -> Column:
     """Outer ring of a POLYGON text, NULL for other text."""
     body = F.split_part(F.split_part(wkt, F.lit("(("), F.lit(2)), F.lit(")"), F.lit(1))
+    # a point is split once, not once for each coordinate
+    pairs = F.transform(F.split(body, ","), lambda text: F.split(F.trim(text), r"\s+"))
 
-    def point(text: Column) -> Column:
-        xy = F.split(F.trim(text), r"\s+")
-        return F.struct(
-            F.get(xy, 0).try_cast("double").alias("lon"), F.get(xy, 1).try_cast("double").alias("lat")
-        )
+    def point(xy: Column) -> Column:
+        return F.struct(F.get(xy, 0).try_cast("double").alias("lon"), F.get(xy, 1).try_cast("double").alias("lat"))
 
-    return F.when(F.upper(F.ltrim(wkt)).startswith("POLYGON"), F.transform(F.split(body, ","), point))
+    return F.when(F.upper(F.ltrim(wkt)).startswith("POLYGON"), F.transform(pairs, point))
 
 
 def close_ring(ring: Column) -> Column:
