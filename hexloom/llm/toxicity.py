@@ -116,6 +116,7 @@ def learn_stems(rows: DataFrame, limit: int = STEMS) -> frozenset[str]:
     """Word starts and words in at least STEM_TEXTS toxic texts that are STEM_SHARE of all texts with them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_memory("toxicity")
         toxic, clean = Counter(), Counter()
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"]):
@@ -153,7 +154,9 @@ def with_scores(docs: DataFrame, labels: DataFrame, sample: int, kept: F.Column)
     if len(kinds) < 2:
         return docs.select(kept, F.lit(0.0).alias("score"))
     stems = learn_stems(rows)
-    train = checkpointed(with_features(rows, stems).select("sig", "label", array_to_vector("dense").alias("features")).coalesce(4))
+    # merged before the features: a merged task would keep the buffered rows of each of its partitions to its end
+    few = rows.coalesce(4)
+    train = checkpointed(with_features(few, stems).select("sig", "label", array_to_vector("dense").alias("features")))
     # trees and calibration from different rows, so that the calibration isn't fooled by fitted scores
     parts = [train.where(F.pmod("sig", F.lit(4)) != 0), train.where(F.pmod("sig", F.lit(4)) == 0)]
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=64, stepSize=0.3, seed=7, subsamplingRate=1.0, cacheNodeIds=False).fit(parts[0])

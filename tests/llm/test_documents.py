@@ -223,6 +223,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.score == 0 for r in toxicity.score(docs, labels.where("false")).collect())
 
 
+def test_toxicity_merges_training_rows_before_their_features(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('w', id % 17, if(id % 3 = 0, ' you stupid trash', ' a plain word'), ' x', id) as text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 = 0) as toxic")
+    plans, before = [], toxicity.checkpointed
+    monkeypatch.setattr(toxicity, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or before(df))
+    assert toxicity.score(docs, labels).count() == 400
+    merged = [p for p in plans if "Coalesce 4" in p]
+    assert len(merged) == 1 and merged[0].index("ArrowEvalPython") < merged[0].index("Coalesce 4")  # what is above comes first
+
+
 def test_site_lines(spark, odd_docs):
     docs = spark.createDataFrame([(i, f"Menu\ntext {i}\n\nFooter {i % 3}", "s") for i in range(30)], "doc_id long, text string, source string")
     rows = lines.drop_site_lines(docs).collect()
