@@ -83,3 +83,30 @@ def test_rings_of_texts(spark):
     ]
     rows = spark.createDataFrame(texts, "j string, w string").select(geometry.geojson_rings(F.col("j")).alias("j"), geometry.wkt_rings(F.col("w")).alias("w")).collect()
     assert all(r.j == r.w for r in rows) and rows[2].j is None and [len(r.j) for r in rows[:2]] == [1, 2]
+
+
+def test_tiles_cut_by_their_centres_find_the_same(monkeypatch, polygons, centers):
+    want = {(n, r.id) for r in centers.where("id >= 0").collect() for n, rings in POLYGONS.items() if plain(rings, r.lon, r.lat)}
+    for name, value in {"INNER_CENTRES": 1, "BORDER_CENTRES": 0, "SLOW_CENTRES": 0, "MOST_EDGES": 1}.items():
+        monkeypatch.setattr(containment, name, value)
+    # by rays both ways: edges in columns, and one after the other in tiles with more than one
+    both = hl.cells_in_polygons(centers, polygons)
+    found = [tuple(r) for r in both.collect()]
+    assert "Union" in both._jdf.queryExecution().executedPlan().toString()
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_pairs_are_tested_by_generated_code_and_the_cover_is_computed_once(polygons, centers):
+    box = polygons.where("polygon_id in ('box', 'holed', 'parts')")
+    text = hl.cells_in_polygons(centers, box)._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in text and "quadkey" not in text
+    assert "Scan ExistingRDD" in text and "exists(" not in text
+
+
+def test_tiles_without_centres_are_dropped(spark, polygons):
+    one = spark.createDataFrame([(1, 0.5, 0.5), (2, 50.9, 50.5), (3, 120.0, 0.0)], "id long, lon double, lat double")
+    placed = one.select("id", containment.tiles.quadkey(F.expr(f"cast(floor((lon + 180) / 360 * {1 << containment.CLOSE}) as long)"), containment._row(F.col("lat")), containment.CLOSE).alias("finest"))
+    cover = containment._cover(polygons.where("polygon_id in ('box', 'parts')"), containment._occupied(placed), containment.Size(0, 0))
+    assert {(r.polygon_id, r.n) for r in cover.select("polygon_id", "n").collect()} == {("box", 1), ("parts", 1)}
+    assert cover.count() == 2
+    assert sorted(map(tuple, hl.cells_in_polygons(one, polygons.where("polygon_id in ('box', 'parts')")).collect())) == [("box", 1), ("parts", 2)]
