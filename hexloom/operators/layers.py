@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexloom.functions import cellid, geometry, tiles
 from hexloom.operators.joins import dealt
 
 COARSEST_STOP = min(tiles.STOPS)
+#: Hexagons of one ancestor of this resolution and of one layer lie in one task: at most 7^6.
+AREA_RESOLUTION = 5
 
 
 def roll_up(per_cell: DataFrame, sums: Sequence[str] = ()) -> DataFrame:
@@ -46,7 +48,8 @@ def build_cell_pyramid(ids: DataFrame, cell_geometry: DataFrame | None = None) -
     """Layers of all stops from finest cell ids (text column ``id``).
 
     Each row has its id, resolution and ``r0_id`` .. ``r11_id`` as text, finer ones NULL, and with
-    ``cell_geometry(id, ring)`` its polygon as WKT.
+    ``cell_geometry(id, ring)`` its polygon as WKT; those rows are placed by area and sorted by resolution and id, as the
+    store of layers wants them, before their long texts are made.
     """
     text = F.col("id")
     cell = cellid.string_to_cell(text)
@@ -60,7 +63,7 @@ def build_cell_pyramid(ids: DataFrame, cell_geometry: DataFrame | None = None) -
     ]
     if cell_geometry is None:
         return layers.select(cellid.cell_to_string(F.col("id")).alias("id"), "resolution", *parents)
-    located = layers.join(cell_geometry.select("id", "ring"), "id", "left").withColumn("ring", geometry.required_ring("id"))
+    located = _in_areas(layers, cell_geometry).withColumn("ring", geometry.required_ring("id"))
     return located.select(
         cellid.cell_to_string(F.col("id")).alias("id"),
         "resolution",
@@ -69,6 +72,31 @@ def build_cell_pyramid(ids: DataFrame, cell_geometry: DataFrame | None = None) -
     )
 
 
+def _in_areas(hexes: DataFrame, cell_geometry: DataFrame) -> DataFrame:
+    """Hexagons ``(id, resolution, ring)`` joined with their geometry (one without has a NULL ring), placed and sorted.
+
+    Rings move once, to the task of their area. There both tables lie sorted by id, and a window over the rows of an id
+    does what a join would, which would deal rows out by id first.
+    """
+    # longitudes and latitudes move apart, which takes less room; a ring with a point that is NULL moves as it is
+    point = lambda p: F.when(p.isNotNull(), F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
+    odd = F.when(F.exists("ring", lambda p: p.isNull()), F.transform("ring", point))
+    known = cell_geometry.where(F.col("id").isNotNull()).select(
+        "id", F.col("ring.lon").alias("lons"), F.col("ring.lat").alias("lats"), odd.alias("odd"), F.lit(False).alias("wanted")
+    )
+    nothing = [F.lit(None).cast(known.schema[c].dataType).alias(c) for c in ("lons", "lats", "odd")]
+    both = known.unionAll(hexes.select("id", *nothing, F.lit(True).alias("wanted")))
+    keys = {"resolution": cellid.resolution(F.col("id")), "area": cellid.cell_to_parent(F.col("id"), AREA_RESOLUTION, checked=False)}
+    same = Window.partitionBy(*keys, "id")
+    met = dealt(both.withColumns(keys), *keys).select(
+        "*", F.max("wanted").over(same).alias("is_wanted"), F.min("wanted").over(same).alias("is_missing")
+    )
+    # the sort is that of the window; it is named so that what is written needs no other
+    ordered = met.where(F.when(F.col("wanted"), F.col("is_missing")).otherwise(F.col("is_wanted"))).sortWithinPartitions(*keys, "id")
+    ring = F.coalesce("odd", F.zip_with("lons", "lats", lambda lon, lat: F.struct(lon.alias("lon"), lat.alias("lat"))))
+    return ordered.select("id", "resolution", ring.alias("ring"))
+
+
 def _boxes(polygons: DataFrame, keep: Sequence[str]) -> DataFrame:
     """The columns ``keep``, the ring's longitudes and latitudes and the range of tiles of its box, from ``(zoom, ring)``."""
     across, lons, lats = F.col("across"), F.col("lons"), F.col("lats")

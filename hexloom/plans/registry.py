@@ -897,8 +897,8 @@ def _(spark, d):
 )
 def _(spark, d):
     folder = tables.shared_folder(spark)
-    layers = hl.build_cell_pyramid(tables.cells(spark, d).select("id"), tables.stored_geometry(spark, d))
-    sources.write_cell_pyramid(layers, folder)
+    layers = hl.build_cell_pyramid(tables.cells(spark, d).select("id"), tables.geometry(spark, d, ordered=True))
+    sources.write_cell_pyramid(layers, folder, placed=True)
     ring = geometry.wkt_to_ring(F.col("wkt"))
     return spark.read.parquet(folder).select(
         "id",

@@ -134,13 +134,17 @@ def stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _store(spark, sf_dir, "cells", lambda folder: write_cells(cells(spark, sf_dir), folder))
 
 
-def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of :func:`stored_geometry`, for a query that reads them once: rings are long and compress badly."""
-    return cell_geometry(hexagons(cells(spark, sf_dir)))
+def geometry(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
+    """The rows of :func:`stored_geometry`, for a query that reads them once: rings are long and compress badly.
+
+    ``ordered`` sorts them by id within a partition, so that near ones lie together.
+    """
+    hexes = hexagons(cells(spark, sf_dir))
+    return cell_geometry(hexes.sortWithinPartitions("resolution", "id") if ordered else hexes)
 
 
 def stored_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _store(spark, sf_dir, "geometry", lambda folder: geometry(spark, sf_dir).write.parquet(folder))
+    return _store(spark, sf_dir, "geometry", lambda folder: geometry(spark, sf_dir, ordered=True).write.parquet(folder))
 
 
 def stored_tile_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,10 +62,14 @@ def write_tile_index(tile_index: DataFrame, path: str) -> None:
     ordered_index(tile_index).write.mode("overwrite").partitionBy("resolution").parquet(path)
 
 
-def write_cell_pyramid(layers: DataFrame, path: str) -> None:
-    """Hexagon layers as Parquet, one folder per resolution, its rows brought together by their area."""
-    placed = _placed(layers, [F.col("resolution"), F.col("r5_id")]).sortWithinPartitions("resolution", "id").select(layers.columns)
-    placed.write.mode("overwrite").partitionBy("resolution").parquet(path)
+def write_cell_pyramid(layers: DataFrame, path: str, placed: bool = False) -> None:
+    """Hexagon layers as Parquet, one folder per resolution, its rows brought together by their area.
+
+    ``placed`` says that they are already, as those of ``build_cell_pyramid`` with geometry; their texts aren't moved then.
+    """
+    if not placed:
+        layers = _placed(layers, [F.col("resolution"), F.col("r5_id")]).sortWithinPartitions("resolution", "id").select(layers.columns)
+    layers.write.mode("overwrite").option("compression", "zstd").partitionBy("resolution").parquet(path)
 
 
 def export_csv(cells: DataFrame, path: str) -> None:

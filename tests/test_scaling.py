@@ -192,3 +192,39 @@ def test_top_values_are_counted_in_a_given_number_of_tasks(spark):
     counts = {(r.attribute, r.value): r["count"] for r in found.collect()}
     assert counts[("part", "0")] == 13 and counts[("x", "0")] == 21 and counts[("v0", "t1")] == 15 and counts[("b", "true")] == 30
     assert len(counts) == found.count() == 5 + 4 + 5 + 2
+
+
+def test_layers_are_placed_before_their_texts_are_made(spark, lines, tmp_path):
+    from hexloom import sources
+
+    cells = tables.cells(spark, lines).select("id")
+    layers_ = hl.build_cell_pyramid(cells, tables.geometry(spark, lines))
+    text = plan(layers_)
+    moved = text[text.index("Exchange") :]
+    # the texts of rings and parents stand above the only shuffle of rings; there is no join that deals them out by id
+    assert "concat_ws" in text and "concat_ws" not in moved and "Join" not in text
+    sources.write_cell_pyramid(layers_, f"{tmp_path}/placed", placed=True)
+    sources.write_cell_pyramid(layers_, f"{tmp_path}/moved")
+    placed, again = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("placed", "moved"))
+    assert sorted(map(str, placed.collect())) == sorted(map(str, again.collect()))
+    assert placed.count() == tables.geometry(spark, lines).count() > 160
+    files = os.listdir(f"{tmp_path}/placed/resolution=11")
+    assert all(".zstd." in name for name in files if name.endswith(".parquet"))
+
+
+def test_geometry_of_layers_is_matched_as_by_a_join(spark, lines):
+    from hexloom.functions import geometry as geo
+
+    cells = tables.cells(spark, lines).select("id")
+    known = tables.geometry(spark, lines).select("id", "ring")
+    other = known.where("id % 2 = 0").withColumn("ring", F.slice("ring", 1, 3))
+    gap = known.limit(1).withColumn("ring", F.concat(F.array(F.lit(None).cast("struct<lon:double,lat:double>")), "ring"))
+    elsewhere = spark.createDataFrame([(0x8B44E1A0B2C3FFF, [(1.0, 2.0)]), (None, [(1.0, 2.0)])], known.schema)
+    rings = known.unionAll(other).unionAll(gap).unionAll(elsewhere)
+    found = hl.build_cell_pyramid(cells, rings).select("id", "wkt")
+    want = known.select("id").join(rings, "id").select(F.lower(F.hex("id")).alias("id"), geo.ring_to_wkt(F.col("ring")).alias("wkt"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    last = known.agg(F.max("id")).first()[0]
+    for missing in (known.where(F.col("id") != last), known.withColumn("ring", F.when(F.col("id") != last, F.col("ring")))):
+        with pytest.raises(Exception, match="no geometry for hexagon"):
+            hl.build_cell_pyramid(cells, missing).collect()
